@@ -17,5 +17,27 @@ FROM rows
 """
 
 
+OP9 = r"""
+WITH pay AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages
+), best AS (SELECT sha, max(page_id) AS response_id FROM pay GROUP BY sha),
+bits AS (
+  SELECT DISTINCT sha, array_to_string(list_transform(string_split(sha, ''), c -> substr(
+    '0000000100100011010001010110011110001001101010111100110111101111',
+    4 * (strpos('0123456789abcdef', c) - 1) + 1, 4)), '') AS b
+  FROM best
+), digests AS (
+  SELECT sha, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
+    + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS digest
+  FROM bits
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = response_id THEN NULL ELSE response_id END AS refers_to
+FROM pay JOIN best USING (sha) JOIN digests USING (sha)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op3_exact_dedup": OP3, "op9_warc_writer": OP9}
