@@ -12,8 +12,8 @@ table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,64 +30,140 @@ END_ID = 1
 PIECES_PER_PARTITION = 60_000
 RELEASED_PER_PARTITION = 512
 ROUNDS = 6
-#: Words whose ids one worker remembers.
-CACHED_WORDS = 1_000_000
 
-_BREAK = re.compile("[ \t\n\r]+")
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as the letter itself where it is printable in Latin-1, else as U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)} | {32: " "}
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs pool[start : start + length] one after another, and where each begins (with the end)."""
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    return pool[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])], at
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that never joins characters across white space, word by word with a bounded memory.
+    """Ids of a word-end BPE tokenizer that never joins characters across white space: each distinct word of a batch is
+    encoded once.
 
-    Words not yet seen are encoded many at a time in one text and told apart by their offsets.
+    Words of Latin-1 letters, also with one mark of punctuation after them, need neither normalisation nor splitting:
+    they go many at a time through the bare BPE model, and the ids that end a word part them. All other words go through
+    the tokenizer as it stands, many at a time, parted by their offsets.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    MARKS = ".,;:!?"
+    PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+    CHUNK = 20_000
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cached = cached
-        self.ids: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        starts = np.array([a for a, _ in got.offsets], dtype=np.int64)
-        at = np.searchsorted(np.searchsorted(ends, starts, side="right"), np.arange(len(words) + 1))
-        raw = np.array(got.ids, dtype="<u4").tobytes()
-        for k, w in enumerate(words):
-            self.ids[w] = raw[4 * at[k] : 4 * at[k + 1]]
-
-    def encode(self, texts: list[str], chunk: int = 20_000) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text. A full memory is emptied before the call's words enter."""
-        split = [_BREAK.split(t) for t in texts]
-        new = {w: None for words in split for w in words if w not in self.ids}
-        if len(self.ids) + len(new) > self.cached:
-            self.ids = {"": b""}
-            new = {w: None for words in split for w in words if w}
-        unknown = list(new)
-        for k in range(0, len(unknown), chunk):
-            self._learn(unknown[k : k + chunk])
-        get = self.ids.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-def tokenize_pieces(
-    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, cached: int = CACHED_WORDS
-) -> DataFrame:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if spec["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError("a BPE tokenizer with word ends is needed")
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
+        vocab = spec["model"]["vocab"]
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.letters = _byte_letters()
+        self.marks = self._any([*self.MARKS])
+
+    def _any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and where each word's begin (with the end)."""
+        out, at, total = [], [0], 0
+        for low in range(0, len(words), self.CHUNK):
+            part = words[low : low + self.CHUNK]
+            ends = np.cumsum([len(w) + 1 for w in part])
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.array([a for a, _ in got.offsets], dtype=np.int64)
+            out.append(np.array(got.ids, dtype="<u4"))
+            begin = np.searchsorted(np.searchsorted(ends, starts, side="right"), np.arange(1, len(part) + 1))
+            at += (total + begin).tolist()
+            total += len(out[-1])
+        return np.concatenate([np.zeros(0, "<u4"), *out]), np.array(at, dtype=np.int64)
+
+    def _bare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_any``, for lower-case words of Latin-1 letters."""
+        out = []
+        for low in range(0, len(words), self.CHUNK):
+            spelled = " ".join(words[low : low + self.CHUNK])
+            if not spelled.isascii():
+                spelled = spelled.encode().decode("latin-1").translate(self.letters)
+            out.append(np.array(self.plain.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype="<u4"))
+        ids = np.concatenate([np.zeros(0, "<u4"), *out])
+        at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
+        assert len(at) == len(words) + 1
+        return ids, at
+
+    def _vocabulary(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        core = pc.utf8_rtrim(words, characters=self.MARKS)
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        mark = size - pc.utf8_length(core).to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(core, self.PLAIN).to_numpy(zero_copy_only=False) & (mark <= 1)
+        cores = pc.utf8_lower(core.filter(pa.array(plain))).dictionary_encode()
+        spelled = cores.dictionary.to_pylist()
+        # Non-ASCII words last: only their chunks are respelled.
+        order = sorted(range(len(spelled)), key=lambda k: not spelled[k].isascii())
+        place = np.empty(len(spelled), dtype=np.int64)
+        place[order] = np.arange(len(spelled))
+        bare_ids, bare_at = self._bare([spelled[k] for k in order])
+        any_ids, any_at = self._any(words.filter(pa.array(~plain)).to_pylist())
+        pool = np.concatenate([bare_ids, any_ids, self.marks[0]])
+        starts, lengths = np.zeros(2 * len(words), np.int64), np.zeros(2 * len(words), np.int64)
+        k = place[cores.indices.to_numpy()]
+        rows = np.flatnonzero(plain)
+        starts[2 * rows], lengths[2 * rows] = bare_at[k], np.diff(bare_at)[k]
+        rest = np.flatnonzero(~plain)
+        starts[2 * rest], lengths[2 * rest] = len(bare_ids) + any_at[:-1], np.diff(any_at)
+        marked = np.flatnonzero(plain & (mark == 1))
+        last = pc.utf8_slice_codeunits(words.take(pa.array(marked)), -1)
+        m = pc.index_in(last, value_set=pa.array([*self.MARKS])).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts[2 * marked + 1] = len(bare_ids) + len(any_ids) + self.marks[1][m]
+        lengths[2 * marked + 1] = np.diff(self.marks[1])[m]
+        ids, at = _gather(pool, starts, lengths)
+        return ids, at[::2]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (with the end)."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        ids, at = self._vocabulary(words.dictionary)
+        which = words.indices.to_numpy()
+        out, begins = _gather(ids, at[which], np.diff(at)[which])
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return out, begins[np.concatenate([[0], ends])]
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``most_bytes`` of one column; a longer row stands alone."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        before = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids) with ``ids`` the little-endian unsigned 32-bit ids of the piece."""
-
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path, cached)
+        words = WordTokenizer(tokenizer_path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for part in slices(batch, "text"):
                 rows, piece, length, cuts = [], [], [], []
-                for i, ids in enumerate(words.encode(part.column("text").to_pylist())):
-                    ids += end
+                flat, begins = words.encode(part.column("text"))
+                raw, begins = flat.tobytes(), (4 * begins).tolist()
+                for i in range(part.num_rows):
+                    ids = raw[begins[i] : begins[i + 1]] + end
                     for k in range(0, len(ids), 4 * window):
                         cuts.append(ids[k : k + 4 * window])
                         rows.append(i)
