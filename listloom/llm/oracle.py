@@ -2,6 +2,56 @@
 
 from __future__ import annotations
 
+import math
+
+from .license_scan import BLOCK, PHRASES, STEP, TEMPLATES, THRESHOLD
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _op2() -> str:
+    """Base phrases place by place, and every template against every block of words."""
+    places = []
+    for phrase in PHRASES:
+        parts = phrase.split(" ")
+        places.append(
+            f"list_filter(range(0, greatest(0, len(w) - {len(parts) - 1})), lambda i: "
+            + " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
+            + ")"
+        )
+    rows = []
+    for k, (label, text) in enumerate(TEMPLATES):
+        own = sorted(set(text.split(" ")))
+        rows.append(f"({k}, '{label}', {_list(own)}, {math.ceil(THRESHOLD * len(own) - 1e-9)})")
+    has = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{v}' END" for k, v in enumerate(PHRASES.values()))
+    ps = [f"p{k}" for k in range(len(PHRASES))]
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), found AS (
+  SELECT *, {', '.join(f'{x} AS p{k}' for k, x in enumerate(places))} FROM texts
+), base AS (
+  SELECT *, list_concat({', '.join(ps)}) AS p, list_filter([{has}], lambda x: x IS NOT NULL) AS b FROM found
+), templates(template, label, own, need) AS (VALUES {', '.join(rows)}),
+blocks AS (
+  SELECT uid, list_distinct(w[i + 1:i + {BLOCK}]) AS block
+  FROM (SELECT uid, w, unnest(range(0, greatest(0, len(w) - 1 - {BLOCK - STEP}) + 1, {STEP})) AS i FROM texts)
+), met AS (
+  SELECT uid, label, len(list_intersect(own, block)) / len(own) AS share
+  FROM blocks, templates WHERE len(list_intersect(own, block)) >= need
+), labels AS (SELECT uid, list(DISTINCT label) AS found, max(share) AS share FROM met GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p)::BIGINT AS first_word,
+       list_max(p)::BIGINT AS last_word, array_to_string(list_sort(list_distinct(b)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(b, coalesce(found, [])))), ',') AS labels,
+       CASE WHEN len(b) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM base LEFT JOIN labels USING (uid)
+"""
+
+
 OP3 = r"""
 WITH rows AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -22,12 +72,12 @@ WITH pay AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages
 ), best AS (SELECT sha, max(page_id) AS response_id FROM pay GROUP BY sha),
 bits AS (
-  SELECT DISTINCT sha, array_to_string(list_transform(string_split(sha, ''), c -> substr(
+  SELECT DISTINCT sha, array_to_string(list_transform(string_split(sha, ''), lambda c: substr(
     '0000000100100011010001010110011110001001101010111100110111101111',
     4 * (strpos('0123456789abcdef', c) - 1) + 1, 4)), '') AS b
   FROM best
 ), digests AS (
-  SELECT sha, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+  SELECT sha, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
     + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
     + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS digest
   FROM bits
@@ -40,4 +90,4 @@ FROM pay JOIN best USING (sha) JOIN digests USING (sha)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op9_warc_writer": OP9}
+    return {"op2_license_scan": _op2(), "op3_exact_dedup": OP3, "op9_warc_writer": OP9}

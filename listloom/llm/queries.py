@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, media_ogg, packing, warc
+from . import chat_format, exact_dedup, kd_sharding, license_scan, media_ogg, packing, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -30,10 +30,35 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(
+        "SELECT cast(-7 AS bigint) AS conv_id, cast(t AS bigint) AS turn, r AS role, '</s>[INST] ok [/INST]' AS text "
+        "FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)"
+    )
+    return chat_format.conversation_digests(chat_format.format_windows(turns.unionByName(extra)))
+
+
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_sharding.kd_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media_ogg.read_media(media_ogg.store_payloads(table(spark, sf_dir, "documents")))
     return read.select(
@@ -57,4 +82,12 @@ def op9_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_exact_dedup, op7_ogg_media, op9_warc_writer)}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing,
+        op2_license_scan,
+        op3_exact_dedup,
+        op4_chat_format,
+        op6_kd_sharding,
+        op7_ogg_media,
+        op9_warc_writer,
+    )}
