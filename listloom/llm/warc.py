@@ -141,7 +141,7 @@ def _writer(path: str, roll_bytes: int, level: int):
         fs, root = _file_system(path)
         done: list[tuple] = []
         out = digest = None
-        shard = number = size = records = 0
+        shard, number, size, records = None, 0, 0, 0
         name, first, last = "", None, None
         decided: tuple = ()
         response_id, seen, again = None, 0, 0
@@ -179,10 +179,9 @@ def _writer(path: str, roll_bytes: int, level: int):
                     level,
                 )
                 if out is not None and (row["shard"] != shard or size >= roll_bytes):
-                    number = number + 1 if row["shard"] == shard else 0
                     close()
                 if out is None:
-                    number = number if row["shard"] == shard else 0
+                    number = number + 1 if row["shard"] == shard else 0
                     shard, size, records, first = row["shard"], 0, 0, row["page_id"]
                     digest = hashlib.sha1()
                     name = f"{shard:06d}-{number:05d}-{uuid.uuid4().hex}"
@@ -210,9 +209,14 @@ def _commit(path: str):
             names = []
             for row in batch.to_pylist():
                 final = f"{row['shard']:06d}-{row['file']:05d}.warc.gz"
-                # A repeated task finds its earlier rename done.
-                if fs.get_file_info(f"{root}/_temporary/{row['name']}").type != pafs.FileType.NotFound:
+                # A repeated task finds its earlier rename done; no name is taken twice.
+                old, new = fs.get_file_info([f"{root}/_temporary/{row['name']}", f"{root}/{final}"])
+                if old.type != pafs.FileType.NotFound:
+                    if new.type != pafs.FileType.NotFound:
+                        raise FileExistsError(final)
                     fs.move(f"{root}/_temporary/{row['name']}", f"{root}/{final}")
+                elif new.size != row["bytes"]:
+                    raise FileNotFoundError(final)
                 names.append(final)
             yield batch.set_column(batch.schema.get_field_index("name"), "name", pa.array(names, pa.string()))
 
