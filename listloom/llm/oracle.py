@@ -67,6 +67,32 @@ FROM rows
 """
 
 
+OP8 = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) END AS s
+  FROM texts
+), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+shared AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
+rare AS (SELECT doc_id, n, g FROM grams SEMI JOIN shared USING (g)),
+enough AS (SELECT doc_id FROM rare GROUP BY doc_id, n HAVING 100 * count(*) >= 80 * n),
+few AS (SELECT r.doc_id, n, g FROM rare r SEMI JOIN enough USING (doc_id)),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM few a JOIN few b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
+"""
+
 OP9 = r"""
 WITH pay AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages
@@ -90,4 +116,4 @@ FROM pay JOIN best USING (sha) JOIN digests USING (sha)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2(), "op3_exact_dedup": OP3, "op9_warc_writer": OP9}
+    return {"op2_license_scan": _op2(), "op3_exact_dedup": OP3, "op8_ngram_jaccard_join": OP8, "op9_warc_writer": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, kd_sharding, license_scan, media_ogg, packing, warc
+from . import chat_format, exact_dedup, kd_sharding, license_scan, media_ogg, ngram_join, packing, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -73,6 +73,10 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -89,5 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_chat_format,
         op6_kd_sharding,
         op7_ogg_media,
+        op8_ngram_jaccard_join,
         op9_warc_writer,
     )}
