@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, kd_sharding, license_scan, media_ogg, ngram_join, packing, warc
+from . import chat_format, exact_dedup, kd_sharding, license_scan, media_ogg, mixing, ngram_join, packing, quality, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -47,6 +47,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.format_windows(turns.unionByName(extra)))
 
 
+def op5_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_sharding.kd_shards(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -85,14 +89,20 @@ def op9_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing,
         op2_license_scan,
         op3_exact_dedup,
         op4_chat_format,
+        op5_quality_cotraining,
         op6_kd_sharding,
         op7_ogg_media,
         op8_ngram_jaccard_join,
         op9_warc_writer,
+        op10_soft_mixing,
     )}
