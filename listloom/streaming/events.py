@@ -19,8 +19,13 @@ def tumbling(events: DataFrame, size: str, late: str | None = None) -> DataFrame
 
 def stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A folder of Parquet files, or one file, as a stream; local time stamps become instants for the watermark."""
-    folder, _, name = path.rpartition("/")
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        raw = reader.parquet(path)
+    else:
+        folder, _, name = path.rpartition("/")
+        raw = reader.option("pathGlobFilter", name).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
