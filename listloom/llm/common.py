@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +108,28 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def returning_memory(run: Callable) -> Callable:
+    """A task function over Arrow batches that gives freed memory back to the system when it ends: Python workers live on
+    between tasks, and what they keep counts against the executor."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 # --------------------------------------------------------------------------------------------------------------------
 # exact weighted cut points
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import returning_memory, text_of
 
 BLOCK = 576
 PACKET_BLOCKS = 8
@@ -250,7 +250,7 @@ def store_payloads(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(docs["doc_id"], F.encode(text_of(docs), "UTF-8").alias("raw")).mapInArrow(
-        run, f"doc_id {kind}, media binary"
+        returning_memory(run), f"doc_id {kind}, media binary"
     )
 
 
@@ -276,5 +276,5 @@ def read_media(stored: DataFrame) -> DataFrame:
 
     kind = stored.schema["doc_id"].dataType.simpleString()
     return stored.select("doc_id", "media").mapInArrow(
-        run, f"doc_id {kind}, media binary, payload binary, n_bytes long, feature string"
+        returning_memory(run), f"doc_id {kind}, media binary, payload binary, n_bytes long, feature string"
     )

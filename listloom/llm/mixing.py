@@ -2,11 +2,12 @@
 
 A classifier fitted on the labelled table predicts for every document the probabilities of its domains. Each document
 gets a rate r >= 0, the expected number of times it is used, such that the expected tokens of each domain,
-sum of r * tokens * probability, meet the target weights. The rates minimise the squared differences, each relative to
-the domain's natural share, by projected gradient steps from r = 1: r <- clip(r - p . e / s, 0, most), where e is the
-excess of each domain and s its natural share. A step needs only the current excesses, one small sum over all documents,
-and a document's rate follows from its probabilities and the list of past excesses; so no rates are stored, every
-iteration is one distributed aggregate, and a lost executor loses nothing.
+sum of r * tokens * probability, meet the target weights. The rates minimise the squared excess e of the domains in the
+metric of their second moments, e' M^-1 e with M the token-weighted sum of p p', by projected gradient steps from r = 1:
+r <- clip(r - p' M^-1 e, 0, most). The metric makes the unit step safe, and exact while no rate is clipped. A step needs
+only the current excess, one small sum over all documents, and a document's rate follows from its probabilities and the
+list of past steps; so no rates are stored, every iteration is one distributed aggregate, and a lost executor loses
+nothing.
 
 Fitting uses at most ``LABELLED`` labelled documents of a domain (a parameter); probabilities, sums and rates cover all
 documents.
@@ -22,12 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import free_name, stage, text_of, with_row_id
+from .common import free_name, returning_memory, stage, text_of, with_row_id
 from .text_views import STYLE, Softmax, hashed_words, style
 
 #: Domains of the labelled table: low and high quality, and toxic whatever the quality.
@@ -44,12 +45,11 @@ SALT = 17
 
 @dataclass
 class Mixer:
-    """The fitted classifier with the domains' shares among the labels, and the excesses of past iterations."""
+    """The fitted classifier with the domains' shares among the labels, and the steps of past iterations (M^-1 e)."""
 
     model: Softmax | None
     prior: np.ndarray
-    shares: np.ndarray | None = None
-    excesses: list[np.ndarray] = field(default_factory=list)
+    steps: list[np.ndarray] = field(default_factory=list)
     most: float = np.inf
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
@@ -61,9 +61,8 @@ class Mixer:
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.ones(len(p))
-        for e in self.excesses:
-            scale = np.divide(e, self.shares, out=np.zeros_like(e), where=self.shares > 0)
-            r = np.clip(r - p @ scale, 0, self.most)
+        for step in self.steps:
+            r = np.clip(r - p @ step, 0, self.most)
         return r
 
 
@@ -134,8 +133,8 @@ def posteriors(docs: DataFrame, mixer: Mixer) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
                 texts = part.column("text")
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -148,21 +147,23 @@ def posteriors(docs: DataFrame, mixer: Mixer) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(base.mapInArrow(run, f"uid long, doc_id {kind}, tokens long, p array<double>"), "posteriors")
+    return stage(base.mapInArrow(returning_memory(run), f"uid long, doc_id {kind}, tokens long, p array<double>"), "posteriors")
 
 
-def _totals(rows: DataFrame, mixer: Mixer) -> np.ndarray:
-    """Expected tokens of each domain at the current rates."""
+def _totals(rows: DataFrame, mixer: Mixer, moments: bool = False) -> np.ndarray:
+    """Expected tokens of each domain at the current rates; with ``moments`` the tokens' second moments instead."""
+    n = len(DOMAINS)
+    names = [f"t{k}" for k in range(n * n if moments else n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(DOMAINS))
+        total = np.zeros(len(names))
         for batch in batches:
-            p = _matrix(batch)
-            total += (mixer.rates(p) * batch.column("tokens").to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=[f"t{k}" for k in range(len(total))])
+            p, tokens = _matrix(batch), batch.column("tokens").to_numpy()
+            total += ((p * tokens[:, None]).T @ p).ravel() if moments else (mixer.rates(p) * tokens) @ p
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=names)
 
-    sums = rows.select("tokens", "p").mapInArrow(run, ", ".join(f"t{k} double" for k in range(len(DOMAINS))))
-    got = sums.agg(*[F.sum(c).alias(c) for c in sums.columns]).first()
+    sums = rows.select("tokens", "p").mapInArrow(run, ", ".join(f"{c} double" for c in names))
+    got = sums.agg(*[F.sum(c).alias(c) for c in names]).first()
     return np.array([v or 0.0 for v in got])
 
 
@@ -180,13 +181,14 @@ def fit_rates(
     report: list | None = None,
 ) -> Mixer:
     """Iterate until every domain is within ``tolerance`` of its target; ``scale`` is the wanted size against the input."""
-    natural = _totals(rows, mixer)
+    m = _totals(rows, mixer, moments=True).reshape(len(DOMAINS), len(DOMAINS))
+    natural = m.sum(axis=1)  # probabilities sum to 1
     whole = natural.sum()
     if whole <= 0:
         return mixer
-    mixer.shares = natural / whole
-    wanted = np.array([targets.get(d, 0.0) for d in DOMAINS]) * (mixer.shares > 0)
-    wanted = scale * wanted / wanted.sum() if wanted.sum() > 0 else scale * mixer.shares
+    metric = np.linalg.pinv(m / whole, rcond=1e-9)
+    wanted = np.array([targets.get(d, 0.0) for d in DOMAINS]) * (natural > 0)
+    wanted = scale * wanted / wanted.sum() if wanted.sum() > 0 else scale * natural / whole
     now = natural / whole
     for _ in range(iterations):
         excess = now - wanted
@@ -194,7 +196,7 @@ def fit_rates(
             report.append(excess)
         if np.abs(excess).max() <= tolerance:
             break
-        mixer.excesses.append(excess)
+        mixer.steps.append(metric @ excess)
         now = _totals(rows, mixer) / whole
     return mixer
 
@@ -239,16 +241,19 @@ def mixed(
     mixer = fit_domains(docs, domain_labels(labels), most=most)
     fit_rates(posteriors(docs, mixer), mixer, targets, **options)
 
-    @F.pandas_udf("double")
-    def rate(text: pd.Series) -> pd.Series:
-        out = [
-            mixer.rates(mixer.probabilities(pa.array(text.iloc[low : low + 2000], pa.string())))
-            for low in range(0, len(text), 2000)
-        ]
-        return pd.Series(np.concatenate([np.zeros(0), *out]))
+    r, n = free_name(docs, "_rate"), free_name(docs, "_copies")
+    known = free_name(docs, "_text")
 
-    n = free_name(docs, "_copies")
-    counted = docs.withColumn(n, copies(rate(text_of(docs)), F.col("doc_id")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                rates = mixer.rates(mixer.probabilities(part.column(known)))
+                yield part.set_column(part.schema.get_field_index(known), r, pa.array(rates))
+
+    schema = StructType([*docs.schema.fields, StructField(r, DoubleType())])
+    rated = docs.withColumn(known, text_of(docs)).mapInArrow(returning_memory(run), schema)
+    counted = rated.withColumn(n, copies(F.col(r), F.col("doc_id"))).drop(r)
     return counted.filter(F.col(n) > 0).select(
         *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)
     ).drop(n)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_name, stage, text_of
+from .common import connected_components, free_name, returning_memory, stage, text_of
 from .packing import slices
 
 WORDS = 5
@@ -37,7 +37,7 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: Input bytes a column block stands for; entries a map task holds before it deals them out.
 BLOCK_BYTES = 8 << 20
-FLUSH = 1_500_000
+FLUSH = 800_000
 #: Largest candidate group that is multiplied whole; rows of a block in larger groups; columns of a slice.
 GROUP_ROWS = 512
 BLOCK_ROWS = 256
@@ -152,7 +152,7 @@ def _incidence(n: int, blocks: int) -> Callable:
         names: list[int] = []
         held = 0
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 found = shingle_sets(part.column("text"), n)
                 klass = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None for s in found]
                 for s, k in zip(found, klass):
@@ -395,9 +395,9 @@ def kept_rows(
     text = text_of(docs)
     entries = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")
-    ).mapInArrow(_incidence(n, blocks), ROWS)
-    dealt = entries.repartitionById(blocks, F.col("bucket")).mapInArrow(_frequencies(row_blocks), ROWS)
-    rows = dealt.repartitionById(row_blocks, F.col("bucket")).mapInArrow(_rows(numerator, denominator), KEPT)
+    ).mapInArrow(returning_memory(_incidence(n, blocks)), ROWS)
+    dealt = entries.repartitionById(blocks, F.col("bucket")).mapInArrow(returning_memory(_frequencies(row_blocks)), ROWS)
+    rows = dealt.repartitionById(row_blocks, F.col("bucket")).mapInArrow(returning_memory(_rows(numerator, denominator)), KEPT)
     return stage(rows, "ngram-rows")
 
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, with_row_id
+from .common import returning_memory, stage, text_of, with_row_id
 
 WINDOW = 4096
 END_ID = 1
@@ -140,7 +140,7 @@ class WordTokenizer:
         return out, begins[np.concatenate([[0], ends])]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 20 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``most_bytes`` of one column; a longer row stands alone."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     low = 0
@@ -182,7 +182,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select(docs["doc_id"], text_of(docs).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids binary"
+        returning_memory(run), f"doc_id {kind}, piece int, start long, length long, ids binary"
     )
 
 

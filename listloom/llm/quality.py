@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, with_row_id
+from .common import free_name, returning_memory, stage, text_of, with_row_id
 from .text_views import STYLE, Softmax, style
 
 LABELLED = 3000
@@ -119,7 +119,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return base.mapInArrow(
-        run, f"doc_id {kind}, source string, lang string, chars long, style array<double>, uid long"
+        returning_memory(run), f"doc_id {kind}, source string, lang string, chars long, style array<double>, uid long"
     )
 
 
@@ -260,7 +260,7 @@ def score_rows(rows: DataFrame, model: Combined | None) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        run, f"doc_id {kind}, text_score double, page_score double, score double, keep boolean"
+        returning_memory(run), f"doc_id {kind}, text_score double, page_score double, score double, keep boolean"
     )
 
 
@@ -277,15 +277,23 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     if model is None:
         return docs
 
-    @F.pandas_udf("boolean")
-    def keep(text: pd.Series, source: pd.Series, lang: pd.Series, chars: pd.Series) -> pd.Series:
-        _, _, score = model.scores(
-            style(text.tolist()), page_view(source.tolist(), lang.tolist(), chars.to_numpy(dtype=float))
-        )
-        return pd.Series(score >= model.threshold)
-
     have = {c.lower(): c for c in docs.columns}
     meta = [docs[have[c]].cast("string") if c in have else F.lit(None).cast("string") for c in ("source", "lang")]
     chars = docs[have["n_chars"]].cast("long") if "n_chars" in have else F.lit(None).cast("long")
     text = text_of(docs)
-    return docs.filter(keep(text, *meta, F.coalesce(chars, F.length(text)).cast("long")))
+    given = free_name(docs, "_given")
+    seen = F.struct(
+        text.alias("text"), meta[0].alias("source"), meta[1].alias("lang"),
+        F.coalesce(chars, F.length(text)).cast("long").alias("chars"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                t, s, g, c = (part.column(given).field(k) for k in range(4))
+                page = page_view(s.to_pylist(), g.to_pylist(), c.to_numpy(zero_copy_only=False))
+                _, _, score = model.scores(style(t.to_pylist()), page)
+                yield part.drop_columns([given]).filter(pa.array(score >= model.threshold))
+
+    return docs.withColumn(given, seen).mapInArrow(returning_memory(run), docs.schema)

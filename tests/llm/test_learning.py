@@ -63,13 +63,13 @@ def test_rates_meet_the_targets_and_match_brute_force(spark):
     assert (rate >= 0).all() and np.allclose(p.sum(axis=1), 1)
     met = (rate * tokens) @ p / tokens.sum()
     assert np.allclose(met, [targets[d] for d in mixing.DOMAINS], atol=2e-4)
-    share = tokens @ p / tokens.sum()
+    metric = np.linalg.inv((p * tokens[:, None]).T @ p / tokens.sum())
     r = np.ones(len(got))
     for _ in range(mixing.ITERATIONS):  # the same steps, with all rates held
         e = (r * tokens) @ p / tokens.sum() - np.array([targets[d] for d in mixing.DOMAINS])
         if np.abs(e).max() <= mixing.TOLERANCE:
             break
-        r = np.clip(r - p @ (e / share), 0, None)
+        r = np.clip(r - p @ (metric @ e), 0, None)
     assert np.allclose(r, rate)
     truth = {i: 2 if t else g for i, g, t in labels}
     held = [k for k, x in enumerate(got) if x["doc_id"] >= 400]
