@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listloom.functions.text import jaccard, js_round
+from listloom.session import ship
 
 MAX_BLOCK = 200
 DUPLICATE, AMBIGUOUS = 70, 45
@@ -150,6 +151,7 @@ def constrained_clusters(rows: DataFrame, scored: DataFrame, merge_ambiguous: bo
     Links and conflicts never cross a component of the link graph, so the greedy pass runs inside each component; the
     order is (score desc, left, right), and a cluster's name is its smallest id.
     """
+    ship(rows.sparkSession)
     wanted = ["duplicate", "ambiguous"] if merge_ambiguous else ["duplicate"]
     links = scored.filter(F.col("verdict").isin(*wanted)).select("left_id", "right_id", "score")
     # Renamed afresh: the components derive from the same links.
