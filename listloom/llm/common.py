@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listloom.session import ship
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,6 +38,7 @@ def stage_root(spark: SparkSession) -> str:
             base = "file://" + tempfile.mkdtemp(prefix="listloom-")
         root = f"{base.rstrip('/')}/listloom-{app}"
         _own_roots[app] = root
+        ship(spark)
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(root)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

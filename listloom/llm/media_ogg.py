@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listloom.session import ship
+
 from .common import returning_memory, text_of
 
 BLOCK = 576
@@ -236,6 +238,7 @@ def decode_media(media: bytes | None) -> tuple[bytes, bytes, str]:
 
 def store_payloads(docs: DataFrame) -> DataFrame:
     """(doc_id, media): the whole text of each row as an Ogg value."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,6 +259,7 @@ def store_payloads(docs: DataFrame) -> DataFrame:
 
 def read_media(stored: DataFrame) -> DataFrame:
     """``stored(doc_id, media)`` with payload (padded), n_bytes (from the notes, null without) and feature added."""
+    ship(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
