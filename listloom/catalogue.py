@@ -25,7 +25,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from listloom.plans import entities, extensions, incremental, lists, scores, statistics, texts  # noqa: F401
+    from listloom.plans import entities, extensions, fields, incremental, lists, scores, statistics, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
