@@ -67,6 +67,45 @@ FROM rows
 """
 
 
+OP4 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) + 4 AS cost,
+    17 + len(role) + len(regexp_replace(replace(text, '\', '\\'),
+      '<(\||/?s>|</?SYS>|/?SYS>|bos>|eos>|pad>|start_of_turn>|end_of_turn>)|\[(/?INST\]|/?SYS\])', '<x\1\2', 'g')) AS size
+  FROM turns
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS pos, coalesce(sum(cost) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    first_value(CASE WHEN role = 'system' THEN cost END) OVER w AS system_cost,
+    first_value(CASE WHEN role = 'system' THEN size END) OVER w AS system_size
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), celled AS (SELECT *, floor(start / greatest(256, 512 - coalesce(system_cost, 0))) AS cell FROM placed),
+cut AS (
+  SELECT *, sum(coalesce(cell <> before OR cost > 256 OR cost_before > 256, false)::INT) OVER (PARTITION BY conv_id ORDER BY start) AS part
+  FROM (SELECT *, lag(cell) OVER v AS before, lag(cost) OVER v AS cost_before FROM celled WINDOW v AS (PARTITION BY conv_id ORDER BY start))
+), parts AS (
+  SELECT conv_id, part, min(start) AS begins, sum(cost) AS own_cost, sum(size) AS own_size,
+    CASE WHEN min(pos) > 0 THEN any_value(system_cost) END AS kept_cost, CASE WHEN min(pos) > 0 THEN any_value(system_size) END AS kept_size
+  FROM cut GROUP BY conv_id, part
+), allowed AS (SELECT *, least(256, greatest(0, 1024 - coalesce(kept_cost, 0) - own_cost)) AS allowance FROM parts),
+past AS (
+  SELECT a.conv_id, a.part, sum(c.size) AS past_size FROM allowed a JOIN cut c ON a.conv_id = c.conv_id
+    AND c.start < a.begins AND c.start >= a.begins - a.allowance AND NOT (c.pos = 0 AND c.role = 'system')
+  GROUP BY a.conv_id, a.part
+), sizes AS (
+  SELECT conv_id, sum(own_size + coalesce(kept_size, 0) + coalesce(past_size, 0))::BIGINT AS formatted_chars
+  FROM allowed LEFT JOIN past USING (conv_id, part) GROUP BY conv_id
+), said AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS whole,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '') AS loss
+  FROM placed GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM said JOIN sizes USING (conv_id)
+"""
+
 OP8 = r"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
@@ -116,4 +155,4 @@ FROM pay JOIN best USING (sha) JOIN digests USING (sha)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2(), "op3_exact_dedup": OP3, "op8_ngram_jaccard_join": OP8, "op9_warc_writer": OP9}
+    return {"op2_license_scan": _op2(), "op3_exact_dedup": OP3, "op4_chat_format": OP4, "op8_ngram_jaccard_join": OP8, "op9_warc_writer": OP9}
