@@ -12,7 +12,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's modules to the executors, once per application; workers need not have it installed."""
+    """Send the package's modules to the executors, once per application; workers need not have it installed.
+
+    A Python function knows what was sent before it was made, so this comes first in what makes one.
+    """
     context = spark.sparkContext
     root = os.path.dirname(os.path.abspath(__file__))
     if context.applicationId in _shipped or not os.path.isdir(root):
