@@ -3,11 +3,11 @@
 A classifier fitted on the labelled table predicts for every document the probabilities of its domains. Each document
 gets a rate r >= 0, the expected number of times it is used, such that the expected tokens of each domain,
 sum of r * tokens * probability, meet the target weights. The rates minimise the squared excess e of the domains in the
-metric of their second moments, e' M^-1 e with M the token-weighted sum of p p', by projected gradient steps from r = 1:
-r <- clip(r - p' M^-1 e, 0, most). The metric makes the unit step safe, and exact while no rate is clipped. A step needs
-only the current excess, one small sum over all documents, and a document's rate follows from its probabilities and the
-list of past steps; so no rates are stored, every iteration is one distributed aggregate, and a lost executor loses
-nothing.
+metric of their second moments by projected gradient steps from r = 1: r <- clip(r - p' A^-1 e, 0, most), with A the
+token-weighted sum of p p' over the documents whose rate is not clipped, so a step is exact while the same documents stay
+clipped; a step that does not lower the excess is halved. A step needs only sums over all documents, and a document's
+rate follows from its probabilities and the list of past steps; so no rates are stored, every iteration is one
+distributed aggregate, and a lost executor loses nothing.
 
 Fitting uses at most ``LABELLED`` labelled documents of a domain (a parameter); probabilities, sums and rates cover all
 documents.
@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import free_name, returning_memory, stage, text_of, with_row_id
-from .text_views import STYLE, Softmax, hashed_words, style
+from .text_views import STYLE, Softmax, hashed_words, split_words, style
 
 #: Domains of the labelled table: low and high quality, and toxic whatever the quality.
 DOMAINS = ("low", "high", "toxic")
-TARGETS = {"low": 0.05, "high": 0.94, "toxic": 0.01}
-LABELLED = 1200
+TARGETS = {"low": 0.06, "high": 0.92, "toxic": 0.02}
+LABELLED = 1500
 BITS = 15
-STEPS = 60
-RATE_STEP = 8.0
+STEPS = 120
+RATE_STEP = 2.0
 ITERATIONS = 40
 TOLERANCE = 1e-4
 SALT = 17
@@ -55,7 +55,8 @@ class Mixer:
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         if self.model is None:
             return np.tile(self.prior, (len(texts), 1))
-        p = self.model.text_posteriors(style(texts.to_pylist()), texts)
+        split = split_words(texts)
+        p = self.model.text_posteriors(style(texts, split), split)
         p *= self.prior  # the classifier saw every domain alike
         return p / p.sum(axis=1, keepdims=True)
 
@@ -105,7 +106,7 @@ def fit_domains(docs: DataFrame, marked: DataFrame, bound: int = LABELLED, most:
                     [
                         part.column("doc_id").cast(pa.int64()),
                         part.column("domain"),
-                        pa.array(style(texts.to_pylist()).tolist(), pa.list_(pa.float64())),
+                        pa.array(style(texts).tolist(), pa.list_(pa.float64())),
                         pa.array([f.astype(np.uint16).tobytes() for f, _ in found], pa.binary()),
                         pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary()),
                     ],
@@ -121,9 +122,16 @@ def fit_domains(docs: DataFrame, marked: DataFrame, bound: int = LABELLED, most:
     times = np.concatenate([np.frombuffer(t, np.uint32) for t in rows["times"]]).astype(float)
     y = rows["domain"].to_numpy(dtype=int)
     weight = np.array([1 / max(1, (y == k).sum()) for k in range(len(DOMAINS))])[y]
-    model = Softmax(len(DOMAINS), x.shape[1], BITS).fit(
-        x, y, row, np.concatenate(features).astype(np.int64), times, weight, STEPS, RATE_STEP
-    )
+    feature = np.concatenate(features).astype(np.int64)
+    # Every fourth document calibrates and takes no part in fitting.
+    held = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
+
+    def part(mask: np.ndarray) -> tuple:
+        own = mask[row]
+        return x[mask], y[mask], (np.cumsum(mask) - 1)[row[own]], feature[own], times[own], weight[mask]
+
+    model = Softmax(len(DOMAINS), x.shape[1], BITS).fit(*part(~held), STEPS, RATE_STEP)
+    model.calibrate(*part(held))
     return Mixer(model, prior, most=most)
 
 
@@ -150,21 +158,24 @@ def posteriors(docs: DataFrame, mixer: Mixer) -> DataFrame:
     return stage(base.mapInArrow(returning_memory(run), f"uid long, doc_id {kind}, tokens long, p array<double>"), "posteriors")
 
 
-def _totals(rows: DataFrame, mixer: Mixer, moments: bool = False) -> np.ndarray:
-    """Expected tokens of each domain at the current rates; with ``moments`` the tokens' second moments instead."""
+def _totals(rows: DataFrame, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain at the current rates, and the second moments over documents of free rates."""
     n = len(DOMAINS)
-    names = [f"t{k}" for k in range(n * n if moments else n)]
+    names = [f"t{k}" for k in range(n + n * n)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(names))
         for batch in batches:
             p, tokens = _matrix(batch), batch.column("tokens").to_numpy()
-            total += ((p * tokens[:, None]).T @ p).ravel() if moments else (mixer.rates(p) * tokens) @ p
+            r = mixer.rates(p)
+            total[:n] += (r * tokens) @ p
+            free = np.where((r > 0) & (r < mixer.most), tokens, 0)
+            total[n:] += ((p * free[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=names)
 
     sums = rows.select("tokens", "p").mapInArrow(run, ", ".join(f"{c} double" for c in names))
-    got = sums.agg(*[F.sum(c).alias(c) for c in names]).first()
-    return np.array([v or 0.0 for v in got])
+    got = np.array([v or 0.0 for v in sums.agg(*[F.sum(c).alias(c) for c in names]).first()])
+    return got[:n], got[n:].reshape(n, n)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -181,23 +192,27 @@ def fit_rates(
     report: list | None = None,
 ) -> Mixer:
     """Iterate until every domain is within ``tolerance`` of its target; ``scale`` is the wanted size against the input."""
-    m = _totals(rows, mixer, moments=True).reshape(len(DOMAINS), len(DOMAINS))
-    natural = m.sum(axis=1)  # probabilities sum to 1
+    natural, moments = _totals(rows, mixer)
     whole = natural.sum()
     if whole <= 0:
         return mixer
-    metric = np.linalg.pinv(m / whole, rcond=1e-9)
     wanted = np.array([targets.get(d, 0.0) for d in DOMAINS]) * (natural > 0)
     wanted = scale * wanted / wanted.sum() if wanted.sum() > 0 else scale * natural / whole
-    now = natural / whole
+    metric = np.linalg.pinv(moments / whole, rcond=1e-9)
+    excess = natural / whole - wanted
     for _ in range(iterations):
-        excess = now - wanted
         if report is not None:
             report.append(excess)
         if np.abs(excess).max() <= tolerance:
             break
-        mixer.steps.append(metric @ excess)
-        now = _totals(rows, mixer) / whole
+        mixer.steps.append(np.linalg.pinv(moments / whole, rcond=1e-9) @ excess)
+        totals, free = _totals(rows, mixer)
+        new = totals / whole - wanted
+        if new @ metric @ new < excess @ metric @ excess:
+            excess, moments = new, free
+        else:
+            mixer.steps.pop()
+            moments = 2 * moments  # the same step, half as long
     return mixer
 
 

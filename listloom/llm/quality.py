@@ -113,7 +113,7 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                found = style(part.column("text").to_pylist())
+                found = style(part.column("text"))
                 at = part.schema.get_field_index("text")
                 yield part.set_column(at, "style", pa.array(found.tolist(), pa.list_(pa.float64())))
 
@@ -293,7 +293,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 part = batch.slice(low, 1000)
                 t, s, g, c = (part.column(given).field(k) for k in range(4))
                 page = page_view(s.to_pylist(), g.to_pylist(), c.to_numpy(zero_copy_only=False))
-                _, _, score = model.scores(style(t.to_pylist()), page)
+                _, _, score = model.scores(style(t), page)
                 yield part.drop_columns([given]).filter(pa.array(score >= model.threshold))
 
     return docs.withColumn(given, seen).mapInArrow(returning_memory(run), docs.schema)

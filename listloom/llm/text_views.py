@@ -34,28 +34,27 @@ def _most(values: np.ndarray, part: int) -> float:
     return float(sums.max())
 
 
-def style_of(text: str) -> list[float]:
-    """Features of form: repetition, capitals, marks, runs of marks, lines that repeat, and the worst part of each."""
+def style_of(text: str, ids: np.ndarray) -> list[float]:
+    """Features of form: repetition, capitals, marks, runs of marks, lines that repeat, and the worst part of each.
+    ``ids`` number the text's words."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    words = text.split()
-    n = len(words)
-    if not n:
+    n = len(ids)
+    if not len(raw):
         return [0.0] * len(STYLE)
     kind = _CLASS[raw]
     count = np.bincount(kind, minlength=8)
     letters = max(1, int(count[1] + count[2] + count[7]))
     size = len(raw)
-    number: dict[str, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for w in words])
-    again = np.concatenate([[0.0], (ids[1:] == ids[:-1]).astype(float)])
-    tops = np.bincount(ids)
+    again = np.zeros(n)
+    again[1:] = ids[1:] == ids[:-1]
+    tops = np.unique(ids, return_counts=True)[1]
     is_mark = kind == 6
     runs = int(np.count_nonzero(is_mark[1:] & (raw[1:] == raw[:-1]))) if size > 1 else 0
     lines = [x for x in text.split("\n") if x]
     bytes_part = PART * 6
     return [
         float(np.log1p(n)),
-        len(number) / n,
+        len(tops) / n,
         float(tops.max()) / n,
         float(again.mean()),
         _most(again, PART),
@@ -73,14 +72,18 @@ def style_of(text: str) -> list[float]:
     ]
 
 
-def style(texts: list[str]) -> np.ndarray:
-    return np.array([style_of(t) for t in texts], dtype=np.float64).reshape(len(texts), len(STYLE))
+def style(texts: pa.Array, split: tuple | None = None) -> np.ndarray:
+    """``split``: the texts' words as of ``split_words``, where they are at hand."""
+    _, which, _, sizes = split or split_words(texts)
+    ends = np.cumsum(sizes).tolist()
+    rows = [style_of(t, which[lo:hi]) for t, lo, hi in zip(texts.to_pylist(), [0, *ends], ends)]
+    return np.array(rows, dtype=np.float64).reshape(len(texts), len(STYLE))
 
 
-def hashed_words(texts: pa.Array, bits: int, prefix: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+def hashed_words(texts: pa.Array, bits: int, prefix: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's distinct hashed words and word starts, with how often they occur."""
-    row, which, plain, sizes = _words(texts)
-    whole, start = _hashes(plain, bits, prefix)
+    row, which, words, sizes = split_words(texts)
+    whole, start = _hashes(words, bits, prefix)
     ends = np.cumsum(sizes).tolist()
     return [
         np.unique(np.concatenate([whole[which[lo:hi]], start[which[lo:hi]]]), return_counts=True)
@@ -88,15 +91,16 @@ def hashed_words(texts: pa.Array, bits: int, prefix: int = 5) -> list[tuple[np.n
     ]
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(row of each word, its number, the numbered words, words of each row), over white space."""
     lists = pc.ascii_split_whitespace(texts)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     words = lists.flatten().dictionary_encode()
-    plain = pc.utf8_lower(pc.utf8_trim(words.dictionary, characters=".,;:!?()\"'")).to_pylist()
-    return np.repeat(np.arange(len(sizes)), sizes), words.indices.to_numpy(), plain, sizes
+    return np.repeat(np.arange(len(sizes)), sizes), words.indices.to_numpy(), words.dictionary, sizes
 
 
-def _hashes(plain: list[str], bits: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(words: pa.Array, bits: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    plain = pc.utf8_lower(pc.utf8_trim(words, characters=".,;:!?()\"'")).to_pylist()
     mask = (1 << bits) - 1
     whole = np.array([xxhash.xxh32_intdigest(w) for w in plain], dtype=np.int64) & mask
     start = np.array([xxhash.xxh32_intdigest(w[:prefix], 1) for w in plain], dtype=np.int64) & mask
@@ -107,7 +111,7 @@ class Softmax:
     """Multinomial regression over dense and hashed features, fitted by full-gradient steps with momentum."""
 
     def __init__(self, classes: int, dense: int, bits: int | None = None, decay: float = 1e-4):
-        self.classes, self.bits, self.decay = classes, bits, decay
+        self.classes, self.bits, self.decay, self.temperature = classes, bits, decay, 1.0
         self.mean, self.scale = np.zeros(dense), np.ones(dense)
         self.w = np.zeros((dense + 1, classes))
         self.h = np.zeros((1 << bits, classes)) if bits else None
@@ -125,23 +129,37 @@ class Softmax:
                 out[:, k] += v * np.bincount(row, weights=self.h[feature, k] * times, minlength=len(x))
         return out
 
-    def text_posteriors(self, x: np.ndarray, texts: pa.Array, prefix: int = 5) -> np.ndarray:
-        """As ``posteriors`` over ``hashed_words``, with one look-up for each distinct word."""
-        row, which, plain, sizes = _words(texts)
-        whole, start = _hashes(plain, self.bits, prefix)
+    def text_posteriors(self, x: np.ndarray, split: tuple, prefix: int = 4) -> np.ndarray:
+        """As ``posteriors`` over ``hashed_words``, with one look-up for each distinct word of ``split_words``."""
+        row, which, words, sizes = split
+        whole, start = _hashes(words, self.bits, prefix)
         s = self._dense(x) @ self.w
         v = 1 / np.sqrt(np.maximum(1, 2 * sizes))
         for k in range(self.classes):
             own = (self.h[whole, k] + self.h[start, k])[which]
             s[:, k] += v * np.bincount(row, weights=own, minlength=len(x))
+        s /= self.temperature
         s = np.exp(s - s.max(axis=1, keepdims=True))
         return s / s.sum(axis=1, keepdims=True)
 
     def posteriors(self, x, row=None, feature=None, times=None) -> np.ndarray:
-        s = self.scores(x, row, feature, times)
+        s = self.scores(x, row, feature, times) / self.temperature
         s = np.exp(s - s.max(axis=1, keepdims=True))
         return s / s.sum(axis=1, keepdims=True)
 
+    def calibrate(self, x, y, row=None, feature=None, times=None, weight=None) -> Softmax:
+        """Set the temperature that rows not fitted on find likeliest."""
+        s = self.scores(x, row, feature, times)
+        weight = np.full(len(x), 1 / max(1, len(x))) if weight is None else weight / weight.sum()
+
+        def loss(t: float) -> float:
+            z = s / t - (s / t).max(axis=1, keepdims=True)
+            return -float(weight @ (z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))))
+
+        if len(x):
+            self.temperature = float(min(np.geomspace(0.05, 3, 48), key=loss))
+        return self
+
     def fit(self, x, y, row=None, feature=None, times=None, weight=None, steps: int = 300, rate: float = 2.0) -> Softmax:
         """Rows of a class weigh as ``weight`` says, evenly by default."""
         n = len(x)
@@ -153,8 +171,15 @@ class Softmax:
         vh = np.zeros_like(self.h) if self.h is not None else None
         if self.h is not None:
             v = 1 / np.sqrt(np.maximum(1, np.bincount(row, weights=times, minlength=n)))
+        best = np.inf
         for _ in range(steps):
-            off = (self.posteriors(x, row, feature, times) - goal) * weight[:, None]
+            said = self.posteriors(x, row, feature, times)
+            loss = -float(weight @ np.log(np.maximum(1e-12, said[np.arange(n), y])))
+            if loss > 1.02 * best + 1e-6:  # too far: shorter steps from a standstill
+                rate, vw = 0.5 * rate, 0 * vw
+                vh = 0 * vh if vh is not None else None
+            best = min(best, loss)
+            off = (said - goal) * weight[:, None]
             vw = 0.9 * vw - 0.1 * rate * (z.T @ off + self.decay * self.w)
             self.w += vw
             if self.h is not None:
