@@ -36,12 +36,13 @@ def stage_root(spark: SparkSession) -> str:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="listloom-")
-        root = f"{base.rstrip('/')}/listloom-{app}"
-        _own_roots[app] = root
-        ship(spark)
         jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
+        path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/listloom-{app}")
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # Qualified, since a bare path means another place to Python than to Spark; a local one is written out in full.
+        root = fs.makeQualified(path).toString()
+        _own_roots[app] = "file://" + root[5:] if root.startswith("file:/") and root[6:7] != "/" else root
+        ship(spark)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
     return _own_roots[app]
