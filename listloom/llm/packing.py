@@ -43,7 +43,10 @@ def _byte_letters() -> dict[int, str]:
 def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs pool[start : start + length] one after another, and where each begins (with the end)."""
     at = np.concatenate([[0], np.cumsum(lengths)])
-    return pool[np.repeat(starts - at[:-1], lengths) + np.arange(at[-1])], at
+    kind = np.int32 if max(at[-1], len(pool)) < 1 << 31 else np.int64  # half the memory, save for enormous rows
+    index = np.repeat((starts - at[:-1]).astype(kind), lengths)
+    index += np.arange(at[-1], dtype=kind)
+    return pool[index], at
 
 
 class WordTokenizer:
