@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listloom.session import ship
+
 from .common import connected_components, free_name, returning_memory, stage, text_of
 from .packing import slices
 
@@ -390,6 +392,7 @@ def kept_rows(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Staged: a row per document (tokens null) and a row per class that may have a partner."""
+    ship(docs.sparkSession)
     blocks = column_blocks(docs, block_bytes)
     row_blocks = max(8, blocks // 2)
     text = text_of(docs)
@@ -475,7 +478,10 @@ def ngram_components(
     tied = least.join(roots.withColumnRenamed("node", "klass"), "klass")
     tops = tied.groupBy("root").agg(F.min("least").alias("top"))
     moved = tied.join(tops, "root").select("klass", "top")
-    labels = least.join(moved, "klass", "left").select("klass", F.coalesce("top", "least").alias("label"))
+    # Staged, so that the join below stands alone and Spark can split the rows of a class with very many copies.
+    labels = stage(
+        least.join(moved, "klass", "left").select("klass", F.coalesce("top", "least").alias("label")), "labels"
+    )
     return documents.join(labels, "klass", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
