@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 BUDGET = 1024
 HISTORY = 256
 SHARE = 256
@@ -65,8 +67,12 @@ def placed_turns(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     )
     # The first turn of each conversation; partial aggregation leaves one candidate a task.
     first = base.groupBy("conv_id").agg(F.min(F.struct("chunk", "turn", "role", "text", "cost")).alias("head"))
-    system = first.filter("head.role = 'system'").select(
-        F.col("conv_id").alias("sc"), F.struct("head.chunk", "head.role", "head.text", "head.cost").alias("system")
+    # Staged, so that the join stands alone and Spark can split the turns of a very long conversation.
+    system = stage(
+        first.filter("head.role = 'system'").select(
+            F.col("conv_id").alias("sc"), F.struct("head.chunk", "head.role", "head.text", "head.cost").alias("system")
+        ),
+        "system-turns",
     )
     rows = base.join(system, base["conv_id"].eqNullSafe(F.col("sc")), "left").drop("sc")
     inside = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
