@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from listloom.session import ship
+
 from .common import stage, stage_path, weighted_cuts
 
 SHARD_BYTES = 64 << 20
@@ -108,8 +110,10 @@ def ordered_records(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFra
         targets = {0: [total * k / shards for k in range(1, shards)]}
         cuts = sorted(set(weighted_cuts(shifted, "node", "key", "w", targets)[0]))
     responses = keys.groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
-    # Only groups of several records need a decision; a group's rows are split by Spark's skew handling.
-    decisions = keys.select("page_id", "sha").join(responses.filter("n > 1").drop("n"), "sha").distinct()
+    # Only groups of several records need a decision. Staged, so that the join stands alone and Spark can split the rows
+    # of a payload with very many copies.
+    shared = stage(responses.filter("n > 1").drop("n"), "warc-shared")
+    decisions = keys.select("page_id", "sha").join(shared, "sha").distinct()
     rows = (
         decisions.select(
             shard_column(F.col("page_id"), cuts).alias("shard"),
@@ -322,6 +326,7 @@ def _reader(path: str, payloads: bool, batch_rows: int = 1000):
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records of every committed archive under ``path``; ``sound`` tells whether its digests hold."""
+    ship(spark)
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest.parquet")
     # One file a task where there are few; beyond that, files are dealt by a hash of their names.
     files = max(1, manifest.count())
