@@ -32,6 +32,8 @@ END_ID = 1
 PIECES_PER_PARTITION = 60_000
 RELEASED_PER_PARTITION = 512
 ROUNDS = 6
+#: Text that one call of the tokenizer takes: more finds more words twice, less needs less memory.
+SLICE_BYTES = 20 << 20
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write a byte as the letter itself where it is printable in Latin-1, else as U+0100 on."""
@@ -145,7 +147,7 @@ class WordTokenizer:
         return out, begins[np.concatenate([[0], ends])]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 20 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``most_bytes`` of one column; a longer row stands alone."""
     sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     low = 0
@@ -156,7 +158,9 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 20 << 20) -> It
         low = high
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def tokenize_pieces(
+    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """(doc_id, piece, start, length, ids) with ``ids`` the little-endian unsigned 32-bit ids of the piece."""
     ship(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
@@ -164,7 +168,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer(tokenizer_path)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", slice_bytes):
                 rows, piece, length, cuts = [], [], [], []
                 flat, begins = words.encode(part.column("text"))
                 raw, begins = flat.tobytes(), (4 * begins).tolist()
