@@ -8,6 +8,7 @@ from listloom.catalogue import query
 from listloom.functions.text import ACCENTED, PLAIN, STOP_WORDS, jaccard, tokenize
 from listloom.operators import entities
 from listloom.operators.affinity import without_redundant
+from listloom.operators.similar import similar_sets
 from listloom.sources.views import table, view, with_views
 
 
@@ -187,6 +188,20 @@ def token_jaccard_pairs(spark, sf_dir):
     return scored.filter("similarity > 0.4").select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def text_fold_tokens_whole(spark, sf_dir):
+    """SCA-04, SCA-10: as ``text_fold_tokens``, texts of every length."""
+    df = table(spark, sf_dir, "documents").select("doc_id", tokenize(F.col("text")).alias("t"))
+    return df.select("doc_id", F.size("t").alias("n"), F.array_min("t").alias("first"))
+
+
+@query()
+def token_jaccard_pairs_whole(spark, sf_dir):
+    """SCA-11: as ``token_jaccard_pairs``, all pairs of all texts."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", tokenize(F.col("text")).alias("t"))
+    return similar_sets(rows, 0.4).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     with_views(
         """WITH k AS (SELECT id, source_id IN ('s2', 's5', 's7') AS relayed, unnest(
