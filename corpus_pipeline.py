@@ -15,6 +15,8 @@ from listloom.llm.queries import tokenizer_path
 #: Of what quality and copy removal leave: little of the low rest, few toxic pages, the others as they are.
 TARGETS = {"low": 0.01, "high": 0.98, "toxic": 0.01}
 MOST_COPIES = 2.0
+#: No document that is likelier of this domain than of any other is dropped, whatever the targets say.
+SPARED = "high"
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
-    return mixing.mixed(docs, _labels(spark, sf_dir), TARGETS, most=MOST_COPIES)
+    return mixing.mixed(docs, _labels(spark, sf_dir), TARGETS, most=MOST_COPIES, spared=SPARED)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

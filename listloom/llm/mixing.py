@@ -53,6 +53,8 @@ class Mixer:
     prior: np.ndarray
     steps: list[np.ndarray] = field(default_factory=list)
     most: float = np.inf
+    #: Domain whose documents (no other domain is likelier) keep a rate of 1 at least.
+    spared: str | None = None
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         if self.model is None:
@@ -62,10 +64,15 @@ class Mixer:
         p *= self.prior  # the classifier saw every domain alike
         return p / p.sum(axis=1, keepdims=True)
 
+    def least(self, p: np.ndarray) -> np.ndarray:
+        if self.spared is None:
+            return np.zeros(len(p))
+        return (p[:, DOMAINS.index(self.spared)] >= p.max(axis=1)).astype(float)
+
     def rates(self, p: np.ndarray) -> np.ndarray:
-        r = np.ones(len(p))
+        r, least = np.ones(len(p)), self.least(p)
         for step in self.steps:
-            r = np.clip(r - p @ step, 0, self.most)
+            r = np.clip(r - p @ step, least, self.most)
         return r
 
 
@@ -172,7 +179,9 @@ def _totals(rows: DataFrame, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
             p, tokens = _matrix(batch), batch.column("tokens").to_numpy()
             r = mixer.rates(p)
             total[:n] += (r * tokens) @ p
-            free = np.where((r > 0) & (r < mixer.most), tokens, 0)
+            # At the start every rate may still move, if only upwards.
+            moves = (r > mixer.least(p)) & (r < mixer.most) if mixer.steps else np.ones(len(p), bool)
+            free = np.where(moves, tokens, 0)
             total[n:] += ((p * free[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=names)
 
@@ -252,11 +261,18 @@ def copies(rate, doc_id):
 
 
 def mixed(
-    docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, most: float = np.inf, **options
+    docs: DataFrame,
+    labels: DataFrame,
+    targets: dict[str, float] = TARGETS,
+    most: float = np.inf,
+    spared: str | None = None,
+    **options,
 ) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say, all columns as they are. Rates are computed in the scan, so
-    no text is shuffled."""
+    no text is shuffled. Documents of the ``spared`` domain are all there at least once; targets that this puts out of
+    reach are met as near as it allows."""
     mixer = fit_domains(docs, domain_labels(labels), most=most)
+    mixer.spared = spared
     fit_rates(posteriors(docs, mixer), mixer, targets, **options)
 
     r, n = free_name(docs, "_rate"), free_name(docs, "_copies")
