@@ -193,9 +193,10 @@ def weighted_cuts(
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` to ``(node, root)`` for every node with an edge; root is the smallest node of the component.
 
-    Contraction: each node points at its smallest neighbour, edges are rewritten between those and loops go; the node
-    count at least halves among those with edges, so the rounds are logarithmic. Every round is staged, nothing is
-    collected. At the end the pointers are followed back, also level by level.
+    Contraction: each node points at its smallest neighbour, pointers are followed to their ends, edges are rewritten
+    between those and loops go. A node that neither points nor is pointed to has neighbours that point below it, so it
+    points in the next round: two rounds at least halve the nodes, and the rounds are logarithmic. Every round is staged,
+    nothing is collected. At the end the pointers are followed back, also level by level.
     """
     spark = edges.sparkSession
     kept = Scratch(spark, name)
@@ -211,6 +212,16 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
             both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
             .select("node", F.least("node", "m").alias("root"))
         )
+        while True:  # each step doubles how far the pointers reach
+            onward = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            further = kept.keep(
+                up.join(onward, "root").select(
+                    "node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")
+                )
+            )
+            if further.filter("moved").isEmpty():
+                break
+            up = further.select("node", "root")
         levels.append(up)
         now = kept.keep(
             now.join(up.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")

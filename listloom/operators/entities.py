@@ -7,6 +7,8 @@ any pairing, so no block can grow into a quadratic one.
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,24 +122,39 @@ def verdicts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return scored.withColumn("verdict", verdict.otherwise("distinct"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Checkpointed, which cuts the lineage; a local session without a folder for that gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="listloom-"))
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) by contraction: each round maps nodes to their smallest neighbour and drops loops."""
-    now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    now = now.checkpoint() if now.sparkSession.sparkContext.getCheckpointDir() else now.cache()
+    """(node, root) by contraction: each round maps nodes to their smallest neighbour, follows these pointers to their
+    end, rewrites the edges between the ends and drops loops.
+
+    A node that neither points nor is pointed to has neighbours that point below it, so it points in the next round: two
+    rounds halve the nodes at least, and a round follows a path of n pointers in log2(n) joins.
+    """
+    now = _kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     levels = []
     for _ in range(max_rounds):
         both = now.select("a", "b").union(now.select("b", "a"))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        up = up.select("node", F.least("node", "m").alias("root")).cache()
+        up = _ends(_kept(up.select("node", F.least("node", "m").alias("root"))))
         levels.append(up)
         to = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: E731, B023
-        now = (
+        now = _kept(
             now.join(to("a"), "a").join(to("b"), "b").filter("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         )
-        now = now.checkpoint() if now.sparkSession.sparkContext.getCheckpointDir() else now.cache()
         if now.isEmpty():
             break
+    else:
+        raise RuntimeError("components did not contract")
     out = levels[-1]
     for up in reversed(levels[:-1]):
         higher = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -145,6 +162,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out
 
 
+def _ends(up: DataFrame) -> DataFrame:
+    """Pointers (node, root) led to their ends; each step doubles how far they reach. Every root is a node."""
+    while True:
+        onward = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        further = _kept(up.join(onward, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+        if further.filter("moved").isEmpty():
+            return up
+        up = further.select("node", "root")
+
+
 def constrained_clusters(rows: DataFrame, scored: DataFrame, merge_ambiguous: bool = False) -> DataFrame:
     """(id, cluster): links by falling score, two clusters joined unless a cross pair conflicts within one source.
 
