@@ -198,6 +198,12 @@ def commune_folds(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.commune_fold(F.substring("text", 1, 60)).alias("commune"))
 
 
+@query()
+def commune_folds_whole(spark, sf_dir):
+    """SCA-08: the whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.commune_fold(F.col("text")).alias("commune"))
+
+
 @query("SELECT user_id, event_id, sum(CASE WHEN value >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)::BIGINT AS hits, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean FROM events")
 def moving_frames(spark, sf_dir):
     """§2.6: counts and means over the last five rows."""

@@ -22,6 +22,13 @@ def text_folds(spark, sf_dir):
     )
 
 
+@query()
+def text_folds_whole(spark, sf_dir):
+    """SCA-09: the slug of the whole text."""
+    df = table(spark, sf_dir, "documents")
+    return df.select("doc_id", F.replace(text.district_fold(F.col("text")), F.lit(" "), F.lit("-")).alias("slug"))
+
+
 @query("SELECT doc_id, trim(regexp_replace(translate(text, chr(160) || chr(8239) || chr(8201) || chr(9) || chr(10) || chr(13), '      '), ' +', ' ', 'g')) AS cleaned FROM documents WHERE NOT contains(text, '&')")
 def clean_texts(spark, sf_dir):
     """SCA-01, SCA-02: on texts without entities SQL can follow."""
