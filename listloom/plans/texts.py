@@ -36,6 +36,12 @@ def clean_texts(spark, sf_dir):
     return df.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
+@query()
+def clean_texts_whole(spark, sf_dir):
+    """SCA-01, SCA-02: all texts, entities decoded; tested against brute force."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+
+
 @query(
     """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) || ' 450,50 x' WHEN 1 THEN '1.' || CAST(100 + o_orderkey % 900 AS VARCHAR) || ',5'
  WHEN 2 THEN '1,' || CAST(100 + o_orderkey % 900 AS VARCHAR) || '.25' WHEN 3 THEN CAST(o_orderkey % 99 AS VARCHAR) || ',5' WHEN 4 THEN '2.' || CAST(100 + o_orderkey % 900 AS VARCHAR) ELSE 'none' END AS x FROM orders)
