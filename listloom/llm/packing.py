@@ -2,9 +2,9 @@
 
 Documents become token ids, then an end id; only documents longer than the window are cut. Pieces are dealt evenly over
 partitions by a hash, and each partition is packed best-fit decreasing. Dual-feasible functions give a lower bound on
-the sequences that any packing needs: their sums add up over partitions, so one aggregate certifies each partition and
-the whole. While the whole has a gap, partitions with gaps release the pieces of their loosest sequences; the released
-pieces meet in fewer partitions and are packed best-fit decreasing again. A round that saves nothing is not applied.
+the sequences that any packing needs. Their sums over the whole table certify the whole; single partitions are not
+certified. While the whole has a gap, every partition releases the pieces of its loosest sequences; the released pieces
+meet in fewer partitions and are packed best-fit decreasing again. A round that saves nothing is not applied.
 
 Defined cases: null text is empty text and packs as the end id alone; rows that repeat are packed once each; an empty
 table gives an empty result; other columns are left alone.
