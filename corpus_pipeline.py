@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of ``documents``.
+
+Defined cases of every stage: null text is empty text and null metadata a value of its own; of rows that repeat, exact
+dedup leaves one; ties are settled by length, then by the smallest id, a null id last; a text of any length is read
+whole; an empty table gives an empty result; without labels the quality stage keeps and the mixture leaves every
+document; columns that the table has beyond those of ``documents`` are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,9 +17,10 @@ from pyspark.sql import functions as F
 from listloom.llm import common, exact_dedup, mixing, ngram_join, packing, quality
 from listloom.llm.queries import tokenizer_path
 
-#: Of what quality and copy removal leave: little of the low rest, few toxic pages, the others as they are.
+#: Shares of what the mixture leaves: little of the low rest, few toxic pages, the others as they are.
 TARGETS = {"low": 0.01, "high": 0.98, "toxic": 0.01}
-MOST_COPIES = 2.0
+#: After two stages of copy removal nothing is repeated; the mixture's size follows from the spared domain.
+MOST_COPIES = 1.0
 #: No document that is likelier of this domain than of any other is dropped, whatever the targets say.
 SPARED = "high"
 
@@ -39,8 +45,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
-    return mixing.mixed(docs, _labels(spark, sf_dir), TARGETS, most=MOST_COPIES, spared=SPARED)
+    """Documents as often as their rates say: low and toxic ones are thinned until their shares fit."""
+    return mixing.mixed(docs, _labels(spark, sf_dir), TARGETS, most=MOST_COPIES, spared=SPARED, scale=None)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,11 +126,21 @@ def returning_memory(run: Callable) -> Callable:
     return wrapped
 
 
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int, most_rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``most_bytes`` of one column; a longer row stands alone."""
+    sizes = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < batch.num_rows:
+        before = sizes[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
+        high = min(high, low + most_rows)
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def give_back() -> None:
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
     if trim is not None:

@@ -2,23 +2,29 @@
 
 A classifier fitted on the labelled table predicts for every document the probabilities of its domains. Each document
 gets a rate r >= 0, the expected number of times it is used, such that the expected tokens of each domain,
-sum of r * tokens * probability, meet the target weights. The rates minimise the squared excess e of the domains in the
-metric of their second moments by projected gradient steps from r = 1: r <- clip(r - p' A^-1 e, 0, most), with A the
-token-weighted sum of p p' over the documents whose rate is not clipped, so a step is exact while the same documents stay
-clipped; a step that does not lower the excess is halved. A step needs only sums over all documents, and a document's
-rate follows from its probabilities and the list of past steps; so no rates are stored, every iteration is one
-distributed aggregate, and a lost executor loses nothing.
+sum of r * tokens * probability, meet the target weights. The rates minimise the plain squared excess of the domains by
+accelerated projected gradient steps from r = 1. The step is one over the largest eigenvalue of the documents' second
+moments, so no step overshoots; momentum starts anew whenever the excess grows. The fit ends when every domain is within
+``TOLERANCE`` of its target, or when the projected gradient vanishes: then the excess that is left is the least that
+nonnegative rates allow. A fit that ends otherwise says so (``Fit.converged``).
+
+Probabilities are rounded to multiples of 1 / ``LEVELS``. Documents with equal probabilities have equal rates, so one
+partially aggregated pass sums the tokens of each of at most (LEVELS + 1)(LEVELS + 2) / 2 cells, and all iterations are
+distributed aggregates over that table, whose size does not grow with the documents. A cell's or document's rate follows
+from its probabilities and the list of past steps; no rates are stored, and a lost executor loses nothing.
 
 Fitting uses at most ``LABELLED`` labelled documents of a domain (a parameter); probabilities, sums and rates cover all
 documents.
 
 Defined cases: null text is empty text; several labels of a document count as its worst; a domain without labelled
-documents has probability 0, and its target is spread over the others; without any label every rate is 1; rows that
-repeat get a rate each; an empty table gives an empty result; other columns are left alone.
+documents has probability 0, and its target is spread over the others; without any label every domain is as likely;
+rows that repeat get a rate each; documents without words have 0 tokens and a rate like any other; an empty table gives
+an empty result; ids keep their type; other columns are left alone.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,50 +36,67 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from listloom.session import ship
 
-from .common import free_name, returning_memory, stage, text_of, with_row_id
-from .text_views import STYLE, Softmax, hashed_words, split_words, style
+from .common import free_name, returning_memory, slices, stage, text_of
+from .text_views import STYLE, Softmax, Vocabulary, choose_words, full_view
 
 #: Domains of the labelled table: low and high quality, and toxic whatever the quality.
 DOMAINS = ("low", "high", "toxic")
 TARGETS = {"low": 0.06, "high": 0.92, "toxic": 0.02}
 LABELLED = 1500
-BITS = 15
-STEPS = 120
-RATE_STEP = 2.0
-ITERATIONS = 40
+#: Words and word starts that the classifier may use for a domain.
+WORDS = 300
+LEVELS = 1000
+ITERATIONS = 200
 TOLERANCE = 1e-4
 SALT = 17
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 1000
 
 
 @dataclass
 class Mixer:
-    """The fitted classifier with the domains' shares among the labels, and the steps of past iterations (M^-1 e)."""
+    """The fitted classifier with the domains' shares among the labels, and the past steps with their momentum."""
 
     model: Softmax | None
     prior: np.ndarray
-    steps: list[np.ndarray] = field(default_factory=list)
+    vocabulary: Vocabulary | None = None
+    steps: list[tuple[np.ndarray, float]] = field(default_factory=list)
     most: float = np.inf
     #: Domain whose documents (no other domain is likelier) keep a rate of 1 at least.
     spared: str | None = None
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
+        """Multiples of 1 / LEVELS that sum to 1."""
         if self.model is None:
-            return np.tile(self.prior, (len(texts), 1))
-        split = split_words(texts)
-        p = self.model.text_posteriors(style(texts, split), split)
-        p *= self.prior  # the classifier saw every domain alike
-        return p / p.sum(axis=1, keepdims=True)
+            p = np.tile(self.prior, (len(texts), 1))
+        else:
+            p = self.model.posteriors(full_view(texts, self.vocabulary)) * (self.prior > 0)
+        return rounded(p / p.sum(axis=1, keepdims=True))
 
     def least(self, p: np.ndarray) -> np.ndarray:
         if self.spared is None:
             return np.zeros(len(p))
         return (p[:, DOMAINS.index(self.spared)] >= p.max(axis=1)).astype(float)
 
+    def path(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rates after all steps, the point they were stepped from, and the point of the next step."""
+        least = self.least(p)
+        r = here = ahead = np.clip(np.ones(len(p)), least, self.most)
+        for step, momentum in self.steps:
+            here, before = ahead, r
+            r = np.clip(here - p @ step, least, self.most)
+            ahead = r + momentum * (r - before)
+        return r, here, ahead
+
     def rates(self, p: np.ndarray) -> np.ndarray:
-        r, least = np.ones(len(p)), self.least(p)
-        for step in self.steps:
-            r = np.clip(r - p @ step, least, self.most)
-        return r
+        return self.path(p)[0]
+
+
+def rounded(p: np.ndarray, levels: int = LEVELS) -> np.ndarray:
+    """Rows of sum 1 to multiples of 1 / levels, the largest remainders up."""
+    whole = np.floor(p * levels + 1e-9)
+    left = np.rint(levels - whole.sum(axis=1)).astype(int)
+    order = np.argsort(np.argsort(-(p * levels - whole), axis=1, kind="stable"), axis=1, kind="stable")
+    return (whole + (order < left[:, None])) / levels
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -84,11 +107,15 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(domain.alias("domain")).filter("domain in (0, 1, 2)")
 
 
-def fit_domains(docs: DataFrame, marked: DataFrame, bound: int = LABELLED, most: float = np.inf) -> Mixer:
-    """Fit on a hash sample of at most ``bound`` labelled documents of each domain; only their ids are broadcast and
-    only their hashed words (at most 2^BITS a document) reach the driver."""
+def fit_domains(
+    docs: DataFrame, marked: DataFrame, bound: int = LABELLED, words: int = WORDS, most: float = np.inf
+) -> Mixer:
+    """Fit on at most ``bound`` labelled documents of each domain, those with the smallest hashes of id and text: only
+    their keys are broadcast, and only their views reach the driver."""
+    ship(docs.sparkSession)
+    key = F.xxhash64(docs["doc_id"], text_of(docs), F.lit(3))
     known = stage(
-        marked.join(docs.select(docs["doc_id"].alias("doc_id")).distinct(), "doc_id", "left_semi"), "domains"
+        docs.select(docs["doc_id"].alias("doc_id"), key.alias("key")).distinct().join(marked, "doc_id"), "domains"
     )
     counts = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     prior = np.array([counts.get(k, 0) for k in range(len(DOMAINS))], dtype=float)
@@ -98,161 +125,178 @@ def fit_domains(docs: DataFrame, marked: DataFrame, bound: int = LABELLED, most:
     if len(counts) == 1:
         return Mixer(None, prior, most=most)
     ids = None
-    for k, n in counts.items():
-        rate = min(1.0, 0.95 * bound / n) if n > bound else 1.0
-        chosen = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
-        own = known.filter(F.col("domain") == k).filter(chosen).limit(bound)
+    for k in counts:
+        own = known.filter(F.col("domain") == k).orderBy("key", "doc_id").limit(bound)
         ids = own if ids is None else ids.union(own)
-    sample = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(ids), "doc_id")
+    ids = ids.select("key", F.col("domain").alias("klass")).distinct()
+    sample = stage(
+        docs.select(text_of(docs).alias("text"), key.alias("key"))
+        .join(F.broadcast(ids), "key")
+        .dropDuplicates(["key"]),
+        "domain-sample",
+    )
+    vocabulary = choose_words(sample, len(DOMAINS), words)
+    width = len(STYLE) + len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                texts = part.column("text")
-                found = hashed_words(texts, BITS)
+            for part in slices(batch, "text", SLICE_BYTES, SLICE_ROWS):
+                view = full_view(part.column("text"), vocabulary).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").cast(pa.int64()),
-                        part.column("domain"),
-                        pa.array(style(texts).tolist(), pa.list_(pa.float64())),
-                        pa.array([f.astype(np.uint16).tobytes() for f, _ in found], pa.binary()),
-                        pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary()),
-                    ],
-                    names=["doc_id", "domain", "style", "features", "times"],
+                    [part.column("key"), part.column("klass"), pa.array([v.tobytes() for v in view], pa.binary())],
+                    names=["key", "klass", "view"],
                 )
 
-    rows = sample.mapInArrow(
-        run, "doc_id long, domain int, style array<double>, features binary, times binary"
-    ).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    x = np.array(rows["style"].tolist(), dtype=float).reshape(len(rows), len(STYLE))
-    features = [np.frombuffer(f, np.uint16) for f in rows["features"]]
-    row = np.repeat(np.arange(len(rows)), [len(f) for f in features])
-    times = np.concatenate([np.frombuffer(t, np.uint32) for t in rows["times"]]).astype(float)
-    y = rows["domain"].to_numpy(dtype=int)
-    weight = np.array([1 / max(1, (y == k).sum()) for k in range(len(DOMAINS))])[y]
-    feature = np.concatenate(features).astype(np.int64)
+    rows = sample.mapInArrow(run, "key long, klass int, view binary").toPandas().sort_values("key")
+    x = np.frombuffer(b"".join(rows["view"]), np.float32).reshape(len(rows), width).astype(float)
+    y = rows["klass"].to_numpy(dtype=int)
+    weight = np.array([counts.get(k, 0) / max(1, (y == k).sum()) for k in range(len(DOMAINS))])[y]
     # Every fourth document calibrates and takes no part in fitting.
     held = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
-
-    def part(mask: np.ndarray) -> tuple:
-        own = mask[row]
-        return x[mask], y[mask], (np.cumsum(mask) - 1)[row[own]], feature[own], times[own], weight[mask]
-
-    model = Softmax(len(DOMAINS), x.shape[1], BITS).fit(*part(~held), STEPS, RATE_STEP)
-    model.calibrate(*part(held))
-    return Mixer(model, prior, most=most)
+    model = Softmax(len(DOMAINS), width).fit(x[~held], y[~held], weight[~held])
+    model.calibrate(x[held], y[held], weight[held])
+    return Mixer(model, prior, vocabulary, most=most)
 
 
 def posteriors(docs: DataFrame, mixer: Mixer) -> DataFrame:
-    """(uid, doc_id, tokens, p) of every document; tokens are words between white space. Staged."""
+    """(doc_id, tokens, p) of every document; tokens are words between white space. Staged."""
     ship(docs.sparkSession)
-    base = with_row_id(docs.select(docs["doc_id"], text_of(docs).alias("text")), "uid")
+    base = docs.select(docs["doc_id"], text_of(docs).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for part in slices(batch, "text", SLICE_BYTES, SLICE_ROWS):
                 texts = part.column("text")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("uid"),
                         part.column("doc_id"),
                         pa.array([len(t.split()) for t in texts.to_pylist()], pa.int64()),
                         pa.array(mixer.probabilities(texts).tolist(), pa.list_(pa.float64())),
                     ],
-                    names=["uid", "doc_id", "tokens", "p"],
+                    names=["doc_id", "tokens", "p"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(base.mapInArrow(returning_memory(run), f"uid long, doc_id {kind}, tokens long, p array<double>"), "posteriors")
+    return stage(base.mapInArrow(returning_memory(run), f"doc_id {kind}, tokens long, p array<double>"), "posteriors")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """Tokens of all documents with equal probabilities, staged; the number of rows is bounded by LEVELS."""
+    return stage(rows.groupBy("p").agg(F.sum("tokens").alias("tokens")), "cells")
 
 
-def _totals(rows: DataFrame, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain at the current rates, and the second moments over documents of free rates."""
+def _totals(table: DataFrame, mixer: Mixer) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected tokens of each domain at the rates and at the next point, the second moments, and the tokens' sum of
+    squared moves of the last step."""
     n = len(DOMAINS)
-    names = [f"t{k}" for k in range(n + n * n)]
+    names = [f"t{k}" for k in range(2 * n + n * n + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(names))
         for batch in batches:
             p, tokens = _matrix(batch), batch.column("tokens").to_numpy()
-            r = mixer.rates(p)
+            r, here, ahead = mixer.path(p)
             total[:n] += (r * tokens) @ p
-            # At the start every rate may still move, if only upwards.
-            moves = (r > mixer.least(p)) & (r < mixer.most) if mixer.steps else np.ones(len(p), bool)
-            free = np.where(moves, tokens, 0)
-            total[n:] += ((p * free[:, None]).T @ p).ravel()
+            total[n : 2 * n] += (ahead * tokens) @ p
+            total[2 * n : -1] += ((p * tokens[:, None]).T @ p).ravel()
+            total[-1] += tokens @ (r - here) ** 2
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=names)
 
-    sums = rows.select("tokens", "p").mapInArrow(run, ", ".join(f"{c} double" for c in names))
+    sums = table.select("tokens", "p").mapInArrow(run, ", ".join(f"{c} double" for c in names))
     got = np.array([v or 0.0 for v in sums.agg(*[F.sum(c).alias(c) for c in names]).first()])
-    return got[:n], got[n:].reshape(n, n)
+    return got[:n], got[n : 2 * n], got[2 * n : -1].reshape(n, n), got[-1]
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("p").flatten().to_numpy().reshape(batch.num_rows, len(DOMAINS))
 
 
+@dataclass
+class Fit:
+    """What a fit came to: targets and totals as shares of all tokens, the iterations, and whether it converged."""
+
+    wanted: np.ndarray
+    reached: np.ndarray
+    iterations: int
+    converged: bool
+
+    @property
+    def excess(self) -> float:
+        return float(np.abs(self.reached - self.wanted).max(initial=0.0))
+
+
 def fit_rates(
     rows: DataFrame,
     mixer: Mixer,
     targets: dict[str, float] = TARGETS,
-    scale: float = 1.0,
+    scale: float | None = 1.0,
     iterations: int = ITERATIONS,
     tolerance: float = TOLERANCE,
     report: list | None = None,
-) -> Mixer:
-    """Iterate until every domain is within ``tolerance`` of its target; ``scale`` is the wanted size against the input."""
-    natural, moments = _totals(rows, mixer)
-    whole = natural.sum()
+) -> Fit:
+    """Add steps to ``mixer`` until the rates fit; ``rows`` as of ``posteriors``. ``scale`` is the wanted size against the
+    input; None keeps the spared domain's expected tokens as they are."""
+    table = cells(rows)
+    reached, ahead, moments, _ = _totals(table, mixer)
+    plain, *_ = _totals(table, Mixer(mixer.model, mixer.prior))
+    whole = plain.sum()
     if whole <= 0:
-        return mixer
-    wanted = np.array([targets.get(d, 0.0) for d in DOMAINS]) * (natural > 0)
-    wanted = scale * wanted / wanted.sum() if wanted.sum() > 0 else scale * natural / whole
-    metric = np.linalg.pinv(moments / whole, rcond=1e-9)
-    excess = natural / whole - wanted
-    for _ in range(iterations):
+        return Fit(np.zeros(len(DOMAINS)), np.zeros(len(DOMAINS)), 0, True)
+    shares = np.array([targets.get(d, 0.0) for d in DOMAINS]) * (plain > 0)
+    shares = shares / shares.sum() if shares.sum() > 0 else plain / whole
+    if scale is None:
+        k = DOMAINS.index(mixer.spared)
+        scale = plain[k] / whole / shares[k] if shares[k] > 0 else 1.0
+    wanted = scale * shares
+    steep = float(np.linalg.eigvalsh(moments / whole).max())
+    excess, next_excess = reached / whole - wanted, ahead / whole - wanted
+    pace, converged, done = 1.0, bool(np.abs(excess).max() <= tolerance), 0
+    while not converged and done < iterations:
+        onward = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        mixer.steps.append((next_excess / steep, (pace - 1) / onward))
+        pace = onward
+        reached, ahead, _, moved = _totals(table, mixer)
+        done += 1
+        new = reached / whole - wanted
         if report is not None:
-            report.append(excess)
-        if np.abs(excess).max() <= tolerance:
-            break
-        mixer.steps.append(np.linalg.pinv(moments / whole, rcond=1e-9) @ excess)
-        totals, free = _totals(rows, mixer)
-        new = totals / whole - wanted
-        if new @ metric @ new < excess @ metric @ excess:
-            excess, moments = new, free
-        else:
-            mixer.steps.pop()
-            moments = 2 * moments  # the same step, half as long
-    return mixer
+            report.append(new)
+        # The moves are the projected gradient over ``steep``; without them no change of the rates lowers the excess.
+        still = steep * np.sqrt(moved / whole) <= tolerance
+        converged = bool(np.abs(new).max() <= tolerance or still)
+        if new @ new > excess @ excess:
+            mixer.steps[-1] = (mixer.steps[-1][0], 0.0)
+            ahead, pace = reached, 1.0
+        excess, next_excess = new, ahead / whole - wanted
+    return Fit(wanted, reached / whole, done, converged)
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **options) -> DataFrame:
-    """One row per document: doc_id, tokens, a probability for each domain, rate and copies (the rate, rounded up or
-    down by a hash of the document so that the expectation holds)."""
+    """One row per document: doc_id, tokens, a probability for each domain, rate, copies (the rate, rounded up or down by
+    a hash of the document so that the expectation holds), and for the whole fit: excess (the largest difference of a
+    domain's share from its target) and converged."""
     mixer = fit_domains(docs, domain_labels(labels))
     rows = posteriors(docs, mixer)
-    fit_rates(rows, mixer, targets, **options)
+    fit = fit_rates(rows, mixer, targets, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = _matrix(batch)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("uid"),
                     batch.column("doc_id"),
                     batch.column("tokens"),
                     *(pa.array(p[:, k]) for k in range(len(DOMAINS))),
                     pa.array(mixer.rates(p)),
                 ],
-                names=["uid", "doc_id", "tokens", *(f"p_{d}" for d in DOMAINS), "rate"],
+                names=["doc_id", "tokens", *(f"p_{d}" for d in DOMAINS), "rate"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     shares = ", ".join(f"p_{d} double" for d in DOMAINS)
-    out = rows.mapInArrow(run, f"uid long, doc_id {kind}, tokens long, {shares}, rate double")
-    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).drop("uid")
+    out = rows.mapInArrow(run, f"doc_id {kind}, tokens long, {shares}, rate double")
+    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumns(
+        {"excess": F.lit(round(fit.excess, 6)), "converged": F.lit(fit.converged)}
+    )
 
 
 def copies(rate, doc_id):
@@ -270,18 +314,19 @@ def mixed(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say, all columns as they are. Rates are computed in the scan, so
     no text is shuffled. Documents of the ``spared`` domain are all there at least once; targets that this puts out of
-    reach are met as near as it allows."""
+    reach are met as near as it allows. Warns when the fit has not converged."""
     mixer = fit_domains(docs, domain_labels(labels), most=most)
     mixer.spared = spared
-    fit_rates(posteriors(docs, mixer), mixer, targets, **options)
+    fit = fit_rates(posteriors(docs, mixer), mixer, targets, **options)
+    if not fit.converged:
+        warnings.warn(f"rates have not converged after {fit.iterations} steps: {fit.reached} for {fit.wanted}", stacklevel=2)
 
     r, n = free_name(docs, "_rate"), free_name(docs, "_copies")
     known = free_name(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for part in slices(batch, known, SLICE_BYTES, SLICE_ROWS):
                 rates = mixer.rates(mixer.probabilities(part.column(known)))
                 yield part.set_column(part.schema.get_field_index(known), r, pa.array(rates))
 

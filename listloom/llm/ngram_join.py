@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 
 from listloom.session import ship
 
-from .common import connected_components, free_name, returning_memory, stage, text_of
-from .packing import slices
+from .common import connected_components, free_name, returning_memory, slices, stage, text_of
 
 WORDS = 5
 #: Linked when DENOMINATOR * overlap >= NUMERATOR * union.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from listloom.session import ship
 
-from .common import returning_memory, stage, text_of, with_row_id
+from .common import returning_memory, slices, stage, text_of, with_row_id
 
 WINDOW = 4096
 END_ID = 1
@@ -147,17 +147,6 @@ class WordTokenizer:
         return out, begins[np.concatenate([[0], ends])]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about ``most_bytes`` of one column; a longer row stands alone."""
-    sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-    low = 0
-    while low < batch.num_rows:
-        before = sizes[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
-        yield batch.slice(low, high - low)
-        low = high
-
-
 def tokenize_pieces(
     docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:

@@ -29,9 +29,7 @@ def test_clean_documents_survive_the_mixture(spark, tmp_path):
     clean = {r["doc_id"] for r in shares if r["p"][1] >= max(r["p"])}
     out = [r["doc_id"] for r in corpus_pipeline.mix_stage(spark, docs, str(tmp_path)).collect()]
     assert 400 < len(clean) < 900 and clean <= set(out)
-    assert max(out.count(i) for i in clean) <= corpus_pipeline.MOST_COPIES
-    # The rest is thinned all the same, and without the floor the mixture would drop clean documents.
+    # Nothing is repeated, and the rest is thinned until it has little more than its share.
+    assert len(out) == len(set(out))
     rest = {r["doc_id"] for r in shares} - clean
-    assert len(rest & set(out)) < len(rest)
-    plain = mixing.mixed(docs, known, corpus_pipeline.TARGETS, most=corpus_pipeline.MOST_COPIES)
-    assert clean - {r["doc_id"] for r in plain.collect()}
+    assert len(rest & set(out)) < 0.3 * len(rest)
