@@ -2,9 +2,11 @@
 
 Documents become token ids, then an end id; only documents longer than the window are cut. Pieces are dealt evenly over
 partitions by a hash, and each partition is packed best-fit decreasing. Dual-feasible functions give a lower bound on
-the sequences that any packing needs. Their sums over the whole table certify the whole; single partitions are not
-certified. While the whole has a gap, every partition releases the pieces of its loosest sequences; the released pieces
-meet in fewer partitions and are packed best-fit decreasing again. A round that saves nothing is not applied.
+the sequences that any packing needs: each partition's own pieces certify its count, and a histogram of all lengths
+certifies the whole. A partition at its bound is done. One with a gap releases the pieces of its loosest sequences; what
+partitions with gaps release meets in fewer partitions and is packed best-fit decreasing again. Rounds end when the whole
+is at its bound, when no partition has a gap, or when one saves nothing (it is not applied then); bounds and counts are
+columns of the result, so a gap that is left shows.
 
 Defined cases: null text is empty text and packs as the end id alone; rows that repeat are packed once each; an empty
 table gives an empty result; other columns are left alone.
@@ -28,7 +30,7 @@ from .common import returning_memory, slices, stage, text_of, with_row_id
 
 WINDOW = 4096
 END_ID = 1
-#: Pieces a partition of the packing holds; sequences one partition may release a round; rounds at most.
+#: Pieces a partition of the packing holds; sequences a partition with a gap releases a round; rounds at most.
 PIECES_PER_PARTITION = 60_000
 RELEASED_PER_PARTITION = 512
 ROUNDS = 6
@@ -212,32 +214,27 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return bins, offsets
 
 
-def bound_thresholds(window: int, count: int = 48) -> list[int]:
-    """Thresholds of the dual-feasible functions, spread over 1 .. window / 2."""
-    return sorted({max(1, round(window / 2 * k / count)) for k in range(1, count + 1)})
+def lower_bound(histogram: np.ndarray) -> int:
+    """Sequences that any packing needs, from ``histogram[n]``, the number of pieces of each length 0 .. window.
 
-
-def bound_sums(length: str, window: int, thresholds: list[int]) -> list:
-    """Columns whose sums bound the number of sequences from below, in units of one sequence.
-
-    Identity: x / window. For a threshold t: items over window - t count 1, items under t count 0, the rest x / window.
-    For an integer k: floor((k + 1) x / window) / k, and x / window where (k + 1) x is a multiple of the window.
+    The best of three families of dual-feasible functions, in exact integers. Identity: x / window. For each threshold t
+    up to half a window: items over window - t count 1, items under t count 0, the rest x / window. For k = 1 .. 8:
+    floor((k + 1) x / window) / k, and x / window where (k + 1) x is a multiple of the window.
     """
-    x = F.col(length).cast("double")
-    share = x / F.lit(float(window))
-    out = [F.sum(share).alias("f0")]
-    for i, t in enumerate(thresholds):
-        out.append(F.sum(F.when(x > window - t, 1.0).when(x < t, 0.0).otherwise(share)).alias(f"t{i}"))
+    window = len(histogram) - 1
+    count = histogram.astype(np.int64)
+    x = np.arange(window + 1, dtype=np.int64)
+    number, filled = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * x)])
+    t = np.arange(1, window // 2 + 1)
+    # Entry n of the running sums stands for lengths under n.
+    over = window * (number[-1] - number[window - t + 1])
+    sums = [int(filled[-1]), *(over + filled[window - t + 1] - filled[t]).tolist()]
+    best = max(-(-v // window) for v in sums)
     for k in range(1, 9):
-        scaled = F.col(length) * (k + 1)
-        out.append(
-            F.sum(F.when(scaled % window == 0, share).otherwise(F.floor(scaled / window) / k)).alias(f"k{k}")
-        )
-    return out
-
-
-def _bound(row, names: list[str]) -> int:
-    return max((int(np.ceil(round(row[n], 6))) for n in names if row[n] is not None), default=0)
+        scaled = (k + 1) * x
+        units = np.where(scaled % window == 0, k * x, window * (scaled // window))
+        best = max(best, -(-int(count @ units) // (k * window)))
+    return best
 
 
 def _packer(window: int, round_no: int, released: int, columns: list[str]) -> Callable:
@@ -247,14 +244,19 @@ def _packer(window: int, round_no: int, released: int, columns: list[str]) -> Ca
         lengths = table.column("length").to_numpy()
         bins, offsets = best_fit_decreasing(lengths, window)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        loose = np.argsort(fill, kind="stable")[:released]
+        bound = lower_bound(np.bincount(lengths, minlength=window + 1))
+        # A partition at its bound is certified and keeps all it has; one with a gap gives its loosest sequences away.
+        loose = np.argsort(fill, kind="stable")[: released if len(fill) > bound else 0]
         loose = loose[fill[loose] < window]
         # A sequence number holds its round, its partition and its place there.
         sequence = (round_no << 56) | (key[0].as_py() << 18) | bins
+        whole = lambda n: pa.array(np.full(len(lengths), n), pa.int64())
         return (
             table.select(columns)
             .append_column("sequence_id", pa.array(sequence, pa.int64()))
             .append_column("offset", pa.array(offsets, pa.int64()))
+            .append_column("partition_sequences", whole(len(fill)))
+            .append_column("partition_bound", whole(bound))
             .append_column("loose", pa.array(np.isin(bins, loose)))
             .append_column("opens", pa.array(offsets == 0))
         )
@@ -270,20 +272,23 @@ def place_pieces(
     rounds: int = ROUNDS,
     report: list | None = None,
 ) -> DataFrame:
-    """``pieces(doc_id, piece, length, ...)`` with sequence_id and offset added; other columns are carried along.
+    """``pieces(doc_id, piece, length, ...)`` with sequence_id and offset added, and the certificates: partition_sequences
+    and partition_bound of the partition that packed the piece last, sequences and sequences_bound of the whole; where
+    they differ, that many sequences at most could be saved. Other columns are carried along.
 
-    ``report`` gets one dict a round: sequences, certified lower bound, partitions, pieces packed.
+    ``report`` gets one dict a round: sequences and certified lower bound of the whole, partitions, and how many of
+    these have a gap.
     """
     columns = pieces.columns
     rows = stage(with_row_id(pieces, "uid"), "pieces")
-    thresholds = bound_thresholds(window)
-    sums = bound_sums("length", window, thresholds)
-    names = ["f0", *(f"t{i}" for i in range(len(thresholds))), *(f"k{k}" for k in range(1, 9))]
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), *sums).first()
-    bound = _bound(whole, names)
+    # At most ``window`` rows, whatever the table's size.
+    lengths = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
+    histogram = np.zeros(window + 1, np.int64)
+    histogram[list(lengths)] = list(lengths.values())
+    bound, count = lower_bound(histogram), int(histogram.sum())
     carried = [*columns, "uid"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    schema += ", sequence_id long, offset long, loose boolean, opens boolean"
+    schema += ", sequence_id long, offset long, partition_sequences long, partition_bound long, loose boolean, opens boolean"
 
     def packed(frame: DataFrame, count: int, round_no: int) -> DataFrame:
         parts = max(1, -(-count // per_partition))
@@ -292,18 +297,23 @@ def place_pieces(
         return stage(done, f"packed{round_no}")
 
     settled: list[DataFrame] = []
-    now = packed(rows, whole["n"], 0)
+    now = packed(rows, count, 0)
     kept_sequences = 0
-    for round_no in range(1, rounds + 1):
+    for round_no in range(1, rounds + 2):
+        first = F.col("opens") & (F.col("sequence_id").bitwiseAND((1 << 18) - 1) == 0)
         got = now.agg(
             F.count_if("opens").alias("bins"),
             F.count_if(F.col("opens") & F.col("loose")).alias("loose"),
             F.count_if("loose").alias("pieces"),
+            F.count_if(first).alias("parts"),
+            F.count_if(first & (F.col("partition_sequences") > F.col("partition_bound"))).alias("gaps"),
         ).first()
         total = kept_sequences + got["bins"]
         if report is not None:
-            report.append({"round": round_no - 1, "sequences": total, "bound": bound})
-        if total <= bound or got["loose"] < 2:
+            report.append(
+                {"round": round_no - 1, "sequences": total, "bound": bound, "parts": got["parts"], "gaps": got["gaps"]}
+            )
+        if total <= bound or got["loose"] < 2 or round_no > rounds:
             break
         again = packed(now.filter("loose").select(*carried), got["pieces"], round_no)
         after = again.filter("opens").count()
@@ -314,7 +324,10 @@ def place_pieces(
         now = again
     for frame in settled:
         now = now.unionByName(frame)
-    return now.select(*columns, "sequence_id", "offset")
+    return now.select(
+        *columns, "sequence_id", "offset", "partition_sequences", "partition_bound",
+        F.lit(total).cast("long").alias("sequences"), F.lit(bound).cast("long").alias("sequences_bound"),
+    )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, **options) -> DataFrame:

@@ -26,8 +26,9 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.place_pieces(digests).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
-    )
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
+        "partition_sequences", "partition_bound", "sequences", "sequences_bound",
+    )
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

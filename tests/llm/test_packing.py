@@ -67,15 +67,17 @@ def _fewest(lengths, window):
     return best
 
 
-def test_bound_never_exceeds_the_fewest(spark):
+def test_bound_never_exceeds_the_fewest():
     rng = random.Random(2)
-    for _ in range(3):
-        lengths = [rng.randint(1, 64) for _ in range(9)]
-        df = spark.createDataFrame([(n,) for n in lengths], "length long")
-        t = packing.bound_thresholds(64, 16)
-        row = df.agg(*packing.bound_sums("length", 64, t)).first()
-        bound = packing._bound(row, list(row.asDict()))
-        assert sum(lengths) / 64 <= bound <= _fewest(lengths, 64)
+    tight = 0
+    for k in range(60):
+        lengths = [rng.randint(1, 64) if k % 2 else rng.choice([20, 22, 33, 40]) for _ in range(9)]
+        bound, fewest = packing.lower_bound(np.bincount(lengths, minlength=65)), _fewest(lengths, 64)
+        assert sum(lengths) / 64 <= bound <= fewest
+        tight += bound == fewest
+    assert tight > 40
+    assert packing.lower_bound(np.zeros(65, np.int64)) == 0
+    assert packing.lower_bound(np.bincount([33] * 7, minlength=65)) == 7
 
 
 def test_rounds_exchange_pieces_and_never_lose_one(spark):
@@ -94,6 +96,26 @@ def test_rounds_exchange_pieces_and_never_lose_one(spark):
         assert sum(n for _, n in own) <= 100
     assert len(report) > 1 and report[-1]["sequences"] == len(fill) < report[0]["sequences"]
     assert len(fill) >= report[0]["bound"]
+    # Certificates: of the whole, and of each partition over the pieces that it packed.
+    assert {(r["sequences"], r["sequences_bound"]) for r in got} == {(len(fill), report[0]["bound"])}
+    assert all(r["partition_bound"] <= r["partition_sequences"] for r in got)
+    assert report[0]["gaps"] > 0 and report[0]["parts"] == 30
+
+
+def test_only_partitions_with_a_gap_release(spark):
+    # Lengths of half a window: every partition is at its bound, whatever its loosest sequence.
+    rows = [(i, 0, 50) for i in range(1001)]
+    report = []
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    got = packing.place_pieces(df, 100, per_partition=100, released=20, report=report).collect()
+    assert len(report) == 1 and report[0]["gaps"] == 0 and report[0]["sequences"] > report[0]["bound"]
+    assert all(r["partition_bound"] == r["partition_sequences"] for r in got)
+    # The packer itself: a tight partition gives nothing away, a loose one its loosest sequences.
+    for lengths, gives in (([50, 50, 50], 0), ([51, 30, 30, 30, 26, 23, 10], None)):
+        table = pa.table({"uid": list(range(len(lengths))), "length": lengths})
+        out = packing._packer(100, 0, 1, ["uid"])((pa.scalar(0),), table)
+        gap = out["partition_sequences"][0].as_py() > out["partition_bound"][0].as_py()
+        assert gap == any(out["loose"].to_pylist()) and (gives is None or not gap)
 
 
 def test_pieces_nulls_long_texts_and_clashing_columns(spark):
