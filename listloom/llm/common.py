@@ -90,6 +90,11 @@ class Scratch:
             _drop_path(self.spark, self.paths.pop(0))
 
 
+def broadcast_if_small(staged: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A staged table of narrow rows, to be broadcast where it has at most ``most_rows``; else the join stays Spark's."""
+    return F.broadcast(staged) if staged.count() <= most_rows else staged
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """A 64-bit id per row; stage the result before using it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -1,20 +1,30 @@
 """N-gram Jaccard join as a blocked sparse matrix product of the document by n-gram incidence.
 
-A document's row is its set of n-gram hashes; documents with equal sets are one class and share a row. The incidence is
-dealt over column blocks (ranges of hashes) as binary runs, so that one task sees all entries of its columns: columns of
-one class overlap with nothing and go, the others get their document frequency. Dealt back over row blocks, a class
-whose remaining columns are fewer than the threshold's share of its set cannot have a partner (size-derived bound) and
-goes too. For the others, ordered by frequency, the first |x| - ceil(t |x|) + 1 columns must meet a partner's; classes
-that share one are candidates, and candidates are tied by one star for each column, never by all pairs.
+A document's row is its set of n-gram hashes; documents with equal sets are one class and share a row. One pass gives
+every document its class, and these rows are staged where they are: no document is ever dealt by its class. A second pass
+gives the incidence of the classes, dealt over column blocks (ranges of hashes) as binary runs, so that one task sees all
+entries of its columns: columns of one class overlap with nothing and go, the others get their document frequency. Columns
+that fill a good part of a block by themselves are found beforehand on a hash sample of the classes; they count as the
+most frequent, bypass the column blocks, and so meet nowhere. Dealt back over row blocks, a class whose remaining columns
+are fewer than the threshold's share of its set cannot have a partner (size-derived bound) and goes too. For the others,
+ordered by frequency, the first |x| - ceil(t |x|) + 1 columns must meet a partner's; classes that share one are
+candidates, and candidates are tied by one star for each column, never by all pairs.
 
 Overlaps are then accumulated by products of dense row blocks, one slice of columns after another, inside each group of
-candidates: small groups whole, large ones by pairs of row blocks of bounded size whose set sizes allow a link. A block
-product returns a spanning forest of its links, not the pairs. Components follow by contraction.
+candidates: small groups whole, large ones by pairs of row blocks that share a column of a prefix and whose set sizes
+allow a link. Rows of a large group are first held against a few hubs, one at a time; what one hub is linked to
+needs no comparison among itself. The others are dealt to blocks of bounded size by their rarest column, so that what is
+alike lies together and few pairs of blocks meet. A block product returns a spanning forest of its links, not the pairs.
+Components follow by contraction. Labels reach the documents by a join on the class; the at most ``HEAVY`` classes with
+the most copies are broadcast for it.
+
+Classes are told apart by two 64-bit hashes of their sets: where the first ones collide, the second takes its place.
+N-grams are told apart by 64 bits, which two documents of a million n-grams confuse with a chance of 1 in 10^7.
 
 Defined cases: null text is empty text; a document without words has an empty set and no links, not even to its copies;
 with fewer words than n the whole sequence is one n-gram; rows that repeat are linked as copies; a null doc_id takes
-part but never names a component unless all its members are null; an empty table gives an empty result; other columns
-are left alone.
+part but never names a component unless all its members are null; ids keep their type; an empty table gives an empty
+result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ from pyspark.sql import functions as F
 
 from listloom.session import ship
 
-from .common import connected_components, free_name, returning_memory, slices, stage, text_of
+from .common import broadcast_if_small, connected_components, free_name, returning_memory, slices, stage, text_of
 
 WORDS = 5
 #: Linked when DENOMINATOR * overlap >= NUMERATOR * union.
@@ -43,6 +53,13 @@ FLUSH = 800_000
 GROUP_ROWS = 512
 BLOCK_ROWS = 256
 SLICE_COLUMNS = 2048
+#: Of so many column blocks' worth of classes the sample for frequent columns is made; most frequent columns set aside.
+SAMPLE_BLOCKS = 2
+SET_ASIDE = 1 << 16
+#: Classes with the most copies whose labels are broadcast.
+HEAVY = 1000
+#: Rounds in which rows of a large group are held against one hub of it.
+HUB_ROUNDS = 3
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
@@ -91,27 +108,27 @@ def _signed(values: list[int]) -> list[int]:
 _ROWS = pa.schema(
     [
         ("bucket", pa.int32()),
-        ("doc_id", pa.int64()),
-        ("key", pa.int64()),
-        ("klass", pa.int64()),
-        ("n", pa.int64()),
         ("tokens", pa.binary()),
         ("classes", pa.binary()),
         ("counts", pa.binary()),
         ("dfs", pa.binary()),
     ]
 )
-ROWS = (
-    "bucket int, doc_id long, key long, klass long, n long, tokens binary, classes binary, counts binary, dfs binary"
-)
+#: Rows without tokens tell the classes' sizes: ``counts`` holds these.
+ROWS = "bucket int, tokens binary, classes binary, counts binary, dfs binary"
+MOST_FREQUENT = np.uint32(0xFFFFFFFF)
 
 
-def _documents(bucket: np.ndarray, part: pa.RecordBatch, klass: pa.Array, n: pa.Array) -> pa.RecordBatch:
-    none = pa.nulls(part.num_rows, pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket, pa.int32()), part.column("doc_id"), part.column("key"), klass, n, none, none, none, none],
-        schema=_ROWS,
-    )
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(rows), 64):
+        part = rows[low : low + 64]
+        yield pa.RecordBatch.from_pydict(dict(zip(_ROWS.names, map(list, zip(*part)))), schema=_ROWS)
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
+    if len(sorted_values):
+        cuts = (np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1).tolist()
+        yield from zip([0, *cuts], [*cuts, len(sorted_values)])
 
 
 def _dealt(
@@ -121,31 +138,81 @@ def _dealt(
     order = np.lexsort((classes, bucket))
     bucket, tokens, classes = bucket[order], tokens[order], classes[order]
     dfs = dfs[order] if dfs is not None else None
-    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
     rows = []
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
+    for lo, hi in _runs(bucket):
         own = classes[lo:hi]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         counts = np.diff(np.concatenate([first, [hi - lo]])).astype(np.uint32)
         rows.append(
-            (int(bucket[lo]), None, None, None, None, tokens[lo:hi].tobytes(), own[first].tobytes(), counts.tobytes(),
+            (int(bucket[lo]), tokens[lo:hi].tobytes(), own[first].tobytes(), counts.tobytes(),
              None if dfs is None else dfs[lo:hi].tobytes())
         )
-        if len(rows) >= 64:
-            yield pa.RecordBatch.from_pydict(dict(zip(_ROWS.names, map(list, zip(*rows)))), schema=_ROWS)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_pydict(dict(zip(_ROWS.names, map(list, zip(*rows)))), schema=_ROWS)
+    yield from _batches(rows)
+
+
+def _sized(bucket: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sizes of classes as one row a bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, classes, sizes = bucket[order], classes[order], sizes[order].astype(np.uint32)
+    yield from _batches(
+        [(int(bucket[lo]), None, classes[lo:hi].tobytes(), sizes[lo:hi].tobytes(), None) for lo, hi in _runs(bucket)]
+    )
+
+
+def _class(tokens: np.ndarray, bits: int = 64) -> tuple[int | None, int | None]:
+    """Two independent hashes of a set, of ``bits`` and 64 bits; none for the empty one."""
+    if not len(tokens):
+        return None, None
+    both = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return both & ((1 << bits) - 1), both >> 64
+
+
+def _document_rows(n: int, sampled: int, bits: int) -> Callable:
+    """Texts to document rows; classes of the hash sample bring their columns, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20, 20_000):
+                found = shingle_sets(part.column("text"), n)
+                classes = [_class(x, bits) for x in found]
+                sample: list[np.ndarray | None] = []
+                for x, (k, _) in zip(found, classes):
+                    new = k is not None and k % sampled == 0 and k not in met
+                    if new and len(met) < 1_000_000:
+                        met.add(k)
+                    sample.append(x.view(np.int64) if new else None)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        part.column("key"),
+                        *(pa.array([None if v is None else _signed([v])[0] for v in c], pa.int64()) for c in zip(*classes)),
+                        pa.array([len(x) for x in found], pa.int64()),
+                        pa.array(sample, pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "key", "klass", "other", "n", "sample"],
+                )
+
+    return run
 
 
-def _incidence(n: int, blocks: int) -> Callable:
-    """Texts to document rows and entries dealt over column blocks; within a task a class gives its entries once."""
+def _incidence(
+    n: int, blocks: int, row_blocks: int, aside: np.ndarray, collided: frozenset[int], bits: int
+) -> Callable:
+    """Texts to entries dealt over column blocks, and classes' sizes; within a task a class gives both once. Columns set
+    aside go to the blocks after the last, by class."""
 
     def deal(sets: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate(sets)
-        classes = np.repeat(np.array(names, np.uint64), [len(s) for s in sets])
+        name = np.array(names, np.uint64)
+        sizes = np.array([len(s) for s in sets])
+        classes = np.repeat(name, sizes)
         bucket = ((tokens >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
+        if len(aside):
+            at = np.minimum(np.searchsorted(aside, tokens), len(aside) - 1)
+            bucket = np.where(aside[at] == tokens, blocks + _row_block(classes, row_blocks), bucket)
         yield from _dealt(bucket, tokens, classes, None)
+        yield from _sized(blocks + _row_block(name, row_blocks), name, sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -153,10 +220,11 @@ def _incidence(n: int, blocks: int) -> Callable:
         names: list[int] = []
         held = 0
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
-                found = shingle_sets(part.column("text"), n)
-                klass = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None for s in found]
-                for s, k in zip(found, klass):
+            for part in slices(batch, "text", 8 << 20, 20_000):
+                for s in shingle_sets(part.column("text"), n):
+                    k, other = _class(s, bits)
+                    if k in collided:
+                        k = other
                     if k is not None and k not in met:
                         if len(met) > 1_000_000:
                             met.clear()
@@ -167,40 +235,46 @@ def _incidence(n: int, blocks: int) -> Callable:
                         if held >= FLUSH:
                             yield from deal(sets, names)
                             sets, names, held = [], [], 0
-                signed = pa.array([None if k is None else _signed([k])[0] for k in klass], pa.int64())
-                bucket = np.array([(k or i) % blocks for i, k in enumerate(klass)], np.int32)
-                yield _documents(bucket, part, signed, pa.array([len(s) for s in found], pa.int64()))
         if sets:
             yield from deal(sets, names)
 
     return run
 
 
-def _columns(batches: Iterator[pa.RecordBatch], held: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Yields the document rows; gathers the entries of the others."""
-    kinds = {"tokens": np.uint64, "classes": np.uint64, "counts": np.uint32, "dfs": np.uint32}
-    for batch in batches:
-        entry = batch.column("tokens").is_valid()
-        documents = batch.filter(pc.invert(entry))
-        if documents.num_rows:
-            yield documents
-        own = batch.filter(entry)
-        for name, kind in kinds.items():
-            for raw in own.column(name).to_pylist():
-                if raw is not None:
-                    held.setdefault(name, []).append(np.frombuffer(raw, kind))
+def _row_block(classes: np.ndarray, row_blocks: int) -> np.ndarray:
+    return (classes % np.uint64(row_blocks)).astype(np.int32)
+
+
+_KINDS = {"tokens": np.uint64, "classes": np.uint64, "counts": np.uint32, "dfs": np.uint32}
 
 
-def _frequencies(row_blocks: int) -> Callable:
-    """One column block: entries of columns with one class go; the others, with frequencies, are dealt to row blocks."""
+def _gather(batch: pa.RecordBatch, held: dict[str, list[np.ndarray]]) -> None:
+    for name, kind in _KINDS.items():
+        for raw in batch.column(name).to_pylist():
+            if raw is not None:
+                held.setdefault(name, []).append(np.frombuffer(raw, kind))
+
+
+def _frequencies(blocks: int, row_blocks: int) -> Callable:
+    """One column block: entries of columns with one class go; the others, with frequencies, are dealt to row blocks. The
+    blocks after the last hold what was set aside and the sizes; their rows pass, one batch after another."""
+
+    def passed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bucket = pc.subtract(batch.column("bucket"), pa.scalar(blocks, pa.int32()))
+        dfs = [
+            None if raw is None else np.full(len(raw) // 8, MOST_FREQUENT).tobytes()
+            for raw in batch.column("tokens").to_pylist()
+        ]
+        return batch.set_column(0, "bucket", bucket).set_column(4, "dfs", pa.array(dfs, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
-        for documents in _columns(batches, held):
-            klass = documents.column("klass").fill_null(0).to_numpy().view(np.uint64)
-            at = documents.schema.get_field_index("bucket")
-            bucket = pa.array((klass % np.uint64(row_blocks)).astype(np.int32), pa.int32())
-            yield documents.set_column(at, "bucket", bucket)
+        for batch in batches:
+            extra = pc.greater_equal(batch.column("bucket"), pa.scalar(blocks, pa.int32()))
+            beyond = batch.filter(extra)
+            if beyond.num_rows:
+                yield passed(beyond)
+            _gather(batch.filter(pc.invert(extra)), held)
         if not held:
             return
         tokens = np.concatenate(held["tokens"])
@@ -226,22 +300,15 @@ def _frequencies(row_blocks: int) -> Callable:
         shared = df > 1
         tokens, classes, df = tokens[shared], classes[shared], df[shared]
         if len(tokens):
-            yield from _dealt((classes % np.uint64(row_blocks)).astype(np.int32), tokens, classes, df)
+            yield from _dealt(_row_block(classes, row_blocks), tokens, classes, df)
 
     return run
 
 
 _KEPT = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("key", pa.int64()),
-        ("klass", pa.int64()),
-        ("n", pa.int64()),
-        ("tokens", pa.binary()),
-        ("prefix", pa.list_(pa.int64())),
-    ]
+    [("klass", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))]
 )
-KEPT = "doc_id long, key long, klass long, n long, tokens binary, prefix array<long>"
+KEPT = "klass long, n long, tokens binary, prefix array<long>"
 
 
 def _least(n, numerator: int, denominator: int):
@@ -250,37 +317,39 @@ def _least(n, numerator: int, denominator: int):
 
 
 def _rows(numerator: int, denominator: int) -> Callable:
-    """One row block: documents, and the classes that can have a partner with their shared columns, rarest first."""
+    """One row block: the classes that can have a partner with their shared columns, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
-        sizes: dict[int, int] = {}
-        for documents in _columns(batches, held):
-            known = documents.filter(documents.column("klass").is_valid())
-            sizes.update(zip(known.column("klass").to_numpy().view(np.uint64).tolist(), known.column("n").to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [*(documents.column(c) for c in ("doc_id", "key", "klass", "n")),
-                 pa.nulls(documents.num_rows, pa.binary()), pa.nulls(documents.num_rows, pa.list_(pa.int64()))],
-                schema=_KEPT,
-            )
+        told: dict[str, list[np.ndarray]] = {}
+        for batch in batches:
+            entry = batch.column("tokens").is_valid()
+            _gather(batch.filter(entry), held)
+            _gather(batch.filter(pc.invert(entry)), told)
         if not held:
             return
+        size_of, size = np.concatenate(told["classes"]), np.concatenate(told["counts"])
+        order = np.argsort(size_of, kind="stable")
+        size_of, size = size_of[order], size[order]
         tokens, df = np.concatenate(held["tokens"]), np.concatenate(held["dfs"])
         classes = np.repeat(np.concatenate(held["classes"]), np.concatenate(held["counts"]))
         held.clear()
         order = np.lexsort((tokens, df, classes))
         tokens, classes = tokens[order], classes[order]
-        first = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])).tolist()
+        # A class that several tasks met brings what was set aside once from each.
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
+        tokens, classes = tokens[new], classes[new]
         out = []
-        for lo, hi in zip(first, [*first[1:], len(classes)]):
+        for lo, hi in _runs(classes):
             k = int(classes[lo])
-            n = sizes[k]
+            n = int(size[np.searchsorted(size_of, classes[lo])])
             least = _least(n, numerator, denominator)
             if hi - lo >= least:
                 # The first columns in the order are those of this class alone; they are not stored.
                 prefix = n - least + 1 - (n - (hi - lo))
                 own = tokens[lo:hi]
-                out.append((None, None, _signed([k])[0], n, own.tobytes(), own[:prefix].view(np.int64)))
+                out.append((_signed([k])[0], n, own.tobytes(), own[:prefix].view(np.int64)))
             if len(out) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _KEPT)], schema=_KEPT)
                 out = []
@@ -375,6 +444,47 @@ def _block_pairs(numerator: int, denominator: int) -> Callable:
     return run
 
 
+def _hub_links(numerator: int, denominator: int) -> Callable:
+    """Rows with their group's hub of this round beside them: those that it links to, and itself, get it as theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = (batch.column(c).to_pylist() for c in ("hub", "n", "tokens", "new_hub", "hub_n", "hub_tokens"))
+            out = []
+            for hub, n, own, new, m, other in zip(*rows):
+                if hub is None and new is not None and denominator * min(n, m) >= numerator * max(n, m):
+                    k = len(np.intersect1d(np.frombuffer(own, np.uint64), np.frombuffer(other, np.uint64), assume_unique=True))
+                    hub = new if denominator * k >= numerator * (n + m - k) else None
+                out.append(hub)
+            kept = [batch.column(c) for c in ("root", "klass", "n", "tokens", "prefix")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(out, pa.int64())], names=["root", "klass", "n", "tokens", "prefix", "hub"]
+            )
+
+    return run
+
+
+def with_hubs(large: DataFrame, numerator: int, denominator: int, rounds: int = HUB_ROUNDS) -> DataFrame:
+    """Rows of large groups with ``hub``, a class of the group that they are linked to, or null. A round takes one class of
+    each group that has no hub yet and holds it against all others without one; so a group of near copies, however
+    large, is tied by comparisons in proportion to its rows."""
+    rows = large.withColumn("hub", F.lit(None).cast("long"))
+    for k in range(rounds):
+        free = rows.filter("hub is null")
+        pick = free.groupBy("root").agg(F.min(F.struct(F.xxhash64("klass", F.lit(k)).alias("h"), "klass"))["klass"].alias("new_hub"))
+        body = large.select(F.col("klass").alias("new_hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens"))
+        hubs = stage(body.join(pick, "new_hub"), "hubs")
+        beside = rows.join(broadcast_if_small(hubs, 2000), "root", "left")
+        rows = stage(
+            beside.mapInArrow(
+                returning_memory(_hub_links(numerator, denominator)),
+                "root long, klass long, n long, tokens binary, prefix array<long>, hub long",
+            ),
+            "hubbed",
+        )
+    return rows
+
+
 def column_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """Column blocks for the input's size, from file statistics where there are any, else from its rows."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -383,29 +493,59 @@ def column_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(8, min(1 << 20, -(-size // block_bytes)))
 
 
+def document_rows(docs: DataFrame, n: int = WORDS, block_bytes: int = BLOCK_BYTES, class_bits: int = 64) -> DataFrame:
+    """Staged: doc_id, key (hash of the text), klass and other (two hashes of the set, null without words), n (its size),
+    sample (the columns of sampled classes)."""
+    ship(docs.sparkSession)
+    sampled = max(1, min(4096, column_blocks(docs, block_bytes) // SAMPLE_BLOCKS))
+    text = text_of(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(docs["doc_id"], F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(
+        returning_memory(_document_rows(n, sampled, class_bits)),
+        f"doc_id {kind}, key long, klass long, other long, n long, sample array<long>",
+    )
+    return stage(rows, "ngram-documents")
+
+
+def frequent_columns(documents: DataFrame, blocks: int, most: int = SET_ASIDE) -> np.ndarray:
+    """Columns that fill over a quarter of a column block by the sample's estimate, sorted: at most ``most``, the most
+    frequent. Which they are changes the work's balance only, never the result."""
+    columns = documents.select(F.explode("sample").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    entries = documents.agg(F.sum(F.size("sample")).alias("s")).first()["s"] or 0
+    least = max(4, entries / blocks / 4)
+    found = columns.filter(F.col("c") >= least).orderBy(F.desc("c"), "token").limit(most).select("token").collect()
+    return np.sort(np.array([r["token"] for r in found], np.int64).view(np.uint64))
+
+
 def kept_rows(
     docs: DataFrame,
     n: int = WORDS,
     numerator: int = NUMERATOR,
     denominator: int = DENOMINATOR,
     block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """Staged: a row per document (tokens null) and a row per class that may have a partner."""
-    ship(docs.sparkSession)
+    class_bits: int = 64,
+) -> tuple[DataFrame, DataFrame]:
+    """Staged: the document rows, and a row per class that may have a partner."""
     blocks = column_blocks(docs, block_bytes)
     row_blocks = max(8, blocks // 2)
-    text = text_of(docs)
-    entries = docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")
-    ).mapInArrow(returning_memory(_incidence(n, blocks)), ROWS)
-    dealt = entries.repartitionById(blocks, F.col("bucket")).mapInArrow(returning_memory(_frequencies(row_blocks)), ROWS)
+    documents = document_rows(docs, n, block_bytes, class_bits)
+    aside = frequent_columns(documents, blocks)
+    # Two sets with one hash: about one in 10^10 documents.
+    twice = documents.groupBy("klass").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b")
+    collided = [r["klass"] for r in twice.select("klass").collect()]
+    if collided:
+        documents = documents.withColumn("klass", F.when(F.col("klass").isin(collided), F.col("other")).otherwise(F.col("klass")))
+    run = _incidence(n, blocks, row_blocks, aside, frozenset(k & 0xFFFFFFFFFFFFFFFF for k in collided), class_bits)
+    entries = docs.select(text_of(docs).alias("text")).mapInArrow(returning_memory(run), ROWS)
+    dealt = entries.repartitionById(blocks + row_blocks, F.col("bucket")).mapInArrow(
+        returning_memory(_frequencies(blocks, row_blocks)), ROWS
+    )
     rows = dealt.repartitionById(row_blocks, F.col("bucket")).mapInArrow(returning_memory(_rows(numerator, denominator)), KEPT)
-    return stage(rows, "ngram-rows")
+    return documents.drop("sample", "other"), stage(rows, "ngram-rows")
 
 
-def class_links(kept: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+def class_links(classes: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """Links (a, b) between classes that span every component of the join."""
-    classes = kept.filter("tokens is not null")
     prefixes = classes.select("klass", F.explode("prefix").alias("token"))
     stars = prefixes.groupBy("token").agg(F.min("klass").alias("hub"), F.max("klass").alias("far")).filter("hub <> far")
     candidates = prefixes.join(stars.drop("far"), "token").select(F.col("klass").alias("a"), F.col("hub").alias("b"))
@@ -427,24 +567,41 @@ def class_links(kept: DataFrame, numerator: int = NUMERATOR, denominator: int =
     large = members.filter(F.col("rows") > GROUP_ROWS)
     if large.isEmpty():
         return links
-    # Row blocks of bounded size: a class of sizes, then a salt. Linked sets are at most one class of sizes apart.
+    # What one hub links to needs no comparison among itself.
+    large = with_hubs(large.select("root", "klass", "n", "tokens", "prefix"), numerator, denominator)
+    links = links.union(large.filter("hub <> klass").select("klass", "hub"))
+    # Row blocks of bounded size: a class of sizes (linked sets are at most one apart), then the hub, or else the rarest
+    # column, whose rows are split where they are many and share a block with others where they are few.
     step = math.log(denominator / numerator)
-    large = large.withColumn("s", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int"))
-    salts = large.groupBy("root", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("salts"))
+    large = large.withColumn("s", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int")).withColumn("rare", F.col("prefix")[0])
+    large = large.withColumn("by", F.coalesce("hub", "rare"))
+    by_column = large.groupBy("root", "s", "hub", "by").agg(F.count(F.lit(1)).alias("c"))
+    by_size = large.groupBy("root", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("salts"))
+    split = F.ceil(F.col("c") / BLOCK_ROWS)
+    own = F.when(F.col("hub").isNotNull() | (split > 1), F.xxhash64("hub", "by", F.pmod(F.xxhash64("klass"), split)))
+    shared = F.pmod(F.xxhash64("by"), F.col("salts")).cast("long")
+    sizes = by_column.join(by_size, ["root", "s"]).withColumnsRenamed({c: f"_{c}" for c in ("root", "s", "hub", "by")})
+    same = F.col("hub").eqNullSafe(F.col("_hub"))
+    for c in ("root", "s", "by"):
+        same = same & (F.col(c) == F.col(f"_{c}"))
     large = stage(
-        large.join(salts, ["root", "s"]).withColumn("t", F.pmod(F.xxhash64("klass"), F.col("salts")).cast("int")),
+        large.join(sizes, same).withColumn("t", F.coalesce(own, shared)).select("root", "s", "t", "hub", "klass", "n", "tokens", "prefix"),
         "blocks",
     )
-    held = large.select(F.explode("prefix").alias("token"), "root", "s", "t").distinct()
-    one = held.select("token", "root", F.col("s").alias("s1"), F.col("t").alias("t1"))
-    two = held.select("token", F.col("s").alias("s2"), F.col("t").alias("t2"))
-    pairs = stage(
-        one.join(two, "token")
-        .filter("(s1 = s2 and t1 <= t2) or s2 = s1 + 1")
-        .select("root", "s1", "t1", "s2", "t2")
-        .distinct(),
-        "pairs",
+    # A pair of blocks is wanted once: (s1, t1) up to (s2, t2) of one class of sizes, or of two that follow each other.
+    held = stage(large.select(F.explode("prefix").alias("token"), "root", "s", "t", "hub").distinct(), "block-columns")
+    one, two = (
+        held.select("token", "root", *[F.col(c).alias(f"{c}{k}") for c in ("s", "t", "hub")]) for k in (1, 2)
     )
+    # At least one side without a hub; or two hubs, which are told apart before their blocks meet.
+    free = one.filter("hub1 is null").join(two.drop("root"), "token")
+    apart = held.filter("hub is not null").select("token", "hub").distinct()
+    apart = apart.toDF("token", "hub1").join(apart.toDF("token", "hub2"), "token").filter("hub1 <> hub2")
+    tied = apart.join(one, ["token", "hub1"]).join(two.drop("root"), ["token", "hub2"])
+    ends = ["root", "s1", "t1", "s2", "t2"]
+    both = free.select(*ends).union(tied.select(*ends))
+    swapped = both.select("root", *[F.col(c).alias(d) for c, d in zip(("s2", "t2", "s1", "t1"), ends[1:])])
+    pairs = stage(both.union(swapped).filter("(s1 = s2 and t1 <= t2) or s2 = s1 + 1").distinct(), "pairs")
     body = large.select("root", "s", "t", "klass", "n", "tokens")
     left = pairs.join(body.withColumnsRenamed({"s": "s1", "t": "t1"}), ["root", "s1", "t1"]).withColumn("side", F.lit(0))
     right = (
@@ -469,19 +626,28 @@ def ngram_components(
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), klass (number
     of its set; null without words), key (hash of its text)."""
-    kept = kept_rows(docs, n, numerator, denominator, block_bytes)
-    links = stage(class_links(kept, numerator, denominator), "links")
+    documents, classes = kept_rows(docs, n, numerator, denominator, block_bytes)
+    links = stage(class_links(classes, numerator, denominator), "links")
     roots = connected_components(links, "components")
-    documents = kept.filter("tokens is null").select("doc_id", "key", "n", "klass")
-    least = documents.filter("klass is not null").groupBy("klass").agg(F.min("doc_id").alias("least"))
+    least = stage(
+        documents.filter("klass is not null").groupBy("klass").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")),
+        "classes",
+    )
     tied = least.join(roots.withColumnRenamed("node", "klass"), "klass")
     tops = tied.groupBy("root").agg(F.min("least").alias("top"))
     moved = tied.join(tops, "root").select("klass", "top")
-    # Staged, so that the join below stands alone and Spark can split the rows of a class with very many copies.
     labels = stage(
-        least.join(moved, "klass", "left").select("klass", F.coalesce("top", "least").alias("label")), "labels"
+        least.join(moved, "klass", "left").select("klass", "c", F.coalesce("top", "least").alias("label")), "labels"
     )
-    return documents.join(labels, "klass", "left").select(
+    # Rows of the classes with the most copies stay where they are; each of the others has fewer than one in HEAVY rows.
+    whole = labels.agg(F.sum("c")).first()[0] or 0
+    much = F.col("c") > max(1, whole // HEAVY)
+    heavy = F.broadcast(labels.filter(much).select("klass", "label", F.lit(True).alias("heavy")))
+    marked = documents.join(heavy, "klass", "left")
+    lone = F.col("heavy").isNull() & F.col("klass").isNotNull()
+    light = marked.filter(lone).drop("heavy", "label").join(labels.filter(~much).select("klass", "label"), "klass")
+    rest = marked.filter(~lone).drop("heavy")
+    return light.unionByName(rest).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("klass").isNull(), F.col("doc_id")).otherwise(F.col("label")).alias("component_id"),
@@ -494,12 +660,13 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id names their component, all columns as they are. Documents without words stay, and so
     do rows that repeat the id and text of the one that stays."""
     k, i, t = (free_name(docs, x) for x in ("_key", "_id", "_text"))
-    gone = (
+    gone = stage(
         ngram_components(docs, **options)
         .filter("klass is not null and not (doc_id <=> component_id)")
         .select(F.col("doc_id").alias(i), F.col("key").alias(t))
-        .distinct()
+        .distinct(),
+        "near-copies",
     )
     keyed = docs.withColumn(k, F.xxhash64(text_of(docs)))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(k) == F.col(t))
-    return keyed.join(gone, same, "left_anti").drop(k)
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(k) == F.col(t))
+    return keyed.join(broadcast_if_small(gone), same, "left_anti").drop(k)

@@ -78,6 +78,44 @@ def test_large_groups_go_by_pairs_of_blocks(spark, monkeypatch):
     assert result(spark, rows, block_bytes=2000) == brute(rows)
 
 
+@pytest.mark.parametrize("hubs", [0, 2])
+def test_a_large_group_of_near_copies_and_a_common_passage(spark, monkeypatch, hubs):
+    """Hubs tie most of the group; the rest, and a chain of neighbours below the hub's threshold, go by pairs of blocks."""
+    monkeypatch.setattr(nj, "GROUP_ROWS", 8)
+    monkeypatch.setattr(nj, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(nj, "HUB_ROUNDS", hubs)
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        t[rng.randrange(len(t))] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    chain = [f"c{k}" for k in range(260)]
+    rows += [(100 + i, " ".join(chain[4 * i : 4 * i + 100])) for i in range(40)]
+    rows += [(200 + i, " ".join(base[:70] + [f"own{i}w{k}" for k in range(40)])) for i in range(30)]
+    assert result(spark, rows, block_bytes=2000) == brute(rows)
+
+
+def test_frequent_columns_are_set_aside(spark):
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(i, f"{passage} " + " ".join(f"w{i}x{k}" for k in range(5))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    documents = nj.document_rows(docs, block_bytes=1 << 20)
+    found = nj.frequent_columns(documents, nj.column_blocks(docs, 1 << 20))
+    common = set.intersection(*(set(x.tolist()) for x in nj.shingle_sets(pa.array([t for _, t in rows[:3]]))))
+    assert set(found.tolist()) == common and len(found) == 8
+    assert len(nj.frequent_columns(documents, nj.column_blocks(docs, 1 << 20), most=3)) == 3
+    assert result(spark, rows) == brute(rows)
+
+
+def test_sets_with_one_hash_stay_apart(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "a b e"), (4, "a b f"), (5, "a b c")], "doc_id long, text string")
+    documents, _ = nj.kept_rows(docs, class_bits=1)
+    classes = {r["doc_id"]: r["klass"] for r in documents.collect()}
+    assert classes[1] == classes[5] and len(set(classes.values())) == 4
+
+
 def test_block_overlaps_and_forest():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, 90)).astype(np.uint64) for _ in range(20)]
