@@ -1,13 +1,14 @@
 """Exact dedup by heavy-hitter split.
 
 A Misra-Gries pass over the digests finds every digest that a large share of the rows may carry. Their exact counts and
-winners are then verified on the data and broadcast (never more than ``counters`` rows), so rows of such groups are
+winners are then verified on the data and broadcast (never more than ``MOST_COUNTERS`` rows), so rows of such groups are
 settled on the map side and none of them is shuffled. All other digests are grouped by an ordinary partially aggregated
-shuffle; what remains there has fewer than rows / counters rows a digest.
+shuffle; what remains there has fewer than rows / counters rows a digest, and the number of counters grows with the rows.
 
 Defined cases: null text is empty text; texts are equal when identical without the characters U+0009-U+000D and U+0020;
-of equal texts the longest original (code points) stays, then the smallest ``doc_id`` (null ids last), then one row of
-any that still tie; an empty table gives an empty result; other columns are left alone, whatever their names.
+of equal texts the longest original (code points) stays, then the smallest ``doc_id`` of whatever type (null ids last),
+then one row of any that still tie; an empty table gives an empty result; other columns are left alone, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stage, text_of, with_row_id
+from .common import broadcast_if_small, free_name, stage, text_of, with_row_id
 
 SPACES = " \t\n\x0b\x0c\r"
-COUNTERS = 1024
+#: Misra-Gries counters: one for every ROWS_PER_COUNTER rows, within these bounds.
+COUNTERS, MOST_COUNTERS = 1024, 1 << 16
+ROWS_PER_COUNTER = 1 << 20
 
 
 def _trim(counts: pd.Series, counters: int) -> pd.Series:
@@ -85,19 +88,14 @@ def digested(docs: DataFrame) -> DataFrame:
 
 
 def _best():
-    """Orders rows of a group: longest, then smallest id (null last), then first row."""
-    return F.max(
-        F.struct(
-            "n",
-            F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("known"),
-            (-F.col("doc_id")).alias("neg"),
-            (-F.col("uid")).alias("row"),
-        )
-    ).alias("best")
+    """The row of a group that stays: longest, then smallest id (null last), then first row."""
+    return F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid")).alias("best")
 
 
-def decide(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
+def decide(rows: DataFrame, counters: int | None = None) -> DataFrame:
     """``rows`` as of ``digested``, staged. Adds keep_id, group_size and kept."""
+    if counters is None:
+        counters = max(COUNTERS, min(MOST_COUNTERS, rows.count() // ROWS_PER_COUNTER))
     frequent = F.broadcast(frequent_digests(rows, counters).select("sha"))
     verified = stage(
         rows.join(frequent, "sha").groupBy("sha").agg(F.count(F.lit(1)).alias("group_size"), _best()), "heavy"
@@ -112,40 +110,40 @@ def decide(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
         .select(
             "uid",
             "doc_id",
-            (-F.col("best.neg")).alias("keep_id"),
+            F.col("best.doc_id").alias("keep_id"),
             "group_size",
-            (F.col("uid") == -F.col("best.row")).alias("kept"),
+            (F.col("uid") == F.col("best.uid")).alias("kept"),
             F.col("sha").alias("text_sha256"),
         )
     )
 
 
-def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
+def exact_dedup(docs: DataFrame, counters: int | None = None) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
     return decide(stage(digested(docs), "digests"), counters).drop("uid")
 
 
-def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, counters: int | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are.
 
-    The decisions are joined back on (doc_id, digest, length), which all rows that remain tied share, and of those one
-    row is taken; only ids and digests take part in the decision itself.
+    Ids and digests of rows that go are joined back, by a broadcast where they are few; rows that share both id and
+    digest are told apart by their length, and of those that still tie one is taken.
     """
     decided = decide(stage(digested(docs), "digests"), counters)
-    lost = decided.groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("same"), F.count_if("kept").alias("kept_rows")
+    lost = stage(
+        decided.groupBy("doc_id", "text_sha256").agg(
+            F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("same"), F.count_if("kept").alias("kept_rows")
+        ).filter("not any_kept or same > kept_rows"),
+        "lost",
     )
     text = text_of(docs)
     k, i, d = (free_name(docs, x) for x in ("_key", "_id", "_sha"))
     mark = docs.withColumn(k, F.struct(F.sha2(F.translate(text, SPACES, ""), 256).alias("sha"), F.length(text).alias("n")))
     on = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(f"{k}.sha") == F.col(d))
     gone = lost.filter("not any_kept").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(d))
-    stay = mark.join(gone, on, "left_anti")
+    stay = mark.join(broadcast_if_small(gone), on, "left_anti")
     # Rows that share both id and digest: only there can one id both stay and go.
-    twice = stage(
-        lost.filter("any_kept and same > kept_rows").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(d)),
-        "ties",
-    )
+    twice = lost.filter("any_kept and same > kept_rows").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(d))
     if twice.isEmpty():
         return stay.drop(k)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

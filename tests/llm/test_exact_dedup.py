@@ -54,6 +54,15 @@ def test_nulls_empty_ties_repeats(spark):
     assert sorted(r[3] for r in same) == [False, True]
 
 
+def test_smallest_ids_and_ids_of_other_types(spark):
+    low = -(1 << 63)
+    assert {r[1] for r in result(spark, [(3, "q"), (low, "q"), (None, "q")])} == {low}
+    df = spark.createDataFrame([("b", "x y"), ("a", "xy "), (None, "x y")], "doc_id string, text string")
+    got = ed.exact_dedup(df)
+    assert dict(got.dtypes)["keep_id"] == "string" and {r["keep_id"] for r in got.collect()} == {"a"}
+    assert [r["doc_id"] for r in ed.drop_exact_copies(df).collect()] == ["a"]
+
+
 def test_empty_table_and_long_text(spark):
     assert result(spark, []) == []
     long = "word " * 400_000
