@@ -5,18 +5,21 @@ sums begin in the same cell of ``budget - history - share - system`` tokens, cut
 costs more than ``share``. So windows are turn-aligned, need no sequential scan, and keep to the budget unless a single
 turn (or the system turn) alone exceeds it; such windows say ``over_budget``. Every window starts with the system turn
 and repeats the last turns before it that fit the history allowance. Repeated turns are masked, so each assistant turn
-carries loss exactly once.
+carries loss exactly once. A text costs at least a token for every ``BYTES`` bytes, so what is repeated is bounded in
+bytes as well.
 
-A conversation is worked on in chunks of ``CHUNK`` turn numbers, however long it is; a window does not cross chunks, and
-history begins anew with a chunk.
+A conversation is worked on in chunks of ``CHUNK`` turns by their place in it, however long it is and whatever numbers
+its turns have; a window does not cross chunks, and history begins anew with a chunk. Only conversations of more than
+one chunk need places: they are sorted over range partitions, and counts of partitions give each its offset, so no task
+holds a whole conversation. The system turn is joined by conversation and chunk.
 
 The template puts ``<|turn|>role`` and a line break before a text and ``<|end|>`` and a line break after it. Inside a
 role or text a backslash is doubled, and a backslash is put behind the first character of every control string (those of
 this template and of other common ones), so no control string remains; ``unescape`` takes that back exactly.
 
 Defined cases: null text or role is empty; turns are ordered by number (null first), then role, then text; repeated
-rows are turns of their own; rows of null conv_id form one conversation; an empty table gives an empty result; other
-columns are left alone.
+rows are turns of their own; rows of null conv_id form one conversation; a very long text is a window of its own and is
+never repeated; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import broadcast_if_small, stage
 
 BUDGET = 1024
 HISTORY = 256
 SHARE = 256
 #: Turns that one task of the prefix sums handles of one conversation at a time.
 CHUNK = 4096
+#: Bytes of text that cost a token at least.
+BYTES = 16
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 #: Control strings that no text may keep: what follows "<" or "[" in them. Fixed values.
 CONTROL = r"(?:<(?=\||/?s>|</?SYS>|/?SYS>|bos>|eos>|pad>|start_of_turn>|end_of_turn>)|\[(?=/?INST\]|/?SYS\]))"
@@ -49,33 +54,74 @@ def unescape(text: Column) -> Column:
 
 
 def turn_cost(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(TOKEN)).cast("long") + F.lit(OVERHEAD)
+    tokens = F.regexp_count(text, F.lit(TOKEN)).cast("long")
+    return F.greatest(tokens, F.ceil(F.octet_length(text) / BYTES)) + F.lit(OVERHEAD)
 
 
-def placed_turns(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, share: int = SHARE) -> DataFrame:
+def _order() -> list[Column]:
+    return [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+
+
+def with_chunks(base: DataFrame, per_conversation: DataFrame, chunk: int) -> DataFrame:
+    """``base`` with the chunk of each turn: its place in the conversation over ``chunk``."""
+    long = per_conversation.filter(F.col("n") > chunk).select(F.col("key").alias("long_key"))
+    count = long.count()
+    if count == 0:
+        return base.withColumn("chunk", F.lit(0).cast("long"))
+    # At most one conversation for every ``chunk`` turns.
+    long = broadcast_if_small(long)
+    of_long = base["key"] == F.col("long_key")
+    short = base.join(long, of_long, "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    many = base.join(long, of_long, "left_semi")
+    # Ids of a range partition are its number and the row's place in it.
+    placed = stage(
+        many.repartitionByRange("conv_id", *_order()).sortWithinPartitions("conv_id", *_order())
+        .withColumn("id", F.monotonically_increasing_id()),
+        "long-conversations",
+    )
+    runs = placed.groupBy("key", F.shiftright("id", 33).alias("part")).agg(F.min("id").alias("begin"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("key", "part", "begin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    run_key = runs.select(F.col("key").alias("run_key"), "part", "begin", "offset")
+    at = F.col("offset") + F.col("id") - F.col("begin")
+    on = (placed["key"] == F.col("run_key")) & (F.shiftright(placed["id"], 33) == F.col("part"))
+    chunked = placed.join(run_key, on).withColumn("chunk", F.floor(at / chunk).cast("long"))
+    return short.unionByName(chunked.drop("id", "run_key", "part", "begin", "offset"))
+
+
+def placed_turns(
+    turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, share: int = SHARE, chunk: int | None = None
+) -> DataFrame:
     """Turns with chunk, at (place in the chunk), cost, start (cost before it in the chunk), window (number in the
-    chunk), the conversation's system turn, and past: the turns before it within the history allowance."""
+    chunk), the conversation's system turn, and, on a window's first turn, past: the turns before it within the history
+    allowance."""
+    chunk = chunk or CHUNK
     text = F.coalesce(turns["text"].cast("string"), F.lit(""))
-    number = turns["turn"].cast("long")
     base = turns.select(
         turns["conv_id"],
-        number.alias("turn"),
+        turns["turn"].cast("long").alias("turn"),
         F.coalesce(turns["role"].cast("string"), F.lit("")).alias("role"),
         text.alias("text"),
         turn_cost(text).alias("cost"),
-        F.coalesce(F.floor(number / CHUNK), F.lit(-(1 << 52))).cast("long").alias("chunk"),
+        # A structure, in which unknown ids are equal.
+        F.struct(turns["conv_id"]).alias("key"),
     )
     # The first turn of each conversation; partial aggregation leaves one candidate a task.
-    first = base.groupBy("conv_id").agg(F.min(F.struct("chunk", "turn", "role", "text", "cost")).alias("head"))
-    # Staged, so that the join stands alone and Spark can split the turns of a very long conversation.
-    system = stage(
-        first.filter("head.role = 'system'").select(
-            F.col("conv_id").alias("sc"), F.struct("head.chunk", "head.role", "head.text", "head.cost").alias("system")
-        ),
-        "system-turns",
+    head = F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text", "cost"))
+    per_conversation = stage(
+        base.groupBy("key").agg(head.alias("head"), F.count(F.lit(1)).alias("n"))
+        .withColumn("system", F.when(F.col("head.role") == "system", F.struct("head.role", "head.text", "head.cost")))
+        .filter((F.col("n") > chunk) | F.col("system").isNotNull()).select("key", "n", "system"),
+        "conversations",
+    )
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))
+    systems = per_conversation.filter("system is not null").select(
+        F.col("key").alias("system_key"), "system", F.explode(chunks).alias("system_chunk")
     )
-    rows = base.join(system, base["conv_id"].eqNullSafe(F.col("sc")), "left").drop("sc")
-    inside = Window.partitionBy("conv_id", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    rows = with_chunks(base, per_conversation, chunk)
+    on = (rows["key"] == systems["system_key"]) & (rows["chunk"] == systems["system_chunk"])
+    rows = rows.join(systems, on, "left").drop("system_key", "system_chunk")
+    inside = Window.partitionBy("key", "chunk").orderBy(*_order())
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.row_number().over(inside) - 1).withColumn(
         "start", F.coalesce(F.sum("cost").over(before), F.lit(0))
@@ -83,30 +129,33 @@ def placed_turns(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     system_cost = F.coalesce(F.col("system.cost"), F.lit(0))
     room = F.greatest(F.lit(share), F.lit(budget - history - share) - system_cost)
     rows = rows.withColumn(
-        "is_system", F.col("system").isNotNull() & (F.col("at") == 0) & (F.col("chunk") == F.col("system.chunk"))
+        "is_system", F.col("system").isNotNull() & (F.col("at") == 0) & (F.col("chunk") == 0)
     ).withColumn("cell", F.floor(F.col("start") / room))
     # Costs are positive, so starts increase and order the turns of a chunk.
-    by_start = Window.partitionBy("conv_id", "chunk").orderBy("start")
+    by_start = Window.partitionBy("key", "chunk").orderBy("start")
     cut = (F.col("cell") != F.lag("cell").over(by_start)) | (F.col("cost") > share) | (F.lag("cost").over(by_start) > share)
     rows = rows.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int"))
     turn = F.struct("at", "role", "text", "cost", "start", "is_system")
-    return rows.withColumn(
+    rows = rows.withColumn(
         "window", F.sum("cut").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ).withColumn("past", F.collect_list(turn).over(by_start.rangeBetween(-history, -1)))
+    return rows.withColumn("past", F.when((F.col("cut") == 1) | (F.col("at") == 0), F.col("past")))
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, share: int = SHARE) -> DataFrame:
+def format_windows(
+    turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, share: int = SHARE, chunk: int | None = None
+) -> DataFrame:
     """One row per window: conv_id, chunk, window, tokens, over_budget, formatted, and spans in order of place: at (the
     turn's place in the chunk, -1 for a repeated system turn), role_at, role_length, text_at, text_length (code points
     in ``formatted``), repeated, loss."""
-    placed = placed_turns(turns, budget, history, share)
+    placed = placed_turns(turns, budget, history, share, chunk)
     turn = F.struct("at", "role", "text", "cost", "start", "is_system")
-    windows = placed.groupBy("conv_id", "chunk", "window").agg(
+    windows = placed.groupBy("key", "chunk", "window").agg(
         F.array_sort(F.collect_list(turn)).alias("own"),
-        F.min_by("past", "at").alias("past"),
+        F.first("past", ignorenulls=True).alias("past"),
         F.first("system").alias("system"),
         F.sum("cost").alias("own_cost"),
-    )
+    ).withColumn("conv_id", F.col("key.conv_id"))
     has_own_system = F.exists("own", lambda t: t["is_system"])
     repeats_system = F.col("system").isNotNull() & ~has_own_system
     system_cost = F.when(repeats_system, F.col("system.cost")).otherwise(0)

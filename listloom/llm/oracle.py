@@ -72,7 +72,7 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), sized AS (
-  SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) + 4 AS cost,
+  SELECT *, greatest(len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')), ceil(strlen(text) / 16)::BIGINT) + 4 AS cost,
     17 + len(role) + len(regexp_replace(replace(text, '\', '\\'),
       '<(\||/?s>|</?SYS>|/?SYS>|bos>|eos>|pad>|start_of_turn>|end_of_turn>)|\[(/?INST\]|/?SYS\])', '<x\1\2', 'g')) AS size
   FROM turns

@@ -56,11 +56,31 @@ def test_windows_budget_order_and_masks(spark):
     assert windows.filter("exists(spans, s -> s.repeated and s.at > 0)").count() > 0
 
 
-def test_chunks_of_a_long_conversation(spark, monkeypatch):
-    monkeypatch.setattr(cf, "CHUNK", 16)
-    rows = conversation(random.Random(1), 5, 100, True)
-    windows = cf.format_windows(spark.createDataFrame(rows, SCHEMA), budget=300, history=50, share=60)
-    assert digests(windows) == brute(rows) and windows.select("chunk").distinct().count() == 7
+def test_chunks_of_a_long_conversation_go_by_place(spark):
+    # Turn numbers far apart, and rows that share their number.
+    rows = [(c, t if c == 7 else t * 1_000_003, r, x) for c, t, r, x in conversation(random.Random(1), 5, 100, True)]
+    rows += [(6, 1 if t else 0, r, f"{t} {x}") for _, t, r, x in conversation(random.Random(2), 6, 60, True)]
+    rows += conversation(random.Random(3), 7, 10, True)
+    rows += [(None, t, r, x) for _, t, r, x in conversation(random.Random(4), 8, 40, False)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    windows = cf.format_windows(df, budget=300, history=50, share=60, chunk=16).cache()
+    assert digests(windows) == brute(rows)
+    chunks = {}
+    for w in windows.collect():
+        own = sum(not s["repeated"] for s in w["spans"])
+        chunks.setdefault(w["conv_id"], {}).setdefault(w["chunk"], []).append(own)
+        assert w["conv_id"] in (None, 7) or w["formatted"].startswith(f"{cf.OPEN}system\n")
+    sizes = {c: [sum(own[k]) for k in sorted(own)] for c, own in chunks.items()}
+    assert sizes == {5: [16] * 6 + [4], 6: [16] * 3 + [12], 7: [10], None: [16, 16, 8]}
+    assert windows.filter("exists(spans, s -> s.repeated and s.at > 0)").count() > 5
+
+
+def test_a_very_long_word_stands_alone(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "w" * 10_000_000), *[(1, t, "user", f"b{t}") for t in range(2, 60)]]
+    windows = cf.format_windows(spark.createDataFrame(rows, SCHEMA))
+    assert digests(windows) == brute(rows)
+    sizes = sorted(r["n"] for r in windows.select(F.length("formatted").alias("n")).collect())
+    assert sizes[-1] > 10_000_000 and sizes[-2] < 20_000
 
 
 @settings(max_examples=25, deadline=None)
