@@ -12,13 +12,15 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
+def query(oracle: str | None = None, also: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, and ``also`` under an older one."""
 
     def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if oracle is not None:
-            _ORACLES[f.__name__] = oracle
+        for name in (f.__name__, also):
+            if name is not None:
+                _QUERIES[name] = f
+                if oracle is not None:
+                    _ORACLES[name] = oracle
         return f
 
     return add

@@ -43,12 +43,10 @@ def distances(lat: Column, lon: Column, points: Column, known: Column | None = N
     return F.when(lat.isNotNull() & lon.isNotNull(), F.transform(points, one))
 
 
-#: Reference rent a square metre by rooms; the last holds from there on. Own values.
-RENT_BANDS = {1: 24.0, 2: 19.0, 3: 16.5, 4: 15.0}
+#: Reference rent a square metre: of all sizes, of one and two rooms, of more. Fixed values.
+RENT_ALL, RENT_SMALL, RENT_LARGE = 20.43, 22.74, 19.73
 
 
 def reference_rent(rooms: Column) -> Column:
-    out = F.when(rooms.isNull(), None)
-    for n, rent in RENT_BANDS.items():
-        out = out.when(rooms <= n, rent)
-    return out.otherwise(list(RENT_BANDS.values())[-1])
+    """By the number of rooms; an unknown one has the value of all sizes."""
+    return F.when(rooms.isNull(), RENT_ALL).when(rooms <= 2, RENT_SMALL).otherwise(RENT_LARGE)

@@ -1,8 +1,10 @@
 """Entity resolution: blocking, pair comparison, verdicts, constrained clustering and merge with provenance.
 
-Occurrences come as a DataFrame with id, source_id, city, postal_code, price, area, rooms, phone, email, agency,
-district and tokens (of the title). Pairs are made inside blocks of at most ``MAX_BLOCK`` rows, which is counted before
-any pairing, so no block can grow into a quadratic one.
+Occurrences come as a DataFrame with id, source_id and whatever is known of place, figures, contact, position, photos and
+texts; ``prepared`` folds what is compared and fills in the columns that are missing. Pairs are made inside blocks of at
+most ``MAX_BLOCK`` rows, which is counted before any pairing, so no block can grow into a quadratic one; ``skipped_blocks``
+tells which were larger. Vetoes are applied inside the block join, on columns that the blocks' rows carry: only pairs
+that pass them are made distinct and meet their texts.
 """
 
 from __future__ import annotations
@@ -13,40 +15,95 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from listloom.functions.text import jaccard, js_round
+from listloom.functions.geo import haversine_km
+from listloom.functions.listing import image_identity
+from listloom.functions.parse import parse_requirements
+from listloom.functions.text import comparable, jaccard, js_round, tokenize
 from listloom.session import ship
 
 MAX_BLOCK = 200
 DUPLICATE, AMBIGUOUS = 70, 45
-#: Columns that a pair compares.
-SIDES = ("source_id", "city", "postal_code", "price", "area", "rooms", "phone", "email", "agency", "district", "tokens")
+#: Columns that vetoes read, and those that only the score reads.
+FACTS = ("source_id", "city", "price", "area", "rooms", "latitude", "longitude", "agency_key", "relays")
+SIDES = (
+    *FACTS, "postal_code", "phone", "email", "reference", "reference_key", "address_key", "district_key", "photos",
+    "title_tokens", "description_tokens", "operator",
+)
+_RAW = {
+    "city": "string", "postal_code": "string", "price": "double", "area": "double", "rooms": "int", "latitude": "double",
+    "longitude": "double", "phone": "string", "email": "string", "reference": "string", "address": "string",
+    "agency": "string", "district": "string", "title": "string", "description": "string", "images": "string",
+    "charges": "double", "furnished": "boolean", "flat_share": "boolean", "max_occupants": "int", "views": "int",
+    "favorites": "int", "published_at": "timestamp", "available_at": "timestamp",
+}
+_COMPARED = (
+    "city", "postal_code", "price", "area", "rooms", "latitude", "longitude", "phone", "email", "reference", "address",
+    "agency", "district", "title", "description", "images",
+)
+#: Points for what both sides share. Fixed values.
+POINTS = {
+    "photos": 45, "photo": 8, "phone": 40, "email": 35, "reference": 35, "address": 30, "position": 30, "price": 18,
+    "area": 18, "exact_area": 30, "rooms": 6, "agency": 12, "postal_code": 4, "district": 12, "district_named": 8,
+    "operator": 30, "title": 15, "description": 12,
+}
+
+
+def prepared(rows: DataFrame, relays: tuple[str, ...] = (), operators: dict[str, str] | None = None) -> DataFrame:
+    """``rows`` with the folded columns that pairs compare. ``relays``: sources that pass on the ads of others;
+    ``operators``: who runs a source. ``images`` are addresses parted by commas."""
+    have = set(rows.columns)
+    full = rows.withColumns({c: F.lit(None).cast(_RAW[c]) for c in _COMPARED if c not in have})
+    operator = F.lit(None).cast("string")
+    for source, name in (operators or {}).items():
+        operator = F.when(F.col("source_id") == source, name).otherwise(operator)
+    made = {
+        "relays": F.col("source_id").isin(*relays) if relays else F.lit(False),
+        "operator": operator,
+        "photos": F.array_distinct(F.array_compact(F.transform(F.split("images", ","), image_identity))),
+        **{f"{c}_key": comparable(F.col(c)) for c in ("reference", "address", "agency", "district")},
+        **{f"{c}_tokens": tokenize(F.col(c)) for c in ("title", "description")},
+    }
+    return full.withColumns({c: v for c, v in made.items() if c not in have})
 
 
 def blocking_keys() -> Column:
-    """Contact keys; 5 m2 and 50-unit buckets (each with its lower neighbour) per place; and both buckets together
-    without a place, four ways. The place is the city, else the postal code, else a constant."""
+    """Contact keys; references of four letters and more; 5 m2 and 50-unit buckets (rounded, each with its lower
+    neighbour) per place; and both buckets together without a place, four ways. The place is the city, else the postal
+    code, else a constant."""
     place = F.coalesce("city", "postal_code", F.lit("anywhere"))
-    a, p = F.floor(F.col("area") / 5), F.floor(F.col("price") / 50)
-    parts = [
-        F.concat(F.lit("tel:"), F.col("phone")),
-        F.concat(F.lit("mail:"), F.col("email")),
-        *[F.concat_ws(":", F.lit("area"), F.when(a.isNotNull(), place), (a - k).cast("string")) for k in (0, 1)],
-        *[F.concat_ws(":", F.lit("price"), F.when(p.isNotNull(), place), (p - k).cast("string")) for k in (0, 1)],
+    a, p = js_round(F.col("area") / 5), js_round(F.col("price") / 50)
+
+    def key(kind: str, *parts: Column) -> Column:
+        # Unknown parts make the key unknown.
+        return F.concat(F.lit(kind), *[x for part in parts for x in (F.lit(":"), part.cast("string"))])
+
+    keys = [
+        key("tel", F.col("phone")),
+        key("mail", F.col("email")),
+        F.when(F.length("reference") >= 4, key("ref", F.col("reference_key"))),
+        *[key("area", place, a - k) for k in (0, 1)],
+        *[key("price", place, p - k) for k in (0, 1)],
+        *[key("both", a - i, p - j) for i in (0, 1) for j in (0, 1)],
     ]
-    known = [F.lit(True), F.lit(True), a.isNotNull(), a.isNotNull(), p.isNotNull(), p.isNotNull()]
-    both = a.isNotNull() & p.isNotNull()
-    cross = [F.concat_ws(":", F.lit("both"), (a - i).cast("string"), (p - j).cast("string")) for i in (0, 1) for j in (0, 1)]
-    keys = [F.when(ok, k) for ok, k in zip(known, parts)] + [F.when(both, k) for k in cross]
     return F.array_compact(F.array(*keys))
 
 
-def blocks(rows: DataFrame) -> DataFrame:
-    """(key, id) of blocks with 2..MAX_BLOCK rows."""
-    keyed = rows.select("id", F.explode(blocking_keys()).alias("key"))
+def _keyed(rows: DataFrame, *carried: str) -> DataFrame:
+    return rows.select("id", *carried, F.explode(blocking_keys()).alias("key"))
+
+
+def blocks(rows: DataFrame, *carried: str) -> DataFrame:
+    """(key, id, carried columns) of blocks with 2..MAX_BLOCK rows."""
+    keyed = _keyed(rows, *carried)
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, MAX_BLOCK))
     return keyed.join(sizes.drop("n"), "key")
 
 
+def skipped_blocks(rows: DataFrame) -> DataFrame:
+    """(key, n) of the blocks that are too large to be paired."""
+    return _keyed(rows).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_BLOCK)
+
+
 def candidate_pairs(rows: DataFrame) -> DataFrame:
     """Each unordered pair of ids that shares a block, once."""
     held = blocks(rows)
@@ -55,73 +112,140 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return left.join(right, "key").filter("left_id < right_id").select("left_id", "right_id").distinct()
 
 
+def possible_pairs(rows: DataFrame) -> DataFrame:
+    """As ``candidate_pairs``, without those that a veto tells apart."""
+    held = blocks(rows, *FACTS)
+    left, right = (
+        held.select("key", F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side[0]}_{c}") for c in FACTS])
+        for side in ("left", "right")
+    )
+    free = left.join(right, "key").filter(F.col("left_id") < F.col("right_id")).filter(~blocked())
+    return free.select("left_id", "right_id").distinct()
+
+
 def with_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     left = rows.select(F.col("id").alias("left_id"), *[F.col(c).alias(f"l_{c}") for c in SIDES])
     right = rows.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in SIDES])
     return pairs.join(left, "left_id").join(right, "right_id")
 
 
-def _known(c: str) -> Column:
-    return F.col(f"l_{c}").isNotNull() & F.col(f"r_{c}").isNotNull()
+def _sides(c: str) -> tuple[Column, Column]:
+    return F.col(f"l_{c}"), F.col(f"r_{c}")
+
+
+def _known(*columns: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        a, b = _sides(c)
+        out = out & a.isNotNull() & b.isNotNull()
+    return out
+
+
+def _same(c: str) -> Column:
+    a, b = _sides(c)
+    return F.coalesce(a == b, F.lit(False))
+
+
+def _near(c: str, absolute: float, relative: float) -> Column:
+    a, b = _sides(c)
+    return F.abs(a - b) <= F.greatest(F.lit(absolute), relative * F.greatest(a, b))
 
 
 def _apart(c: str, absolute: float, relative: float) -> Column:
-    a, b = F.col(f"l_{c}"), F.col(f"r_{c}")
-    return _known(c) & (F.abs(a - b) > F.greatest(F.lit(absolute), relative * F.greatest(a, b)))
+    return _known(c) & ~_near(c, absolute, relative)
+
+
+def _has_decimals(x: Column) -> Column:
+    return F.abs(x - js_round(x)) > 0.004
+
+
+def _km() -> Column:
+    return haversine_km(F.col("l_latitude"), F.col("l_longitude"), F.col("r_latitude"), F.col("r_longitude"))
 
 
 def same_source_conflict() -> Column:
-    """Two ads of one source are two dwellings when their price differs, or their area is not the same up to rounding."""
-    a, b = F.col("l_area"), F.col("r_area")
-    whole = lambda x, y: (x == F.floor(x)) & ((x == F.floor(y)) | (x == js_round(y)))
-    same_area = (F.abs(a - b) <= 0.005) | whole(a, b) | whole(b, a)
+    """Two ads of one source are two dwellings when their price differs, or their area is not the same up to rounding.
+    A source that relays is excused where the ads name two agencies."""
+    a, b = _sides("area")
+    whole = lambda x, y: ~_has_decimals(x) & ((F.floor(y + 0.005) == js_round(x)) | (js_round(y) == js_round(x)))
+    same_area = (F.abs(a - b) < 0.005) | whole(a, b) | whole(b, a)
     price = _known("price") & (F.abs(F.col("l_price") - F.col("r_price")) > 0.5)
     area = _known("area") & ~same_area
-    return F.coalesce((F.col("l_source_id") == F.col("r_source_id")) & (price | area), F.lit(False))
+    excused = F.col("l_relays") & F.coalesce(F.col("l_agency_key") != F.col("r_agency_key"), F.lit(False))
+    return F.coalesce((F.col("l_source_id") == F.col("r_source_id")) & ~excused & (price | area), F.lit(False))
 
 
 def blocked() -> Column:
     """Hard vetoes; unknown values cannot veto."""
     differs = lambda c: _known(c) & (F.col(f"l_{c}") != F.col(f"r_{c}"))
-    parts = differs("city") | _apart("area", 2.0, 0.05) | _apart("price", 30.0, 0.06) | differs("rooms")
+    far = _known("latitude", "longitude") & (_km() > 0.5)
+    parts = differs("city") | _apart("area", 2.0, 0.05) | _apart("price", 30.0, 0.06) | differs("rooms") | far
     return F.coalesce(parts, F.lit(False)) | same_source_conflict()
 
 
-def _same(c: str) -> Column:
-    return F.coalesce(F.col(f"l_{c}") == F.col(f"r_{c}"), F.lit(False))
+def _photo_points(cross: Column) -> Column:
+    """All photos alike, or some; within one source that does not relay only a set of two or more counts."""
+    a, b = _sides("photos")
+    common = F.coalesce(F.size(F.array_intersect(a, b)), F.lit(0))
+    own = ~cross & ~F.col("l_relays")
+    whole = (common == F.size(a)) & (common == F.size(b))
+    return (
+        F.when(common <= 0, 0)
+        .when(whole, F.when(~own | (common >= 2), POINTS["photos"]).otherwise(0))
+        .otherwise(F.when(own, 0).otherwise(POINTS["photo"]))
+    )
 
 
 def pair_score() -> Column:
     """Points for what both sides know and share, 100 at most."""
     cross = F.col("l_source_id") != F.col("r_source_id")
-    near = lambda c, x, r: _known(c) & ~_apart(c, x, r)
-    exact = cross & _known("area") & (F.abs(F.col("l_area") - F.col("r_area")) <= 0.005) & (F.col("l_area") != F.floor("l_area"))
-    title = jaccard(F.col("l_tokens"), F.col("r_tokens"))
-    signals = [
-        (cross & _same("phone"), 40),
-        (cross & _same("email"), 35),
-        (near("area", 2.0, 0.05), 18),
-        (exact, 30),
-        (near("price", 30.0, 0.06), 18),
-        (_same("rooms"), 6),
-        (_same("agency"), 12),
-        (_same("postal_code"), 4),
-        (_same("district"), 12),
-    ]
-    total = sum((F.when(ok, points).otherwise(0) for ok, points in signals), F.lit(0))
-    total = total + F.when(title > 0.4, js_round(15 * title)).otherwise(0)
+    area, other_area = _sides("area")
+    same_figure = F.abs(area - other_area) < 0.005
+    here, there = _sides("district_key")
+    flags = {
+        "phone": cross & _same("phone"),
+        "email": cross & _same("email"),
+        "reference": _same("reference_key") & (F.length("l_reference") >= 4),
+        "address": _same("address_key"),
+        "position": _km() <= 0.08,
+        "price": _near("price", 30.0, 0.06),
+        "area": _near("area", 2.0, 0.05),
+        "exact_area": cross & _has_decimals(area) & same_figure,
+        "rooms": _same("rooms"),
+        "agency": _same("agency_key"),
+        "postal_code": _same("postal_code"),
+        "district": here == there,
+        "operator": cross & _same("operator") & _same("price") & same_figure,
+    }
+    total = _photo_points(cross)
+    for name, holds in flags.items():
+        total = total + F.when(F.coalesce(holds, F.lit(False)), POINTS[name]).otherwise(0)
+    one = F.coalesce(F.array_contains("r_title_tokens", here), F.lit(False))
+    other = F.coalesce(F.array_contains("l_title_tokens", there), F.lit(False))
+    total = total + F.when(~F.coalesce(here == there, F.lit(False)) & (one | other), POINTS["district_named"]).otherwise(0)
+    for name, least in (("title", 0.4), ("description", 0.5)):
+        alike = jaccard(*_sides(f"{name}_tokens"))
+        total = total + F.when(alike > least, js_round(POINTS[name] * alike)).otherwise(0)
     return F.least(F.lit(100), total).cast("int")
 
 
-def verdicts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(left_id, right_id, score, verdict); a vetoed pair is distinct with score 0."""
-    scored = with_sides(pairs, rows).select(
-        "left_id", "right_id", F.when(blocked(), 0).otherwise(pair_score()).cast("int").alias("score")
-    )
+def _with_verdict(scored: DataFrame) -> DataFrame:
     verdict = F.when(F.col("score") >= DUPLICATE, "duplicate").when(F.col("score") >= AMBIGUOUS, "ambiguous")
     return scored.withColumn("verdict", verdict.otherwise("distinct"))
 
 
+def verdicts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(left_id, right_id, score, verdict) of given pairs; a vetoed pair is distinct with score 0."""
+    score = F.when(blocked(), 0).otherwise(pair_score()).cast("int").alias("score")
+    return _with_verdict(with_sides(pairs, rows).select("left_id", "right_id", score))
+
+
+def matches(rows: DataFrame) -> DataFrame:
+    """(left_id, right_id, score, verdict) of all pairs of ``rows`` that are duplicate or ambiguous."""
+    scored = with_sides(possible_pairs(rows), rows).select("left_id", "right_id", pair_score().alias("score"))
+    return _with_verdict(scored).filter(F.col("score") >= AMBIGUOUS)
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """Checkpointed, which cuts the lineage; a local session without a folder for that gets a temporary one."""
     context = df.sparkSession.sparkContext
@@ -176,72 +300,101 @@ def constrained_clusters(rows: DataFrame, scored: DataFrame, merge_ambiguous: bo
     """(id, cluster): links by falling score, two clusters joined unless a cross pair conflicts within one source.
 
     Links and conflicts never cross a component of the link graph, so the greedy pass runs inside each component; the
-    order is (score desc, left, right), and a cluster's name is its smallest id.
+    order is (score desc, left, right), and a cluster's name is its smallest id. A component is worked on by one task:
+    its links are those of blocks of at most ``MAX_BLOCK`` rows.
     """
     ship(rows.sparkSession)
     wanted = ["duplicate", "ambiguous"] if merge_ambiguous else ["duplicate"]
-    links = scored.filter(F.col("verdict").isin(*wanted)).select("left_id", "right_id", "score")
+    # Scored once: the components, the greedy pass and those without a link all read it.
+    links = _kept(scored.filter(F.col("verdict").isin(*wanted)).select("left_id", "right_id", "score"))
     # Renamed afresh: the components derive from the same links.
     roots = components(links.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))).toDF("node", "top")
     by_link = links.join(roots.withColumnRenamed("node", "left_id"), "left_id").toDF("left_id", "right_id", "score", "root")
-    facts = rows.select("id", "source_id", "price", "area")
+    facts = rows.select("id", "source_id", "price", "area", "agency_key", "relays")
     members = facts.join(roots.toDF("id", "root"), "id")
     out = by_link.groupBy("root").cogroup(members.groupBy("root")).applyInPandas(_greedy, "id long, cluster long")
     alone = rows.select("id").join(roots.select(F.col("node").alias("id")), "id", "left_anti")
     return out.unionByName(alone.select("id", F.col("id").alias("cluster")))
 
 
+def ambiguous_by_cluster(clusters: DataFrame, scored: DataFrame) -> DataFrame:
+    """(cluster, pairs): what is left to decide, by the cluster of the left id; pairs are ordered by their ids."""
+    open_pairs = scored.filter("verdict = 'ambiguous'").select("left_id", "right_id", "score")
+    found = open_pairs.join(clusters.select(F.col("id").alias("left_id"), "cluster"), "left_id")
+    return found.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("left_id", "right_id", "score"))).alias("pairs"))
+
+
 def _conflict(a, b) -> bool:
-    if a.source_id != b.source_id:
+    """``same_source_conflict`` of two rows of one source."""
+    if a.relays and pd.notna(a.agency_key) and pd.notna(b.agency_key) and a.agency_key != b.agency_key:
         return False
     if pd.notna(a.price) and pd.notna(b.price) and abs(a.price - b.price) > 0.5:
         return True
-    if pd.isna(a.area) or pd.isna(b.area) or abs(a.area - b.area) <= 0.005:
+    if pd.isna(a.area) or pd.isna(b.area) or abs(a.area - b.area) < 0.005:
         return False
-    fits = lambda x, y: x == int(x) and x in (int(y), int(y + 0.5))
-    return not (fits(a.area, b.area) or fits(b.area, a.area))
+    near = lambda x: int(x + 0.5)
+    whole = lambda x, y: abs(x - near(x)) <= 0.004 and near(x) in (int(y + 0.005), near(y))
+    return not (whole(a.area, b.area) or whole(b.area, a.area))
 
 
 def _greedy(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    info = {m.id: m for m in members.itertuples()}
-    cluster = {i: {i} for i in info}
+    # A cluster is its members by source: only rows of one source can conflict.
+    cluster = {m.id: {m.source_id: [m]} for m in members.itertuples()}
     for link in links.sort_values(["score", "left_id", "right_id"], ascending=[False, True, True]).itertuples():
         a, b = cluster[link.left_id], cluster[link.right_id]
-        if a is not b and not any(_conflict(info[i], info[j]) for i in a for j in b):
-            a |= b
-            for i in b:
-                cluster[i] = a
-    return pd.DataFrame({"id": list(cluster), "cluster": [min(c) for c in cluster.values()]})
+        if a is b or any(_conflict(x, y) for s in a.keys() & b.keys() for x in a[s] for y in b[s]):
+            continue
+        for s, own in b.items():
+            a.setdefault(s, []).extend(own)
+            for m in own:
+                cluster[m.id] = a
+    names = {id(c): min(m.id for own in c.values() for m in own) for c in cluster.values()}
+    return pd.DataFrame({"id": list(cluster), "cluster": [names[id(c)] for c in cluster.values()]})
 
 
 # --------------------------------------------------------------------------------------------------------------------
 # merge
 
-FIELDS = ("price", "area", "rooms", "city", "postal_code", "district", "furnished", "agency")
-TOLERANCE = {"price": 0.01, "area": 0.001}
+#: Merged fields; numbers within their tolerance are equal. Fixed values.
+FIELDS = (
+    "title", "description", "price", "charges", "area", "rooms", "property_type", "furnished", "flat_share", "dpe",
+    "max_occupants", "address", "district", "city", "postal_code", "latitude", "longitude", "published_at", "available_at",
+    "views", "favorites",
+)
+TOLERANCE = {"price": 0.01, "charges": 0.01, "area": 0.01, "latitude": 0.001, "longitude": 0.001}
+#: Fields that make an occurrence complete, a point each; phone and e-mail give two.
+COMPLETE = (
+    "title", "description", "price", "charges", "area", "rooms", "address", "city", "postal_code", "latitude",
+    "longitude", "published_at",
+)
 
 
 def completeness() -> Column:
-    """A point for each known field, two for phone and e-mail."""
-    one = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in FIELDS), F.lit(0))
+    one = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in COMPLETE), F.lit(0))
     return one + sum((F.when(F.col(c).isNotNull(), 2).otherwise(0) for c in ("phone", "email")), F.lit(0))
 
 
 def ranked_members(rows: DataFrame, group: str = "group_id") -> DataFrame:
-    """Members in merge order (``place`` from 1): fullest, then seen first, then smallest id."""
+    """Members with ``place`` from 1 for the primary one: fullest, then seen first, then smallest id."""
     w = Window.partitionBy(group).orderBy(completeness().desc(), F.col("first_seen"), F.col("id"))
     return rows.withColumn("place", F.row_number().over(w))
 
 
+def _first_known(name: str) -> Column:
+    """Of the members, in the order of their ids."""
+    return F.try_element_at(F.filter("members", lambda m: m[name].isNotNull()), F.lit(1))
+
+
 def _merged(name: str) -> Column:
-    """struct(value, source_id, conflicts): the first known value in merge order, and the differing values of other
-    sources."""
+    """struct(value, source_id, conflicts): the primary's value, else the first known one by id, and the differing values
+    of other sources."""
     members = F.col("members")
-    chosen = F.try_element_at(F.filter(members, lambda m: m[name].isNotNull()), F.lit(1))
+    primary = F.filter(members, lambda m: m["place"] == 1)[0]
+    chosen = F.when(primary[name].isNotNull(), primary).otherwise(F.coalesce(_first_known(name), primary))
 
     def differs(m: Column) -> Column:
         a, b = m[name], chosen[name]
-        apart = F.abs(a - b) > TOLERANCE[name] * F.abs(b) if name in TOLERANCE else a != b
+        apart = F.abs(a - b) > TOLERANCE[name] if name in TOLERANCE else a != b
         return a.isNotNull() & (m["source_id"] != chosen["source_id"]) & apart
 
     conflicts = F.transform(
@@ -251,31 +404,56 @@ def _merged(name: str) -> Column:
 
 
 def merge_groups(rows: DataFrame, group: str = "group_id") -> DataFrame:
-    """One listing for each group: merged fields with provenance, contact, best lifecycle, first and last sighting and
-    the id of the oldest occurrence."""
-    names = ["id", "source_id", *FIELDS, "phone", "email", "lifecycle", "first_seen", "last_seen"]
+    """One listing for each group: merged fields with provenance, contact, features, images, requirements, best
+    lifecycle, first and last sighting and the id of the oldest occurrence. Columns that ``rows`` lacks are unknown."""
+    have = set(rows.columns)
+    missing = {c: F.lit(None).cast(_RAW.get(c, "string")) for c in (*FIELDS, "agency", "landlord", "reference", "features", "images") if c not in have}
+    rows = rows.withColumns(missing)
+    names = list(dict.fromkeys(
+        ["id", "source_id", *FIELDS, "agency", "landlord", "reference", "phone", "email", "features", "images", "lifecycle", "first_seen", "last_seen"]
+    ))
     packed = ranked_members(rows, group).groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct("place", *names))).alias("members")
-    )
-    first = lambda c: F.try_element_at(F.filter("members", lambda m: m[c].isNotNull()), F.lit(1))[c]
-    rank = F.transform(
-        "members", lambda m: F.when(m["lifecycle"] == "active", 0).when(m["lifecycle"] == "possiblyInactive", 1).otherwise(2)
+        F.array_sort(F.collect_list(F.struct("id", *[c for c in ("place", *names) if c != "id"]))).alias("members")
     )
+    each = lambda f: F.transform("members", f)
+    rank = each(lambda m: F.when(m["lifecycle"] == "active", 0).when(m["lifecycle"] == "possiblyInactive", 1).otherwise(2))
     best = F.array_min(rank)
     provided = F.transform(
         F.filter("members", lambda m: m["phone"].isNotNull() | m["email"].isNotNull()), lambda m: m["source_id"]
     )
+    parts = lambda c: F.array_distinct(F.filter(F.flatten(each(lambda m: F.split(F.coalesce(m[c], F.lit("")), ","))), lambda x: x != ""))
+    images = parts("images")
+    plain = lambda u: F.startswith(u, F.lit("http://"))
+    wants = F.transform(F.filter("members", lambda m: m["description"].isNotNull()), lambda m: parse_requirements(m["description"]))
+    some = lambda r: (
+        r["min_income"].isNotNull() | r["insured_rent"].isNotNull() | (F.size(r["guarantees"]) > 0) | (F.size(r["situations"]) > 0)
+    )
+    kind = F.try_element_at(F.filter("members", lambda m: m["landlord"].isNotNull() & (m["landlord"] != "unknown")), F.lit(1))
     return packed.select(
         group,
-        F.array_min(F.transform("members", lambda m: F.struct(m["first_seen"], m["id"])))["id"].alias("id"),
+        F.array_min(each(lambda m: F.struct(m["first_seen"], m["id"])))["id"].alias("id"),
         *[_merged(c).alias(c) for c in FIELDS],
-        first("phone").alias("phone"),
-        first("email").alias("email"),
+        *[_first_known(c)[c].alias(c) for c in ("agency", "phone", "email", "reference")],
+        F.coalesce(kind["landlord"], F.lit("unknown")).alias("landlord"),
         F.array_sort(F.array_distinct(provided)).alias("provided_by"),
+        parts("features").alias("features"),
+        F.concat(F.filter(images, lambda u: ~plain(u)), F.filter(images, plain)).alias("images"),
+        F.try_element_at(F.filter(wants, some), F.lit(1)).alias("requirements"),
         F.when(best == 0, "active").when(best == 1, "possiblyInactive").otherwise("inactive").alias("lifecycle"),
-        F.array_min(F.transform("members", lambda m: m["first_seen"])).alias("first_seen"),
-        F.array_max(F.transform("members", lambda m: m["last_seen"])).alias("last_seen"),
+        F.array_min(each(lambda m: m["first_seen"])).alias("first_seen"),
+        F.array_max(each(lambda m: m["last_seen"])).alias("last_seen"),
         F.size("members").alias("occurrences"),
     )
 
 
+def merged_fields(listings: DataFrame, group: str = "group_id") -> DataFrame:
+    """The merged fields of ``merge_groups`` as rows: group, field, value, source_id and conflicts, all as text."""
+
+    def one(c: str) -> Column:
+        said = F.transform(F.col(c)["conflicts"], lambda x: F.concat(x["source_id"], F.lit("="), x["value"].cast("string")))
+        return F.struct(
+            F.lit(c).alias("field"), F.col(c)["value"].cast("string").alias("value"), F.col(c)["source_id"].alias("source_id"),
+            F.array_join(F.array_sort(said), ";").alias("conflicts"),
+        )
+
+    return listings.select(group, F.explode(F.array(*[one(c) for c in FIELDS])).alias("f")).select(group, "f.*")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Criteria:
-    """What a user looks for. ``checked`` refuses bounds that contradict each other."""
+    """What a user looks for; bounds may be columns, where every row has its own. ``checked`` refuses bounds that
+    contradict each other."""
 
     max_price: float | None = None
     min_price: float | None = None

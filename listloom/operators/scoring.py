@@ -26,7 +26,7 @@ def match_score(c: Criteria) -> Column:
         place = F.col("postal_code").isin(*c.postal_codes) if c.postal_codes else F.contains(F.lower("city"), F.lit(c.city))
         wrong_city = ~F.coalesce(place, F.lit(True))
         city_points = F.when(place, 30).otherwise(0)
-    price_ok = (price <= top) & (price >= (c.min_price or 0))
+    price_ok = (price <= top) & (price >= (0 if c.min_price is None else c.min_price))
     price_points = F.when(price_ok, js_round(30 + F.least(F.lit(10.0), 33 * (top - price) / top))).otherwise(0)
     area_points = F.when(area >= c.min_area, js_round(20 + F.least(F.lit(10.0), (area - c.min_area) / 2))).otherwise(0)
     total = city_points + price_points + area_points
@@ -99,7 +99,7 @@ def risk_score(text: Column) -> Column:
     suspicious wording. Rents are judged for whole dwellings only."""
     whole = ~F.coalesce("flat_share", F.lit(False)) & (F.col("property_type") != "room")
     ratio = F.when(whole & (F.col("area") > 0), F.col("price") / F.col("area") / reference_rent(F.col("rooms")))
-    cramped = whole & (F.col("rooms") > 0) & (F.col("area") / F.col("rooms") < 9)
+    cramped = (F.col("rooms") > 0) & (F.col("area") / F.col("rooms") < 9)
     folded = F.concat(F.lit(" "), comparable(F.coalesce(text, F.lit(""))), F.lit(" "))
     wording = F.lit(0)
     for words, points in SUSPICIOUS:
@@ -117,6 +117,24 @@ def risk_score(text: Column) -> Column:
     return F.struct(clamp_score(total).alias("value"), (known / 4).alias("confidence"))
 
 
+def conflicts_of(price: Column, area: Column, address: Column) -> Column:
+    """How many merged fields conflict: a price by over 15 %, an area by over 10 %, an address by its words."""
+
+    def apart(field: Column, share: float) -> Column:
+        value = field["value"]
+        return (value != 0) & F.exists(field["conflicts"], lambda x: F.abs(x["value"] - value) / F.abs(value) > share)
+
+    worded = F.exists(address["conflicts"], lambda x: comparable(x["value"]) != comparable(address["value"]))
+    return _points((apart(price, 0.15), 1), (apart(area, 0.10), 1), (address["value"].isNotNull() & worded, 1))
+
+
+def composed(c: Criteria, commute: Column, longest: Column | int | None) -> Column:
+    """struct(value, confidence, matches): the match, which a commute that is too long turns down; an unknown one passes."""
+    score = match_score(c)
+    near = F.lit(True) if longest is None else ~F.coalesce(commute > longest, F.lit(False))
+    return F.struct(score["value"].alias("value"), score["confidence"].alias("confidence"), (score["matches"] & near).alias("matches"))
+
+
 def near_miss(c: Criteria, margin: float = 0.05) -> Column:
     """Within the margin of the bounds and outside at least one: an unknown price fails, an unknown area passes."""
     inside = (F.col("price") <= c.max_price * (1 + margin)) & F.coalesce(F.col("area") >= c.min_area * (1 - margin), F.lit(True))

@@ -68,7 +68,7 @@ def expired(lifecycle: Column, last: Column, now: Column, uncertain: float = 4,
 
 def inherited_state(states: DataFrame, survivor: str) -> DataFrame:
     """User state of merged groups: flags by maximum, earliest notice, the furthest tracking; never a step back."""
-    rank = F.when(F.col("tracking") == "visit", 4).when(F.col("tracking") == "contacted", 3).when(
+    rank = F.when(F.col("tracking") == "visited", 4).when(F.col("tracking") == "contacted", 3).when(
         F.col("tracking") == "rejected", 2
     ).when(F.col("tracking") == "new", 1).otherwise(0)
     return states.groupBy(survivor, "user_id").agg(

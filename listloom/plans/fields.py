@@ -192,16 +192,29 @@ def vanished_refs(spark, sf_dir):
     return lists.top_by(gone, ["l_suppkey"], [F.col("l_partkey")], 5).select("l_suppkey", "l_partkey")
 
 
-@query("SELECT doc_id, translate(trim(regexp_replace(translate(lower(translate(substr(text, 1, 60), '-''’', '   ')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), ' +', ' ', 'g')), chr(1), '') AS commune FROM documents")
+@query(
+    "SELECT doc_id, trim(regexp_replace(translate(lower(translate(text, '-''’', '   ')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), ' +', ' ', 'g')) AS commune FROM documents",
+    also="commune_folds_whole",
+)
 def commune_folds(spark, sf_dir):
     """SCA-08."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.commune_fold(F.substring("text", 1, 60)).alias("commune"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.commune_fold(F.col("text")).alias("commune"))
 
 
-@query()
-def commune_folds_whole(spark, sf_dir):
-    """SCA-08: the whole text."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.commune_fold(F.col("text")).alias("commune"))
+@query(
+    """WITH t AS (SELECT c_custkey AS k, c_custkey % 7 AS m, 1 + c_custkey % 25 AS n FROM customer)
+SELECT k, CASE WHEN m < 6 AND v BETWEEN 1 AND 20 THEN v::INT END AS occupants
+FROM (SELECT *, CASE m WHEN 1 THEN n + 1 ELSE n END AS v FROM t)"""
+)
+def occupant_counts(spark, sf_dir):
+    """SCA-25: plain counts, the top of a range, beds, and what flat-mates are said to be."""
+    n = "1 + c_custkey % 25"
+    said = F.expr(
+        f"CASE c_custkey % 7 WHEN 0 THEN concat({n}, ' personnes') WHEN 1 THEN concat('pour ', {n}, '/', {n} + 1, ' personnes') WHEN 2 THEN concat({n}, ' couchages') "
+        f"WHEN 3 THEN concat('idéal pour ', {n}, ' colocataires') WHEN 4 THEN concat('il y a ', {n}, ' locataires au total') WHEN 5 THEN concat({n}, ' voyageurs maximum') "
+        f"ELSE concat({n}, ' locataires par chambre') END"
+    )
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), parse.parse_max_occupants(said).alias("occupants"))
 
 
 @query("SELECT user_id, event_id, sum(CASE WHEN value >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)::BIGINT AS hits, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean FROM events")

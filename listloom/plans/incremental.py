@@ -168,7 +168,7 @@ def expire_by_age(spark, sf_dir):
 @query(
     with_views(
         """SELECT id % 97 AS survivor, user_id, bool_or(viewed) AS viewed, bool_or(favorite) AS favorite, bool_or(archived) AS archived,
-max(CASE tracking WHEN 'visit' THEN 4 WHEN 'contacted' THEN 3 WHEN 'rejected' THEN 2 WHEN 'new' THEN 1 ELSE 0 END)::INT AS stage, strftime(min(acted_at), '%Y-%m-%d') AS since
+max(CASE tracking WHEN 'visited' THEN 4 WHEN 'contacted' THEN 3 WHEN 'rejected' THEN 2 WHEN 'new' THEN 1 ELSE 0 END)::INT AS stage, strftime(min(acted_at), '%Y-%m-%d') AS since
 FROM user_state GROUP BY ALL""",
         "user_state",
     )
@@ -177,7 +177,7 @@ def state_inheritance(spark, sf_dir):
     """SNK-04, SNK-05: state of merged groups never steps back."""
     df = view(spark, sf_dir, "user_state").withColumn("survivor", F.col("id") % 97)
     out = timelines.inherited_state(df, "survivor")
-    stage = F.when(F.col("tracking") == "visit", 4).when(F.col("tracking") == "contacted", 3).when(F.col("tracking") == "rejected", 2).when(F.col("tracking") == "new", 1).otherwise(0)
+    stage = F.when(F.col("tracking") == "visited", 4).when(F.col("tracking") == "contacted", 3).when(F.col("tracking") == "rejected", 2).when(F.col("tracking") == "new", 1).otherwise(0)
     return out.select("survivor", "user_id", "viewed", "favorite", "archived", stage.alias("stage"), F.date_format("acted_at", "yyyy-MM-dd").alias("since"))
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from listloom.catalogue import query
 from listloom.functions.text import ACCENTED, PLAIN, all_terms, search_fold
 from listloom.operators import filters, lists
-from listloom.operators.affinity import BONUS, affinities
+from listloom.operators.affinity import BONUS, affinities, listing_features
 from listloom.sources.views import table, view, with_views
 
+#: Priority from which a listing is hot. Fixed value.
+HOT = 85
 CRITERIA = filters.Criteria(max_price=960.0, min_price=905.0, min_area=12.0, city="arles")
 FOLD = f"translate(lower({{}}), '{ACCENTED}', '{PLAIN}')"
 
@@ -206,11 +208,13 @@ def search_suggest(spark, sf_dir):
 
 AFFINITY = """
 WITH held AS (
-  SELECT id, unnest([concat('d:', coalesce(district, '?')), concat('a:', coalesce(agency, '?')), concat('r:', coalesce(CAST(rooms AS VARCHAR), '?'))]) AS feature
-  FROM listings
+  SELECT id, unnest(CASE WHEN len(f) = 0 THEN [NULL] ELSE f END) AS feature FROM (SELECT id, list_filter([
+    CASE WHEN property_type <> 'unknown' THEN 'type:' || property_type END, 'price:' || (floor(price / 100 + 0.5) * 100)::BIGINT,
+    'rooms:' || rooms, 'dpe:' || dpe], lambda x: x IS NOT NULL)
+    || list_transform(list_filter(string_split(features, ','), lambda x: x <> ''), lambda x: 'extra:' || x) AS f FROM listings)
 ), acted AS (
-  SELECT id, CASE WHEN favorite THEN 5 ELSE 0 END + CASE tracking WHEN 'visit' THEN 5 WHEN 'contacted' THEN 3 ELSE 0 END
-    + CASE WHEN viewed THEN 1 ELSE 0 END + CASE WHEN archived OR coalesce(tracking = 'rejected', false) THEN -2 ELSE 0 END AS weight
+  SELECT id, CASE WHEN archived OR coalesce(tracking IN ('rejected', 'ignored'), false) THEN -2 WHEN favorite THEN 5
+    WHEN tracking = 'toContact' THEN 2 WHEN tracking = 'contacted' THEN 3 WHEN tracking = 'visited' THEN 5 WHEN viewed THEN 1 ELSE 0 END AS weight
   FROM user_state WHERE user_id = 1
 ), weights AS (SELECT feature, sum(weight) AS weight FROM held JOIN acted USING (id) GROUP BY feature),
 raw AS (SELECT id, sum(greatest(0, coalesce(weight, 0))) AS raw FROM held LEFT JOIN weights USING (feature) GROUP BY id)
@@ -230,13 +234,8 @@ FROM s JOIN listings USING (id)""",
 def affinity_rank(spark, sf_dir):
     """AGG-21, SRT-03: learned affinity of one user, and the adjusted rank."""
     df = view(spark, sf_dir, "listings")
-    features = F.array(
-        F.concat(F.lit("d:"), F.coalesce("district", F.lit("?"))),
-        F.concat(F.lit("a:"), F.coalesce("agency", F.lit("?"))),
-        F.concat(F.lit("r:"), F.coalesce(F.col("rooms").cast("string"), F.lit("?"))),
-    )
     own = view(spark, sf_dir, "user_state").filter("user_id = 1")
-    found = affinities(df, own, features)
+    found = affinities(df, own, listing_features())
     return found.join(df.select("id", "price"), "id").select(
         "id", F.round("affinity", 6).alias("affinity"), F.round(F.col("price") / 10 + BONUS * F.col("affinity"), 6).alias("rank_value")
     )
@@ -244,14 +243,14 @@ def affinity_rank(spark, sf_dir):
 
 @query(
     with_views(
-        OVERLAY + "SELECT id, CASE WHEN priority >= 60 THEN 'hot' ELSE 'rest' END AS shelf FROM own WHERE lifecycle = 'active'",
+        OVERLAY + "SELECT id, CASE WHEN priority >= 85 THEN 'hot' ELSE 'rest' END AS shelf FROM own WHERE lifecycle = 'active'",
         "listings", "user_state", "user_score",
     )
 )
 def hot_and_rest(spark, sf_dir):
     """SRT-04, FLT-09: the split by priority; uncertain ads are hidden."""
     df = _overlay(spark, sf_dir).filter("lifecycle = 'active'")
-    return df.select("id", F.when(F.col("priority") >= 60, "hot").otherwise("rest").alias("shelf"))
+    return df.select("id", F.when(F.col("priority") >= HOT, "hot").otherwise("rest").alias("shelf"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from listloom.catalogue import query
 from listloom.functions import geo
-from listloom.operators import filters, scoring
+from listloom.operators import filters, scoring, stores
 from listloom.sources.views import table, view, with_views
 
 CRITERIA = filters.Criteria(max_price=950.0, min_price=902.0, min_area=15.0, city="arles", types=("small", "economy"), furnished=True)
@@ -72,9 +72,9 @@ def score_visit(spark, sf_dir):
 
 
 @query(with_views("""WITH s AS (SELECT *, CASE id % 40 WHEN 3 THEN 'Paiement par Western Union' WHEN 5 THEN 'acompte avant la visite' WHEN 7 THEN NULL ELSE 'joli' END AS text FROM occurrences),
-r AS (SELECT *, NOT coalesce(flat_share, false) AND property_type <> 'room' AS whole, CASE WHEN rooms <= 1 THEN 24.0 WHEN rooms <= 2 THEN 19.0 WHEN rooms <= 3 THEN 16.5 WHEN rooms IS NOT NULL THEN 15.0 END::DOUBLE AS ref FROM s)
+r AS (SELECT *, NOT coalesce(flat_share, false) AND property_type <> 'room' AS whole, CASE WHEN rooms IS NULL THEN 20.43 WHEN rooms <= 2 THEN 22.74 ELSE 19.73 END::DOUBLE AS ref FROM s)
 SELECT id, CAST(least(100, CASE WHEN whole AND price / area / ref < 0.4 THEN 40 WHEN whole AND price / area / ref < 0.6 THEN 20 ELSE 0 END
- + CASE WHEN whole AND area / rooms < 9 THEN 15 ELSE 0 END + 10 * (id % 3)
+ + CASE WHEN area / rooms < 9 THEN 15 ELSE 0 END + 10 * (id % 3)
  + CASE WHEN agency IS NULL AND phone IS NULL AND email IS NULL THEN 15 WHEN agency IS NULL OR coalesce(phone, email) IS NULL THEN 5 ELSE 0 END
  + CASE id % 40 WHEN 3 THEN 35 WHEN 5 THEN 30 ELSE 0 END) AS INT) AS value,
  round(((price IS NOT NULL)::INT + (area IS NOT NULL)::INT + (rooms IS NOT NULL)::INT + (text IS NOT NULL)::INT) / 4, 6)::DOUBLE AS confidence FROM r""", "occurrences"))
@@ -86,21 +86,67 @@ def score_risk(spark, sf_dir):
     return scored.select("id", "s.value", F.round("s.confidence", 6).alias("confidence"))
 
 
-USERS = "(SELECT 1 AS user_id, 950.0E0 AS max_price, 15.0E0 AS min_area UNION ALL SELECT 2, 930.0E0, 30.0E0 UNION ALL SELECT 3, 990.0E0, 5.0E0)"
+#: One user for each nation, with criteria of their own.
+USERS = """SELECT n_nationkey AS user_id, 905.0E0 + n_nationkey * 4 AS max_price, 890.0E0 + n_nationkey % 3 * 10 AS min_price,
+ 5.0E0 + n_nationkey % 6 * 5 AS min_area, CASE WHEN n_nationkey % 4 = 0 THEN 'evian' ELSE 'arles' END AS wanted, n_nationkey % 2 = 0 AS furnished_wanted,
+ CAST(20 + n_nationkey % 5 * 10 AS INT) AS longest FROM nation"""
+USER_MATCH = f"""
+WITH u AS ({USERS}), c AS (SELECT user_id, l.id, coalesce(contains(lower(city), wanted), true) AS city_ok,
+  price <= max_price AND price >= min_price AS price_ok, area >= min_area AS area_ok, property_type NOT IN ('parking', 'office') AS home,
+  CASE WHEN contains(lower(city), wanted) THEN 30 ELSE 0 END
+   + CASE WHEN price <= max_price AND price >= min_price THEN floor(30 + least(10.0, 33 * (max_price - price) / max_price) + 0.5) ELSE 0 END
+   + CASE WHEN area >= min_area THEN floor(20 + least(10.0, (area - min_area) / 2) + 0.5) ELSE 0 END
+   + CASE WHEN furnished = furnished_wanted THEN 10 ELSE 0 END AS total,
+  110 - 10 * ((price IS NULL)::INT + (area IS NULL)::INT + (city IS NULL)::INT + (furnished IS NULL)::INT) AS evaluated,
+  coalesce(commute > longest, false) AS far FROM listings l, u WHERE lifecycle <> 'inactive'),
+x AS (SELECT *, NOT city_ok OR NOT coalesce(price_ok, true) OR NOT coalesce(area_ok, true) OR NOT home AS excluded FROM c),
+m AS (SELECT user_id, id, CAST(floor(CASE WHEN excluded THEN least(total / evaluated * 100, 40.0) ELSE total / evaluated * 100 END + 0.5) AS INT) AS value,
+ NOT excluded AND NOT far AS matches FROM x)
+"""
+
+
+def _user_scores(spark, sf_dir):
+    """Every user's match with every living listing. The users' side is the nations: 25 rows, whatever the scale."""
+    users = spark.sql(USERS.replace("FROM nation", "FROM {nation}"), nation=table(spark, sf_dir, "nation"))
+    df = view(spark, sf_dir, "listings").filter("lifecycle <> 'inactive'").crossJoin(F.broadcast(users))
+    own = filters.Criteria(
+        max_price=F.col("max_price"), min_price=F.col("min_price"), min_area=F.col("min_area"), city=F.col("wanted"), furnished=F.col("furnished_wanted")
+    )
+    return df.select("user_id", "id", scoring.composed(own, F.col("commute"), F.col("longest")).alias("s"))
 
 
-@query(with_views(f"""SELECT user_id, id, CAST(greatest(0, least(100, floor(coalesce(
- CASE WHEN price > max_price OR area < min_area THEN 20.0 ELSE 60.0 + least(40.0, (max_price - price) / 3) END, 0) + 0.5))) AS INT) AS value
-FROM listings, {USERS} u WHERE lifecycle = 'active'""", "listings"))
+@query(with_views(USER_MATCH + "SELECT user_id, id, value, matches FROM m", "listings"))
 def per_user_scores(spark, sf_dir):
-    """SCO-07, SNK-14: every user's own criteria on living listings; the users' side is a fixed small table."""
-    users = spark.sql(f"SELECT * FROM {USERS} u")
-    df = view(spark, sf_dir, "listings").filter("lifecycle = 'active'").crossJoin(F.broadcast(users))
-    from listloom.functions.text import clamp_score
-
-    out = (F.col("price") > F.col("max_price")) | (F.col("area") < F.col("min_area"))
-    value = F.when(out, 20.0).otherwise(60.0 + F.least(F.lit(40.0), (F.col("max_price") - F.col("price")) / 3))
-    return df.select("user_id", "id", clamp_score(value).alias("value"))
+    """SCO-06, SCO-07: every user's own criteria and commute on living listings, by the match score."""
+    return _user_scores(spark, sf_dir).select("user_id", "id", "s.value", "s.matches")
+
+
+@query(with_views(USER_MATCH + """, old AS (SELECT user_id, id, CASE WHEN id % 5 = 0 THEN value + 1 ELSE value END AS value, matches FROM m WHERE (id + user_id) % 4 <> 0)
+SELECT user_id, id, m.value, m.matches, CASE WHEN old.value IS NULL THEN 'inserted' ELSE 'updated' END AS action
+FROM m LEFT JOIN old USING (user_id, id) WHERE old.value IS NULL OR old.value <> m.value OR old.matches <> m.matches""", "listings"))
+def user_score_upsert(spark, sf_dir):
+    """SNK-14: only scores whose hash has changed are written."""
+    new = _user_scores(spark, sf_dir).select("user_id", "id", "s.value", "s.matches")
+    old = new.filter("(id + user_id) % 4 <> 0").withColumn("value", F.expr("CASE WHEN id % 5 = 0 THEN value + 1 ELSE value END"))
+    return stores.changed_rows(old, new, ["user_id", "id"]).select("user_id", "id", "value", "matches", "action")
+
+
+@query(with_views("""WITH m AS (SELECT group_id, id, price, area, CAST(id % 3 AS INT) AS k, lower(address) AS a FROM occurrences)
+SELECT id, CAST((coalesce(abs(price * (1 + 0.1 * k) - price) / price > 0.15, false))::INT + (coalesce(abs(area * (1 + 0.08 * k) - area) / area > 0.1, false))::INT
+ + (k = 1 AND a IS NOT NULL)::INT AS INT) AS conflicts FROM m""", "occurrences"))
+def conflict_counts(spark, sf_dir):
+    """SCO-04: conflicting fields that add to the risk."""
+    df = view(spark, sf_dir, "occurrences").withColumn("k", F.expr("cast(id % 3 as int)"))
+
+    def field(value, other):
+        return F.struct(value.alias("value"), F.array(F.struct(other.alias("value"))).alias("conflicts"))
+
+    price, area, address = F.col("price"), F.col("area"), F.col("address")
+    elsewhere = F.when(F.col("k") == 1, F.concat(address, F.lit(" bis"))).otherwise(F.upper(address))
+    found = scoring.conflicts_of(
+        field(price, price * (1 + F.lit(0.1) * F.col("k"))), field(area, area * (1 + F.lit(0.08) * F.col("k"))), field(address, elsewhere)
+    )
+    return df.select("id", found.cast("int").alias("conflicts"))
 
 
 @query(with_views("""SELECT id, concat_ws(', ', CASE WHEN price > 950 THEN 'price +' || CAST(CAST(floor(price - 950.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS VARCHAR) END,

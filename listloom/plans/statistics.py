@@ -118,8 +118,8 @@ def worst_sources(spark, sf_dir):
 
 @query(
     with_views(
-        """SELECT user_id, round(count(*) FILTER (tracking IN ('visit', 'rejected')) / nullif(count(*) FILTER (tracking <> 'new'), 0), 6)::DOUBLE AS response_rate,
-round(count(*) FILTER (tracking = 'visit') / nullif(count(*) FILTER (tracking <> 'new'), 0), 6)::DOUBLE AS visit_rate FROM user_state GROUP BY user_id""",
+        """SELECT user_id, round(count(*) FILTER (tracking IN ('visited', 'rejected')) / nullif(count(*) FILTER (tracking <> 'new'), 0), 6)::DOUBLE AS response_rate,
+round(count(*) FILTER (tracking = 'visited') / nullif(count(*) FILTER (tracking <> 'new'), 0), 6)::DOUBLE AS visit_rate FROM user_state GROUP BY user_id""",
         "user_state",
     )
 )
@@ -129,7 +129,7 @@ def contact_rates(spark, sf_dir):
     tried = F.count_if(t != "new")
     rate = lambda ok: F.round(F.try_divide(F.count_if(ok), tried), 6)
     return view(spark, sf_dir, "user_state").groupBy("user_id").agg(
-        rate(t.isin("visit", "rejected")).alias("response_rate"), rate(t == "visit").alias("visit_rate")
+        rate(t.isin("visited", "rejected")).alias("response_rate"), rate(t == "visited").alias("visit_rate")
     )
 
 

@@ -12,34 +12,52 @@ from listloom.sources.views import table
 FOLD = f"trim(regexp_replace(translate(lower(x), '{text.ACCENTED}', '{text.PLAIN}'), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, {FOLD.replace('(x)', '(text)')} AS folded, replace({FOLD.replace('(x)', '(substr(text, 1, 40))')}, ' ', '-') AS slug, translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}') AS search FROM documents")
+@query(
+    f"SELECT doc_id, {FOLD.replace('(x)', '(text)')} AS folded, replace({FOLD.replace('(x)', '(text)')}, ' ', '-') AS slug, "
+    f"translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}') AS search FROM documents",
+    also="text_folds_whole",
+)
 def text_folds(spark, sf_dir):
     """SCA-05, SCA-06, SCA-09."""
-    df = table(spark, sf_dir, "documents")
+    df, whole = table(spark, sf_dir, "documents"), F.col("text")
     return df.select(
-        "doc_id", text.district_fold(F.col("text")).alias("folded"),
-        F.replace(text.district_fold(F.substring("text", 1, 40)), F.lit(" "), F.lit("-")).alias("slug"), text.search_fold(F.col("text")).alias("search"),
-    )
+        "doc_id", text.district_fold(whole).alias("folded"), F.replace(text.district_fold(whole), F.lit(" "), F.lit("-")).alias("slug"), text.search_fold(whole).alias("search")
+    )
 
 
-@query()
-def text_folds_whole(spark, sf_dir):
-    """SCA-09: the slug of the whole text."""
-    df = table(spark, sf_dir, "documents")
-    return df.select("doc_id", F.replace(text.district_fold(F.col("text")), F.lit(" "), F.lit("-")).alias("slug"))
+def _decoded() -> str:
+    """The fixed entities as nested replacements, in the order of the decoder."""
+    out = "text"
+    for code in (33, 39, 45, 124):
+        out = f"replace({out}, '&#{code};', chr({code}))"
+    for name, value in text.ENTITIES.items():
+        out = f"replace({out}, '{name}', chr({ord(value)}))"
+    return out
 
 
-@query("SELECT doc_id, trim(regexp_replace(translate(text, chr(160) || chr(8239) || chr(8201) || chr(9) || chr(10) || chr(13), '      '), ' +', ' ', 'g')) AS cleaned FROM documents WHERE NOT contains(text, '&')")
+@query(
+    f"SELECT doc_id, trim(regexp_replace(translate({_decoded()}, chr(160) || chr(8239) || chr(8201) || chr(9) || chr(10) || chr(13), '      '), ' +', ' ', 'g')) AS cleaned FROM documents",
+    also="clean_texts_whole",
+)
 def clean_texts(spark, sf_dir):
-    """SCA-01, SCA-02: on texts without entities SQL can follow."""
-    df = table(spark, sf_dir, "documents").filter("not contains(text, '&')")
-    return df.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    """SCA-01, SCA-02: entities decoded, blanks made plain."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query()
-def clean_texts_whole(spark, sf_dir):
-    """SCA-01, SCA-02: all texts, entities decoded; tested against brute force."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+ENCODED = [*text.ENTITIES, "&#33;", "&#39;", "&#45;", "&#124;"]
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey, [{', '.join(repr(e) for e in ENCODED)}] AS e FROM orders),
+x AS (SELECT o_orderkey, 'a ' || e[1 + o_orderkey % {len(ENCODED)}] || e[1 + o_orderkey * 7 % {len(ENCODED)}] || 'b  c' AS text FROM t)
+SELECT o_orderkey, trim(regexp_replace(translate({_decoded()}, chr(160) || chr(8239) || chr(8201) || chr(9) || chr(10) || chr(13), '      '), ' +', ' ', 'g')) AS cleaned FROM x"""
+)
+def decoded_entities(spark, sf_dir):
+    """SCA-01: every entity of the fixed subset, two at a time."""
+    listed = F.array(*[F.lit(e) for e in ENCODED])
+    pick = lambda k: F.element_at(listed, (1 + F.col("o_orderkey") * k % len(ENCODED)).cast("int"))
+    said = F.concat(F.lit("a "), pick(1), pick(7), F.lit("b  c"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.clean_text(said).alias("cleaned"))
 
 
 @query(

@@ -20,7 +20,29 @@ SELECT o_orderkey AS id,
        CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_custkey % 5 = 0 THEN 'arles' WHEN o_custkey % 5 = 1 THEN 'brest'
             WHEN o_custkey % 5 = 2 THEN 'calais' WHEN o_custkey % 5 = 3 THEN 'dijon' ELSE 'evian' END AS city,
        CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE concat('0', CAST(6000 + o_custkey % 10 AS VARCHAR(9))) END AS postal_code,
-       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('q', CAST(o_custkey % 12 AS VARCHAR(9))) END AS district,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('Quart', CAST(o_custkey % 12 AS VARCHAR(9))) END AS district,
+       CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE concat(
+         CASE WHEN o_orderkey % 4 = 3 THEN 'Studio ' ELSE 'Appartement ' END,
+         CASE o_custkey % 4 WHEN 0 THEN 'lumineux calme ' WHEN 1 THEN 'avec balcon ' WHEN 2 THEN 'refait neuf ' ELSE 'face gare ' END,
+         CASE WHEN o_custkey % 6 = 0 THEN 'centre' ELSE concat('quart', CAST(o_custkey % 12 AS VARCHAR(9))) END) END AS title,
+       CASE WHEN o_orderkey % 21 = 0 THEN NULL ELSE concat(
+         CASE o_custkey % 5 WHEN 0 THEN 'Spacieux traversant, dernier etage. ' WHEN 1 THEN 'Cuisine equipee, double vitrage, cave. '
+           WHEN 2 THEN 'Parquet ancien, moulures. ' WHEN 3 THEN 'Jardin, terrasse, garage. ' ELSE 'Meuble, internet. ' END,
+         CASE o_orderkey % 3 WHEN 0 THEN 'Revenus de 1800 euros, garant.' WHEN 1 THEN 'Ideal couple.' ELSE 'Libre de suite.' END) END AS description,
+       CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE 20.0E0 + o_custkey % 9 * 5 END AS charges,
+       CASE WHEN o_orderkey % 5 = 2 THEN NULL WHEN o_orderkey % 7 = 1 THEN 'R1'
+            ELSE concat('REF-', CAST(o_custkey * 13 % 900 AS VARCHAR(9))) END AS reference,
+       CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat(CAST(1 + o_custkey % 30 AS VARCHAR(9)), CASE WHEN o_orderkey % 2 = 0 THEN ' Rue Haute' ELSE ', rue haute' END) END AS address,
+       CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE 43.0E0 + o_custkey % 11 * 0.0006E0 + o_orderkey % 2 * 0.0005E0 END AS latitude,
+       CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE 5.0E0 + o_custkey % 3 * 0.0004E0 END AS longitude,
+       CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 8 = 2 THEN concat('https://img.test/', CAST(o_custkey * 7 % 800 AS VARCHAR(9)), '.jpg')
+            ELSE concat('https://img.test/', CAST(o_custkey * 7 % 800 AS VARCHAR(9)), '.jpg?w=', CAST(o_orderkey % 5 AS VARCHAR(9)), ',http://cdn.test/b/',
+              CAST(o_custkey % 300 AS VARCHAR(9))) END AS images,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE chr(CAST(65 + o_custkey % 7 AS INT)) END AS dpe,
+       CASE WHEN o_orderkey % 10 < 6 THEN NULL ELSE CAST(1 + o_custkey % 5 AS INT) END AS max_occupants,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'balcon,cave' WHEN o_orderkey % 3 = 0 THEN 'ascenseur' ELSE '' END AS features,
+       CASE WHEN o_orderkey % 9 = 2 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) - (o_custkey % 3) * INTERVAL '1' DAY END AS published_at,
+       CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + (o_custkey % 30) * INTERVAL '1' DAY END AS available_at,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS furnished,
        CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 9 = 0 END AS flat_share,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('+33', CAST(600000000 + o_custkey * 37 % 900 AS VARCHAR(12))) END AS phone,
@@ -54,6 +76,8 @@ SELECT p_partkey AS id,
        CASE WHEN p_partkey % 8 = 0 THEN 'unknown' WHEN p_partkey % 3 = 0 THEN 'private' ELSE 'agency' END AS landlord,
        CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE CAST(5 + p_partkey * 7 % 60 AS INT) END AS commute,
        CASE WHEN p_partkey % 10 = 2 THEN NULL ELSE CAST(1 + p_partkey % 5 AS INT) END AS max_occupants,
+       CASE WHEN p_partkey % 6 = 2 THEN NULL ELSE chr(CAST(65 + p_partkey % 7 AS INT)) END AS dpe,
+       CASE WHEN p_partkey % 4 = 0 THEN 'balcony,lift' WHEN p_partkey % 4 = 1 THEN 'cellar' ELSE '' END AS features,
        CASE WHEN p_partkey % 5 = 4 THEN 'inactive' WHEN p_partkey % 5 = 3 THEN 'possiblyInactive' ELSE 'active' END AS lifecycle,
        CASE WHEN p_partkey % 9 = 5 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' + (p_partkey % 90) * INTERVAL '1' DAY END AS available_at,
        TIMESTAMP '2024-01-01 00:00:00' + (p_partkey * 37 % 2000) * INTERVAL '1' HOUR AS first_seen,
@@ -66,7 +90,7 @@ USER_STATE = """
 SELECT id, user_id, viewed, favorite, archived, tracking, acted_at FROM (
   SELECT o_orderkey % 2000 AS id, o_custkey % 50 AS user_id, o_orderkey % 2 = 0 AS viewed, o_orderkey % 7 = 0 AS favorite,
          o_orderkey % 11 = 0 AS archived,
-         CASE WHEN o_orderkey % 10 < 4 THEN 'new' WHEN o_orderkey % 10 < 6 THEN 'contacted' WHEN o_orderkey % 10 < 7 THEN 'visit'
+         CASE WHEN o_orderkey % 10 < 3 THEN 'new' WHEN o_orderkey % 10 < 4 THEN 'toContact' WHEN o_orderkey % 10 < 6 THEN 'contacted' WHEN o_orderkey % 10 < 7 THEN 'visited'
               WHEN o_orderkey % 10 < 8 THEN 'rejected' ELSE NULL END AS tracking,
          CAST(o_orderdate AS TIMESTAMP) AS acted_at,
          row_number() OVER (PARTITION BY o_orderkey % 2000, o_custkey % 50 ORDER BY o_orderdate DESC, o_orderkey) AS rn
@@ -74,13 +98,12 @@ SELECT id, user_id, viewed, favorite, archived, tracking, acted_at FROM (
 WHERE rn = 1
 """
 
-#: Scores that belong to one user.
+#: Scores that belong to one user: a row for each listing that the user has met.
 USER_SCORE = """
-SELECT p_partkey AS id, c_custkey AS user_id, CAST((p_partkey * 13 + c_custkey * 7) % 101 AS INT) AS match,
-       CAST((p_partkey * 5 + c_custkey) % 101 AS INT) AS opportunity, CAST((p_partkey * 3 + c_custkey * 11) % 101 AS INT) AS visit,
-       CAST((p_partkey + c_custkey * 17) % 101 AS INT) AS risk, (p_partkey + c_custkey) % 3 <> 0 AS matches
-FROM part, (SELECT c_custkey FROM customer WHERE c_custkey < 3) c
-WHERE (p_partkey + c_custkey) % 10 <> 0
+SELECT id, user_id, CAST((id * 13 + user_id * 7) % 101 AS INT) AS match,
+       CAST((id * 5 + user_id) % 101 AS INT) AS opportunity, CAST((id * 3 + user_id * 11) % 101 AS INT) AS visit,
+       CAST((id + user_id * 17) % 101 AS INT) AS risk, (id + user_id) % 3 <> 0 AS matches
+FROM (SELECT DISTINCT o_orderkey % 2000 AS id, o_custkey % 50 AS user_id FROM orders) p
 """
 
 VIEWS = {"occurrences": OCCURRENCES, "listings": LISTINGS, "user_state": USER_STATE, "user_score": USER_SCORE}
@@ -89,7 +112,7 @@ VIEWS = {"occurrences": OCCURRENCES, "listings": LISTINGS, "user_state": USER_ST
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; the base tables are bound inside the statement, no temporary view is left behind."""
     tables = {
-        "occurrences": ["orders"], "listings": ["part"], "user_state": ["orders"], "user_score": ["part", "customer"],
+        "occurrences": ["orders"], "listings": ["part"], "user_state": ["orders"], "user_score": ["orders"],
     }[name]
     sql = VIEWS[name]
     for t in tables:

@@ -38,7 +38,7 @@ CASES = [
     (parse.is_student_only, [("Résidence étudiante", True), ("famille", False)]),
     (parse.is_short_student_lease, [("bail étudiant 9 mois", True), ("9 mois", False)]),
     (parse.parse_dpe, [(" d ", "D"), ("DPE : C", "C"), ("classe énergie classe B", "B"), ("dpe vierge", None)]),
-    (parse.parse_max_occupants, [("maximum 3 personnes", 3), ("pour 2 locataires", 2), ("x", None)]),
+    (parse.parse_max_occupants, [("maximum 3 personnes", 3), ("2/3 personnes", 3), ("4 couchages", 4), ("pour 2 locataires", None), ("4 locataires au total", 4), ("idéal 3 colocataires", 3), ("21 personnes", None), ("x", None)]),
     (parse.parse_postal_code, [("à 06000 ici", "06000"), ("123456", None)]),
     (parse.parse_phone, [("tél 06.12.34.56.78", "+33612345678"), ("+33 6 12 34 56 78", "+33612345678"), ("12", None)]),
     (parse.parse_email, [("A@Ex.Org", "a@ex.org"), ("x", None)]),
@@ -92,7 +92,7 @@ def test_geography_and_lookups(spark):
         parse.same_street(F.lit("12 rue des Lilas"), F.lit("Rue des lilas")).alias("same"),
         parse.best_address(F.lit("centre"), F.lit("3 rue Haute")).alias("best"), parse.is_sale(F.lit("https://x/vente/1"), F.lit("")).alias("sale"),
     ).first()
-    assert abs(row["km"] - 391.5) < 1 and row["walk"] == 52 and row["bike"] == 39 and row["rent"] == 15.0
+    assert abs(row["km"] - 391.5) < 1 and row["walk"] == 52 and row["bike"] == 39 and row["rent"] == 19.73
     assert (row["j"], row["channel"], row["d"], row["same"], row["best"], row["sale"]) == (10, "form", dt.date(2024, 1, 2), True, "3 rue Haute", True)
     points = F.array(F.struct(F.lit("work").alias("label"), F.lit("transit").alias("mode"), F.lit(48.86).alias("lat"), F.lit(2.36).alias("lon")))
     known = F.create_map(F.lit("work"), F.lit(44))
