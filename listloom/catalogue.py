@@ -27,7 +27,7 @@ def query(oracle: str | None = None, also: str | None = None) -> Callable[[Query
 
 
 def _load() -> None:
-    from listloom.plans import entities, extensions, fields, incremental, lists, scores, statistics, texts  # noqa: F401
+    from listloom.plans import entities, extensions, extracts, fields, incremental, lists, scores, statistics, stores, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -144,3 +144,37 @@ def due(frequency: Column, last: Column, now: Column) -> Column:
     return last.isNull() | (F.unix_timestamp(now) - F.unix_timestamp(last) >= seconds)
 
 
+
+
+@dataclass(frozen=True)
+class ContactLimits:
+    """Least scores, the greatest risk, and quotas of automatic contact."""
+
+    match: int
+    opportunity: int
+    visit: int
+    risk: int
+    per_hour: int
+    per_day: int
+    per_source: int
+
+
+def contact_refusal(limits: ContactLimits) -> Column:
+    """Why no message may be sent, else null: plan, switch, sources that want a person, listings already written to,
+    scores, quotas, pause, channel. Reads paid, enabled, manual, before, the four scores, the counts hour, day, own (of
+    the source) and lately, and channel."""
+    return first_failure(
+        (F.col("paid"), "plan"),
+        (F.col("enabled"), "switch"),
+        (~F.col("manual"), "manual"),
+        (F.col("before") == 0, "contacted"),
+        (F.col("match") >= limits.match, "match"),
+        (F.col("opportunity") >= limits.opportunity, "opportunity"),
+        (F.col("visit") >= limits.visit, "visit"),
+        (F.col("risk") <= limits.risk, "risk"),
+        (F.col("hour") < limits.per_hour, "hour"),
+        (F.col("day") < limits.per_day, "day"),
+        (F.col("own") < limits.per_source, "source"),
+        (F.col("lately") == 0, "cooldown"),
+        (F.col("channel"), "channel"),
+    )

@@ -77,7 +77,7 @@ def upsert_state(old: DataFrame, changes: DataFrame) -> DataFrame:
 def realigned(rows: DataFrame) -> DataFrame:
     """``rows(id, source_id, source_ref, ...)`` with ids made of source and reference, unless that id is taken."""
     natural = F.concat_ws(":", "source_id", "source_ref")
-    taken = rows.select(F.col("id").alias("_natural")).withColumn("_taken", F.lit(True))
+    taken = rows.select(F.col("id").alias("_natural")).distinct().withColumn("_taken", F.lit(True))
     one = Window.partitionBy("_natural").orderBy("id")
     wanted = rows.withColumn("_natural", natural).withColumn("_place", F.row_number().over(one))
     marked = wanted.join(taken, "_natural", "left")
@@ -93,14 +93,14 @@ def refilled(stored: DataFrame, derived: DataFrame, key: str, names: list[str])
 
 
 def source_states(old: DataFrame, runs: DataFrame) -> DataFrame:
-    """Source states after ``runs(source_id, at, ok, found)``: the last run and success, failures in a row at the end,
+    """Source states after ``runs(source_id, ran_at, ok, found)``: the last run and success, failures in a row at the end,
     and what the last success found."""
     new = runs.groupBy("source_id").agg(
-        F.max("at").alias("run_at"),
-        F.max(F.when(F.col("ok"), F.col("at"))).alias("ok_at"),
-        F.max_by(F.when(F.col("ok"), F.col("found")), F.when(F.col("ok"), F.col("at"))).alias("found_now"),
+        F.max("ran_at").alias("run_at"),
+        F.max(F.when(F.col("ok"), F.col("ran_at"))).alias("ok_at"),
+        F.max_by(F.when(F.col("ok"), F.col("found")), F.when(F.col("ok"), F.col("ran_at"))).alias("found_now"),
     )
-    late = runs.join(new.select("source_id", "ok_at"), "source_id").filter("ok_at is null or at > ok_at")
+    late = runs.join(new.select("source_id", "ok_at"), "source_id").filter("ok_at is null or ran_at > ok_at")
     failed = late.groupBy("source_id").agg(F.count(F.lit(1)).alias("failed"))
     both = old.join(new.join(failed, "source_id", "left"), "source_id", "full")
     before = F.when(F.col("ok_at").isNull(), F.coalesce("errors", F.lit(0))).otherwise(F.lit(0))

@@ -63,13 +63,18 @@ def sitemap_index(xml: DataFrame, column: str = "xml") -> DataFrame:
     return xml.select(F.explode(F.regexp_extract_all(column, F.lit("(?s)<sitemap>.*?<loc>([^<]*)</loc>.*?</sitemap>"), F.lit(1))).alias("loc"))
 
 
-def crawl_candidates(entries: DataFrame, known: DataFrame, newest: str, top: int, places: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(confirmed, to visit): entries of the places younger than ``newest``; known ones are confirmed, of the others the
-    ``top`` latest are visited."""
+def wanted_entries(entries: DataFrame, newest: str, places: list[str]) -> DataFrame:
+    """Entries whose address names one of the places, of ``newest`` or later."""
     wanted = F.lit(False)
     for p in places:
         wanted = wanted | F.contains(comparable(F.col("loc")), F.lit(p))
-    fresh = entries.filter(wanted & (F.col("lastmod") >= newest))
+    return entries.filter(wanted & (F.col("lastmod") >= newest))
+
+
+def crawl_candidates(entries: DataFrame, known: DataFrame, newest: str, top: int, places: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(confirmed, to visit): entries of the places younger than ``newest``; known ones are confirmed, of the others the
+    ``top`` latest are visited."""
+    fresh = wanted_entries(entries, newest, places)
     confirmed = fresh.join(known, "loc", "left_semi")
     return confirmed, fresh.join(known, "loc", "left_anti").orderBy(F.col("lastmod").desc(), "loc").limit(top)
 

@@ -83,7 +83,7 @@ def test_merge_keeps_provenance(spark):
     ]
     schema = "group_id string, id long, source_id string, price double, area double, rooms int, city string, postal_code string, district string, furnished boolean, agency string, phone string, email string, lifecycle string, first_seen timestamp, last_seen timestamp"
     m = entities.merge_groups(spark.createDataFrame(rows, schema)).first()
-    assert m["price"]["value"] == 705.0 and m["price"]["source_id"] == "b" and [c["value"] for c in m["price"]["conflicts"]] == [700.0] and m["area"]["conflicts"] == []
+    assert m["price"]["value"] == 705.0 and m["price"]["source_id"] == "b" and [c["value"] for c in m["price"]["conflicts"]] == [700.0] and [c["value"] for c in m["area"]["conflicts"]] == [30.0]
     assert m["rooms"]["value"] == 2 and [c["value"] for c in m["rooms"]["conflicts"]] == [3]
     assert (m["id"], m["lifecycle"], m["phone"], m["email"], m["provided_by"]) == (3, "active", "+331", "m@x", ["a", "b"])
     assert m["city"]["value"] == "arles" and m["district"]["value"] is None
