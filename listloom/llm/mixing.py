@@ -49,7 +49,7 @@ LEVELS = 1000
 ITERATIONS = 200
 TOLERANCE = 1e-4
 SALT = 17
-SLICE_BYTES, SLICE_ROWS = 8 << 20, 1000
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 400
 
 
 @dataclass

@@ -35,7 +35,7 @@ PIECES_PER_PARTITION = 60_000
 RELEASED_PER_PARTITION = 512
 ROUNDS = 6
 #: Text that one call of the tokenizer takes: more finds more words twice, less needs less memory.
-SLICE_BYTES = 20 << 20
+SLICE_BYTES = 8 << 20
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write a byte as the letter itself where it is printable in Latin-1, else as U+0100 on."""

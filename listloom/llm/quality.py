@@ -42,7 +42,7 @@ KEEP_GOOD = 0.995
 #: Words and word starts that the content view may use for a class.
 WORDS = 200
 SOURCES, LANGS = 64, 16
-SLICE_BYTES, SLICE_ROWS = 8 << 20, 1000
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 400
 
 
 def page_view(source: list, lang: list, chars: np.ndarray, form: np.ndarray) -> np.ndarray:
