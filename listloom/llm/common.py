@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,13 +54,10 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _drop_path(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended; its folder goes with it
-        return
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system; one that is not there is no error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -73,21 +69,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Staged tables that an iteration replaces: ``keep(df)`` stages, ``drop_before(n)`` removes older ones."""
+    """Staged tables that an iteration replaces: ``keep`` stages one, ``drop`` deletes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, []
-        weakref.finalize(self, lambda: None)
+        self.spark, self.name, self.paths = spark, name, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = stage_path(self.spark, self.name)
         df.write.parquet(path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (path, table)
+        return table
 
-    def drop_before(self, n: int) -> None:
-        while len(self.paths) > n:
-            _drop_path(self.spark, self.paths.pop(0))
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path, _ = self.paths.pop(id(t))
+            drop_path(self.spark, path)
 
 
 def broadcast_if_small(staged: DataFrame, most_rows: int = 500_000) -> DataFrame:
@@ -156,6 +153,11 @@ def give_back() -> None:
 # exact weighted cut points
 
 
+#: Sums that the driver takes a round, and cut points that one call may look for.
+SUMS = 1 << 18
+MOST_CUTS = 1024
+
+
 def weighted_cuts(
     df: DataFrame,
     node: str,
@@ -169,25 +171,28 @@ def weighted_cuts(
 
     Radix descent: every round sums the weights per node and next digit of the non-negative ``bits``-wide integer
     ``key`` (one partially aggregated job over all nodes), and the driver picks the digit in which each target falls.
-    The driver sees at most targets * 2^digit sums a round, however large the table.
+    There are at most ``MOST_CUTS`` targets, and digits are the shorter the more there are, so the driver never sees more
+    than ``SUMS`` sums a round, however large the table.
     """
     state = {(n, i): (0, 0.0) for n, ts in targets.items() for i in range(len(ts))}  # prefix, weight before it
+    if len(state) > MOST_CUTS:
+        raise ValueError(f"{len(state)} cut points at once; split them over nodes that are worked on apart")
+    digit = max(1, min(digit, (SUMS // max(1, len(state))).bit_length() - 1))
     left = bits
-    while left > 0:
+    while left > 0 and state:
         step = min(digit, left)
         left -= step
         prefixes = sorted({(n, p) for (n, _), (p, _) in state.items()})
-        wanted = F.create_map(*[x for n in {n for n, _ in prefixes} for x in (
-            F.lit(n), F.array(*[F.lit(p).cast("long") for m, p in prefixes if m == n]))])
+        wanted = df.sparkSession.sql(
+            "SELECT cast(n AS bigint) AS _n, cast(p AS bigint) AS _p FROM VALUES "
+            + ", ".join(f"({n}, {p})" for n, p in prefixes) + " AS v(n, p)"
+        )
         upper = F.shiftright(F.col(key), left + step)
         rows = (
-            df.filter(F.array_contains(wanted[F.col(node)], upper))
-            .groupBy(
-                F.col(node).alias("n"),
-                upper.alias("p"),
-                F.shiftright(F.col(key), left).bitwiseAND(F.lit((1 << step) - 1).cast("long")).alias("d"),
-            )
-            .agg(F.sum(F.col(weight).cast("double")).alias("w"))
+            df.select(F.col(node).cast("long").alias("n"), upper.alias("p"), F.col(key).alias("k"), F.col(weight).alias("w"))
+            .join(F.broadcast(wanted), (F.col("n") == F.col("_n")) & (F.col("p") == F.col("_p")))
+            .groupBy("n", "p", F.shiftright("k", left).bitwiseAND(F.lit((1 << step) - 1).cast("long")).alias("d"))
+            .agg(F.sum(F.col("w").cast("double")).alias("w"))
             .collect()
         )
         sums: dict[tuple[int, int], list[tuple[int, float]]] = {}
@@ -228,7 +233,7 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = kept.keep(
             both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-            .select("node", F.least("node", "m").alias("root"))
+            .select("node", F.least("node", "m").alias("root"), F.lit(True).alias("moved"))
         )
         while True:  # each step doubles how far the pointers reach
             onward = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
@@ -237,22 +242,25 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
                     "node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")
                 )
             )
-            if further.filter("moved").isEmpty():
+            kept.drop(up)
+            up = further
+            if up.filter("moved").isEmpty():
                 break
-            up = further.select("node", "root")
         levels.append(up)
-        now = kept.keep(
+        smaller = kept.keep(
             now.join(up.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
             .join(up.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
             .filter("ra <> rb")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct()
         )
+        kept.drop(now)
+        now = smaller
         if now.isEmpty():
             break
     else:
         raise RuntimeError("components did not contract")
-    result = levels[-1]
+    result = levels[-1].select("node", "root")
     for up in reversed(levels[:-1]):
         result = kept.keep(
             up.join(result.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(

@@ -3,8 +3,9 @@
 Documents with equal text form a group and stay together; a group too heavy for that is cut into even parts by a hash of
 its rows. The tree splits groups at the exact weighted median of the metadata dimension that is widest in the node
 (length, source and language of the group, spread over their whole range), level by level, until leaves reach the target
-number of bytes or shards. All nodes of a level are split by the same distributed jobs; the driver sees only extents and
-histograms of fixed size. Slots number a shard's rows without gaps by two levels of counting, so no task holds a shard.
+number of bytes or shards. All nodes of a level are split by the same distributed jobs. While there are at most
+``TOP_NODES`` nodes, the driver sees their extents and histograms of fixed size; below that, each node holds a small part of
+the rows and is split by prefix sums of its own, without the driver. Shards are at most ``MOST_SHARDS``. Slots number a shard's rows without gaps by two levels of counting, so no task holds a shard.
 
 Defined cases: null text has no bytes (size 1) and groups with empty text; null metadata sorts first; rows that repeat
 are rows of their own; an empty table gives an empty result; other columns are left alone.
@@ -23,6 +24,9 @@ SHARDS = 8
 #: A group over this part of a shard's bytes is cut.
 WHOLE_PART = 1 / 64
 DIMENSIONS = ("d_length", "d_source", "d_lang")
+#: Nodes of a level that the driver splits, and shards in all.
+TOP_NODES = 256
+MOST_SHARDS = 1 << 20
 #: Rows that one task numbers.
 ROWS_PER_BUCKET = 100_000
 
@@ -66,17 +70,17 @@ def _place(dimension: str) -> Column:
     return value * F.lit(1 << 31) + tie
 
 
-def grow_tree(parts: DataFrame, shards: int) -> list[dict]:
+def grow_tree(parts: DataFrame, shards: int, most: int = TOP_NODES) -> list[dict]:
     """Splits as dicts: node, low and high child, dimension, cut (a row goes high when its key is over it), leaves.
 
     ``parts`` is staged: group, part, weight and the dimensions. Nodes are numbered as in a heap; a node that is to have
-    one shard is a leaf.
+    one shard is a leaf. Nodes beyond ``most`` a level are left to ``finish_tree``.
     """
     splits: list[dict] = []
     level = {1: shards}
     extent = parts.agg(*[F.max(d).alias(f"max_{d}") for d in DIMENSIONS], *[F.min(d).alias(f"min_{d}") for d in DIMENSIONS])
     whole = extent.first()
-    while any(n > 1 for n in level.values()):
+    while any(n > 1 for n in level.values()) and len(level) <= most:
         node = node_column(splits)
         rows = parts.withColumn("node", node)
         totals = rows.groupBy("node").agg(
@@ -139,13 +143,56 @@ def node_column(splits: list[dict]) -> Column:
     return walk(1)
 
 
-def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None) -> DataFrame:
+def leaves_column(shards: int, depth: int) -> Column:
+    """Shards of the node that a row is in, from the path that the node's number spells."""
+    out = F.lit(shards).cast("long")
+    own = F.bin(F.col("node"))
+    for k in range(2, depth + 2):
+        step = F.substring(own, k, 1)
+        low = F.floor(out / 2).cast("long")
+        out = F.when(step == "0", low).when(step == "1", out - low).otherwise(out)
+    return out
+
+
+def finish_tree(rows: DataFrame, shards: int, splits: list[dict]) -> DataFrame:
+    """``rows`` of parts with their leaf as ``node``: levels below those of ``splits``, each one sort by node and key."""
+    whole = rows.agg(*[(F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS]).first()
+    depth = max((s["node"].bit_length() for s in splits), default=0)
+    now = stage(rows.withColumn("node", node_column(splits).cast("long")).withColumn("leaves", leaves_column(shards, depth)), "tree")
+    while not now.filter("leaves > 1").isEmpty():
+        node = Window.partitionBy("node")
+        spread = [((F.max(d).over(node) - F.min(d).over(node)) / F.lit(max(1, whole[d] or 0))) for d in DIMENSIONS]
+        widest = F.greatest(*spread)
+        key = F.lit(None).cast("long")
+        for d, x in reversed(list(zip(DIMENSIONS, spread))):
+            key = F.when(x == widest, _place(d)).otherwise(key)
+        keyed = now.withColumn("key", key)
+        upto = F.sum("weight").over(node.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        low_leaves = F.floor(F.col("leaves") / 2).cast("long")
+        half = F.sum("weight").over(node) * low_leaves / F.col("leaves")
+        # The row on the median goes to the side that it leaves more even.
+        low = upto - F.col("weight") / 2 <= half
+        split = F.col("leaves") > 1
+        now = stage(
+            keyed.withColumn("low", low).select(
+                *[c for c in rows.columns],
+                F.when(~split, F.col("node")).when(F.col("low"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1).alias("node"),
+                F.when(~split, F.col("leaves")).when(F.col("low"), low_leaves).otherwise(F.col("leaves") - low_leaves).alias("leaves"),
+            ),
+            "tree",
+        )
+    return now.drop("leaves")
+
+
+def kd_shards(
+    docs: DataFrame, shards: int = SHARDS, target_bytes: int | None = None, top_nodes: int = TOP_NODES
+) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, shard, slot. With ``target_bytes`` the number of shards follows
     from the bytes of all documents."""
     rows = stage(sized_rows(docs), "sized")
     total = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
     if target_bytes is not None:
-        shards = max(1, math.ceil((total["bytes"] or 0) / target_bytes))
+        shards = max(1, min(MOST_SHARDS, math.ceil((total["bytes"] or 0) / target_bytes)))
     most = max(1.0, (total["bytes"] or 0) / shards * WHOLE_PART)
     groups = stage(
         rows.groupBy("group").agg(
@@ -166,14 +213,21 @@ def kd_shards(docs: DataFrame, shards: int = SHARDS, target_bytes: int | None =
         ),
         "parts",
     )
-    splits = grow_tree(parts, shards)
-    leaves = sorted(_leaves(splits), key=_path)
-    number = F.create_map(*[F.lit(x) for k, n in enumerate(leaves) for x in (n, k)])
-    buckets = max(1, -(-total["rows"] // ROWS_PER_BUCKET)) * 4
-    sharded = placed.select(
-        "uid", "doc_id", "size", "text_crc32", number[node_column(splits)].alias("shard"),
-        F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(buckets)).alias("bucket"),
-    )
+    splits = grow_tree(parts, shards, top_nodes)
+    if shards <= top_nodes:
+        leaves = sorted(_leaves(splits), key=_path)
+        number = F.create_map(*[F.lit(x) for k, n in enumerate(leaves) for x in (n, k)])
+        numbered = placed.withColumn("shard", number[node_column(splits)])
+    else:
+        tree = finish_tree(parts, shards, splits)
+        # At most MOST_SHARDS leaves, in the order of their paths.
+        path = Window.orderBy(F.substring(F.bin("node"), 2, 64))
+        ids = tree.select("node").distinct().select("node", (F.row_number().over(path) - 1).alias("shard"))
+        numbered = placed.join(tree.select("group", "part", "node"), ["group", "part"]).join(ids, "node")
+    buckets = max(1, -(-total["rows"] // (shards * ROWS_PER_BUCKET))) * 4
+    sharded = numbered.select(
+        "uid", "doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(buckets)).alias("bucket")
+    )
     return with_slots(sharded)
 
 

@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from listloom.llm import kd_sharding as kd
 from listloom.llm.common import weighted_cuts
 
@@ -63,6 +65,56 @@ def test_tree_splits_the_widest_dimension(spark):
     assert 0 in low and sum(s == 0 for s in got.values()) in range(190, 215)
 
 
+def test_levels_below_the_driver_split_alike(spark):
+    """Prefix sums inside nodes find the same tree as the driver's histograms."""
+    rows = sample(500, 40)
+    whole = {r["doc_id"]: r["shard"] for r in shards(spark, rows, shards=13)}
+    assert len(set(whole.values())) == 13
+    for top in (1, 4):
+        deep = shards(spark, rows, shards=13, top_nodes=top)
+        assert {r["doc_id"]: r["shard"] for r in deep} == whole
+        slots = {}
+        for r in deep:
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def tree_by_hand(rows, shards):
+    """(group, part) to leaf by the rule, in plain code; rows: (key, weight, dimensions, order within equal values)."""
+    span = [max(1, max(r[2][d] for r in rows) - min(r[2][d] for r in rows)) for d in range(3)]
+
+    def split(own, leaves, path):
+        if leaves == 1 or not own:
+            return {r[0]: path for r in own}
+        wide = [(max(r[2][d] for r in own) - min(r[2][d] for r in own)) / span[d] for d in range(3)]
+        d = wide.index(max(wide))
+        own = sorted(own, key=lambda r: (r[2][d], r[3]))
+        half = sum(r[1] for r in own) * (leaves // 2) / leaves
+        upto, cut = 0, 0
+        for r in own:
+            upto += r[1]
+            cut += upto - r[1] / 2 <= half
+        return split(own[:cut], leaves // 2, path + "0") | split(own[cut:], leaves - leaves // 2, path + "1")
+
+    return split(rows, shards, "")
+
+
+def test_tree_against_brute_force(spark):
+    # No document is so heavy that its group would be cut.
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.randint(0, 200) + str(i), rng.choice("abc"), f"s{rng.randint(0, 9)}", 0) for i in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    tie = F.pmod(F.xxhash64("group", F.lit(0).cast("long")), F.lit(1 << 31))
+    known = [
+        (r["doc_id"], r["size"], (r["d_length"], r["d_source"], r["d_lang"]), r["tie"])
+        for r in kd.sized_rows(df).withColumn("tie", tie).collect()
+    ]
+    want = tree_by_hand(known, 8)
+    got = {r["doc_id"]: r["shard"] for r in shards(spark, rows)}
+    leaf = {path: k for k, path in enumerate(sorted(set(want.values())))}
+    assert got == {i: leaf[path] for i, path in want.items()}
+
+
 def test_target_bytes_nulls_repeats_and_empty(spark):
     rows = [(None, None, None, None, None), (1, None, "a", "b", 3), (1, "", "a", "b", 3), (1, "", "a", "b", 3)]
     got = shards(spark, rows, shards=2)
