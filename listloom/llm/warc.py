@@ -1,10 +1,13 @@
 """Deterministic sharded WARC archives.
 
 Pages are range-sorted by id over shards whose bounds are exact weighted cut points, so shards depend on the rows alone.
+The driver looks for the bounds of at most ``MOST_CUTS`` spans; inside a span prefix sums over its ids cut the shards. There
+are at most ``MOST_SHARDS`` shards, which grow with a larger archive, so their bounds are a table of a few megabytes at most.
 A shard's task writes its records in order, each a gzip member of its own, and rolls to a new file once the compressed
 size is reached. Headers and digests are regenerated from the payload. Files get temporary names; a manifest of the
 attempt that Spark accepted is staged, then each listed file is renamed, and last the manifest itself is written: what
-no manifest names was never committed, so a lost executor or a repeated task leaves no trace.
+no manifest names was never committed, and the folder of temporary names, with what lost executors and repeated tasks left
+in it, goes last.
 
 Among records with equal payloads the one with the largest page_id is the response; smaller ones are revisits of it.
 
@@ -27,10 +30,11 @@ from pyspark.sql import functions as F
 
 from listloom.session import ship
 
-from .common import stage, stage_path, weighted_cuts
+from .common import MOST_CUTS, drop_path, stage, stage_path, weighted_cuts
 
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
+MOST_SHARDS = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:listloom:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -78,15 +82,61 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def shard_column(page_id: Column, cuts: list[int]) -> Column:
-    """Shard of an id: the number of cut points below it. Null ids are in shard 0."""
+def span_column(page_id: Column, cuts: list[int]) -> Column:
+    """Span of an id: the number of cut points below it. Null ids are in span 0."""
     if not cuts:
         return F.lit(0)
     bounds = F.array(*[F.lit(c - OFFSET) for c in cuts])
     return F.when(page_id.isNull(), 0).otherwise(F.size(F.filter(bounds, lambda b: b < page_id)))
 
 
-def ordered_records(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def shard_bounds(keys: DataFrame, shard_bytes: int, spans: int = MOST_CUTS) -> tuple[list[int], DataFrame | None, int]:
+    """(cut points of the spans, staged table of what cuts each span, shards) for ``keys(page_id, w)``. The table has one
+    row a span: its first shard and the last ids of all its shards but the last; none where spans are shards."""
+    total = keys.agg(F.sum("w")).first()[0] or 0
+    shards = max(1, min(MOST_SHARDS, -(-total // shard_bytes)))
+    cuts: list[int] = []
+    top = min(shards, spans)
+    if top > 1:
+        shifted = keys.select(
+            F.lit(0).alias("node"), (F.coalesce("page_id", F.lit(-OFFSET)) + F.lit(OFFSET)).alias("key"), "w"
+        )
+        targets = {0: [total * k / top for k in range(1, top)]}
+        cuts = sorted(set(weighted_cuts(shifted, "node", "key", "w", targets)[0]))
+    if top == shards:
+        return cuts, None, len(cuts) + 1
+    size = total / shards
+    # Equal ids end at the same sum, so they share a shard.
+    upto = Window.partitionBy("span").orderBy(F.col("page_id").asc_nulls_first()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    inner = keys.withColumn("span", span_column(F.col("page_id"), cuts)).select(
+        "span", "page_id", F.floor((F.sum("w").over(upto) - 1) / F.lit(size)).alias("inner")
+    )
+    last = inner.groupBy("span", "inner").agg(F.max("page_id").alias("last"))
+    by_span = last.groupBy("span").agg(F.array_sort(F.collect_list("last")).alias("ends"))
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    table = stage(
+        by_span.select(
+            "span",
+            F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).cast("int").alias("first"),
+            F.slice("ends", 1, F.greatest(F.lit(0), F.size("ends") - 1)).alias("ends"),
+        ),
+        "warc-bounds",
+    )
+    return cuts, table, table.agg(F.max(F.col("first") + F.size("ends")) + 1).first()[0]
+
+
+def with_shard(rows: DataFrame, cuts: list[int], table: DataFrame | None) -> DataFrame:
+    """``rows(page_id, ...)`` with their shard. The table has at most ``MOST_CUTS`` rows and ``MOST_SHARDS`` ids."""
+    if table is None:
+        return rows.withColumn("shard", span_column(F.col("page_id"), cuts))
+    spanned = rows.withColumn("span", span_column(F.col("page_id"), cuts)).join(F.broadcast(table), "span")
+    below = F.when(F.col("page_id").isNull(), 0).otherwise(F.size(F.filter("ends", lambda b: b < F.col("page_id"))))
+    return spanned.withColumn("shard", F.col("first") + below).drop("span", "first", "ends")
+
+
+def ordered_records(pages: DataFrame, shard_bytes: int = SHARD_BYTES, spans: int = MOST_CUTS) -> DataFrame:
     """Rows of (shard, page_id, sha, kind, response_id, url, html), one partition a shard, in writing order.
 
     A key row (kind 0) stands before the pages it decides on, so the html moves once and no join touches it.
@@ -100,33 +150,21 @@ def ordered_records(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFra
         ),
         "warc-keys",
     )
-    total = keys.agg(F.sum("w")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    cuts: list[int] = []
-    if shards > 1:
-        shifted = keys.select(
-            F.lit(0).alias("node"), (F.coalesce("page_id", F.lit(-OFFSET)) + F.lit(OFFSET)).alias("key"), "w"
-        )
-        targets = {0: [total * k / shards for k in range(1, shards)]}
-        cuts = sorted(set(weighted_cuts(shifted, "node", "key", "w", targets)[0]))
+    cuts, table, shards = shard_bounds(keys, shard_bytes, spans)
     responses = keys.groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
     # Only groups of several records need a decision. Staged, so that the join stands alone and Spark can split the rows
     # of a payload with very many copies.
     shared = stage(responses.filter("n > 1").drop("n"), "warc-shared")
     decisions = keys.select("page_id", "sha").join(shared, "sha").distinct()
-    rows = (
-        decisions.select(
-            shard_column(F.col("page_id"), cuts).alias("shard"),
-            "page_id",
-            "sha",
-            F.lit(0).alias("kind"),
-            "response_id",
-            F.lit(None).cast("string").alias("url"),
-            F.lit(None).cast("string").alias("html"),
-        )
+    rows = decisions.select(
+        "page_id",
+        "sha",
+        F.lit(0).alias("kind"),
+        "response_id",
+        F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("string").alias("html"),
     ).unionByName(
         pages.select(
-            shard_column(pages["page_id"].cast("long"), cuts).alias("shard"),
             pages["page_id"].cast("long").alias("page_id"),
             F.sha1(html).alias("sha"),
             F.lit(1).alias("kind"),
@@ -135,7 +173,7 @@ def ordered_records(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFra
             html.alias("html"),
         )
     )
-    return rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(
+    return with_shard(rows, cuts, table).repartitionById(shards, F.col("shard")).sortWithinPartitions(
         "shard", F.col("page_id").asc_nulls_first(), "sha", "kind", F.col("url").asc_nulls_first()
     )
 
@@ -233,12 +271,14 @@ def write_warc(
     shard_bytes: int = SHARD_BYTES,
     roll_bytes: int = ROLL_BYTES,
     level: int = 6,
+    spans: int = MOST_CUTS,
 ) -> DataFrame:
     """Write ``pages(page_id, url, html)`` under the shared folder ``path``; returns the committed manifest."""
     spark = pages.sparkSession
-    found = stage(ordered_records(pages, shard_bytes).mapInArrow(_writer(path, roll_bytes, level), MANIFEST), "warc")
+    found = stage(ordered_records(pages, shard_bytes, spans).mapInArrow(_writer(path, roll_bytes, level), MANIFEST), "warc")
     named = found.mapInArrow(_commit(path), MANIFEST)
     named.write.parquet(f"{path}/manifest.parquet")
+    drop_path(spark, f"{path}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest.parquet")
 
 

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 
 from listloom.llm import warc
 
@@ -58,6 +59,23 @@ def test_files_depend_on_rows_alone(spark):
     assert key(a) == key(b)
 
 
+def test_spans_cut_by_prefix_sums_hold_the_same_records(spark):
+    rows = [(i * 7 % 301, f"u{i}", f"body {i} " * (1 + i % 30)) for i in range(300)] + [(None, "n", "x"), (12, "again", "y")]
+    path, manifest, back = written(spark, rows, shard_bytes=6_000, roll_bytes=2_000, spans=4)
+    files = manifest.collect()
+    assert max(f["shard"] for f in files) > 20
+    known = lambda i: -1 if i is None else i
+    spans = sorted((f["shard"], f["file"], known(f["first_id"]), known(f["last_id"])) for f in files)
+    assert all(a[3] <= b[2] if a[0] == b[0] else a[3] < b[2] for a, b in zip(spans, spans[1:]))
+    keep = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted((tuple(r[k] for k in keep) for r in back.collect()), key=repr) == expected(rows)
+    again = written(spark, rows[::-1], shard_bytes=6_000, roll_bytes=2_000, spans=4)[1].collect()
+    key = lambda m: sorted((f["name"], f["bytes"], f["sha1"]) for f in m)
+    assert key(files) == key(again)
+    # What was written under temporary names is gone.
+    assert not os.path.exists(f"{path.removeprefix('file://')}/_temporary")
+
+
 def test_ranges_and_plain_gzip(spark):
     rows = [(i, "u", f"b{i}") for i in range(50)]
     path, manifest, _ = written(spark, rows, shard_bytes=8_000)
