@@ -9,8 +9,6 @@ that pass them are made distinct and meet their texts.
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from listloom.functions.geo import haversine_km
 from listloom.functions.listing import image_identity
 from listloom.functions.parse import parse_requirements
 from listloom.functions.text import comparable, jaccard, js_round, tokenize
-from listloom.session import ship
+from listloom.session import shared_folder, ship
 
 MAX_BLOCK = 200
 DUPLICATE, AMBIGUOUS = 70, 45
@@ -247,12 +245,10 @@ def matches(rows: DataFrame) -> DataFrame:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Checkpointed, which cuts the lineage; a local session without a folder for that gets a temporary one."""
+    """Checkpointed in the shared folder, which cuts the lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="listloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

@@ -109,14 +109,29 @@ def survival_curve(lifetimes: DataFrame) -> DataFrame:
     do not count. The share stays 0 once it is 0."""
     valid = lifetimes.filter("days is not null and not isnan(days) and days >= 0 and days < double('infinity')")
     days = valid.groupBy("days").agg(F.count(F.lit(1)).alias("n"), F.count_if("ended").alias("deaths"))
-    after = Window.orderBy(F.col("days").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = Window.orderBy("days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_risk = days.withColumn("at_risk", F.sum("n").over(after)).filter("deaths > 0")
+    days = days.withColumn("whole", F.floor("days"))
+    # Running sums in two steps: inside a whole day, and over the whole days, of which there are few.
+    inside = Window.partitionBy("whole").orderBy(F.desc("days")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.orderBy(F.desc("whole")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = days.groupBy("whole").agg(F.sum("n").alias("total"))
+    beyond = totals.select("whole", F.coalesce(F.sum("total").over(later), F.lit(0)).alias("beyond"))
+    at_risk = days.withColumn("own", F.sum("n").over(inside)).join(beyond, "whole")
+    at_risk = at_risk.withColumn("at_risk", F.col("own") + F.col("beyond")).filter("deaths > 0")
     alive = 1 - F.col("deaths") / F.col("at_risk")
-    zero = F.max(F.when(alive <= 0, 1).otherwise(0)).over(upto)
-    product = F.exp(F.sum(F.log(F.when(alive > 0, alive).otherwise(1.0))).over(upto))
-    return at_risk.select(
-        F.col("days").alias("day"), "at_risk", "deaths", F.when(zero == 1, 0.0).otherwise(product).alias("share")
+    steps = at_risk.select(
+        "whole", "days", "at_risk", "deaths",
+        F.when(alive <= 0, 1).otherwise(0).alias("over"), F.log(F.when(alive > 0, alive).otherwise(1.0)).alias("log"),
+    )
+    before = Window.orderBy("whole").rowsBetween(Window.unboundedPreceding, -1)
+    sums = steps.groupBy("whole").agg(F.sum("log").alias("log"), F.max("over").alias("over"))
+    past = sums.select(
+        "whole", F.coalesce(F.sum("log").over(before), F.lit(0.0)).alias("past"), F.coalesce(F.max("over").over(before), F.lit(0)).alias("ended")
+    )
+    upto = Window.partitionBy("whole").orderBy("days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = steps.withColumns({"log": F.sum("log").over(upto), "over": F.max("over").over(upto)}).join(past, "whole")
+    zero = (F.col("over") == 1) | (F.col("ended") == 1)
+    return run.select(
+        F.col("days").alias("day"), "at_risk", "deaths", F.when(zero, 0.0).otherwise(F.exp(F.col("past") + F.col("log"))).alias("share")
     )
 
 

@@ -4,11 +4,27 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names. Where that is unset, a local session (tests) gets
+    a temporary folder and any other session is refused, since no folder is known to be shared there."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if context.applicationId not in _folders:
+            _folders[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="listloom-")
+        base = _folders[context.applicationId]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:

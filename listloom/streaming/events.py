@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from listloom.session import shared_folder
+
 
 def tumbling(events: DataFrame, size: str, late: str | None = None) -> DataFrame:
     """Counts by window and type; ``late`` sets the watermark that a stream needs."""
@@ -30,11 +30,19 @@ def stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now (available now) and return its rows."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there now (available now) and return its rows, as a table in the shared folder. A batch
+    that is repeated writes its own part again; complete output replaces the part before it."""
+    path = shared_folder(df.sparkSession, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/{'all' if mode == 'complete' else number}")
+
+    q = (
+        df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state")
+        .trigger(availableNow=True).start()
+    )
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{path}/rows")
 
 
 def deduplicated(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
