@@ -32,11 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from listloom.session import ship
 
-from .common import free_name, returning_memory, slices, stage, text_of
+from .common import free_name, give_back, returning_memory, slices, stage, text_of
 from .text_views import STYLE, Softmax, Vocabulary, choose_words, full_view
 
 #: Domains of the labelled table: low and high quality, and toxic whatever the quality.
@@ -322,16 +321,18 @@ def mixed(
         warnings.warn(f"rates have not converged after {fit.iterations} steps: {fit.reached} for {fit.wanted}", stacklevel=2)
 
     r, n = free_name(docs, "_rate"), free_name(docs, "_copies")
-    known = free_name(docs, "_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, known, SLICE_BYTES, SLICE_ROWS):
-                rates = mixer.rates(mixer.probabilities(part.column(known)))
-                yield part.set_column(part.schema.get_field_index(known), r, pa.array(rates))
-
-    schema = StructType([*docs.schema.fields, StructField(r, DoubleType())])
-    rated = docs.withColumn(known, text_of(docs)).mapInArrow(returning_memory(run), schema)
+    def rates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            out = [np.zeros(0)]
+            for part in slices(pa.record_batch([texts], names=["text"]), "text", SLICE_BYTES, SLICE_ROWS):
+                out.append(mixer.rates(mixer.probabilities(part.column("text"))))
+            yield pa.array(np.concatenate(out))
+        give_back()
+
+    # Only the text goes to Python and only the rate comes back. Not to be evaluated twice, so called nondeterministic.
+    rate = F.arrow_udf(rates, "double").asNondeterministic()
+    rated = docs.withColumn(r, rate(text_of(docs)))
     counted = rated.withColumn(n, copies(F.col(r), F.col("doc_id"))).drop(r)
     return counted.filter(F.col(n) > 0).select(
         *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)

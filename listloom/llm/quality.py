@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from listloom.session import ship
 
-from .common import free_name, returning_memory, slices, stage, text_of
+from .common import free_name, give_back, returning_memory, slices, stage, text_of
 from .text_views import LAYOUT, STYLE, WORDING, Softmax, Vocabulary, choose_words, dense, split_words, style
 
 LABELLED = 3000
@@ -333,23 +333,23 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     _, model = _learn(docs, labels, options)
     if model is None:
         return docs
-    given = free_name(docs, "_given")
-    seen = F.struct(text_of(docs).alias("text"), *_metadata(docs))
-    size = free_name(docs, "_size")
+    said = free_name(docs, "_score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(given).field(0)
-            sized = batch.append_column(size, texts)
-            for part in slices(sized, size, SLICE_BYTES, SLICE_ROWS):
-                t, s, g, c = (part.column(given).field(k) for k in range(4))
+    def score(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            out = [np.zeros(0)]
+            for part in slices(pa.record_batch(list(columns), names=list("tsgc")), "t", SLICE_BYTES, SLICE_ROWS):
+                t, s, g, c = part.columns
                 split = split_words(t)
                 # As the staged features are stored, so that both ways to score a document agree.
                 form = style(t, split).astype(np.float32).astype(float)
                 row, column, count = model.vocabulary.counts(split)
                 words = dense(part.num_rows, len(model.vocabulary), row, column, np.minimum(count, 65535))
                 page = page_view(s.to_pylist(), g.to_pylist(), c.to_numpy(zero_copy_only=False), form)
-                _, _, score = model.scores(text_view(form, words), page)
-                yield part.drop_columns([given, size]).filter(pa.array(score >= model.threshold))
+                out.append(model.scores(text_view(form, words), page)[2])
+            yield pa.array(np.concatenate(out))
+        give_back()
 
-    return docs.withColumn(given, seen).mapInArrow(returning_memory(run), docs.schema)
+    # Only what the views read goes to Python, and only the score comes back.
+    scored = docs.withColumn(said, F.arrow_udf(score, "double").asNondeterministic()(text_of(docs), *_metadata(docs)))
+    return scored.filter(F.col(said) >= model.threshold).drop(said)
