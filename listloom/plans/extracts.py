@@ -208,3 +208,34 @@ def page_memory(spark, sf_dir):
     memory = c.filter("c_custkey % 5 < 2").selectExpr("concat('u', c_custkey) AS url", """concat('["r', c_custkey, '","s', c_custkey, '"]') AS refs""")
     joined = fetched.join(memory, "url", "left")
     return joined.select("k", F.explode(listing.merged_pages(F.col("refs"), F.col("fresh"))).alias("ref"))
+
+
+@query("""SELECT 'a' || c_custkey AS id, 'T' || c_custkey % 5 AS title, (500 + c_custkey % 400)::DOUBLE AS price,
+ CASE WHEN c_custkey % 3 < 2 THEN 43.5::DOUBLE END AS lat, CASE WHEN c_custkey % 3 < 2 THEN 5.25::DOUBLE END AS lon FROM customer WHERE c_custkey % 6 <> 5""")
+def api_answers(spark, sf_dir):
+    """SRC-08, SRC-09: ads of JSON answers; blurred positions do not count, nor do answers that cannot be read."""
+    position = """CASE c_custkey % 3 WHEN 0 THEN ',"position":{"lat":43.5,"lon":5.25}' WHEN 1 THEN ',"position":{"lat":43.5,"lon":5.25,"radius":100}' ELSE ',"position":{"lat":43.5,"lon":5.25,"radius":500}' END"""
+    ad = f"""concat('{{"id":"a', c_custkey, '","title":"T', c_custkey % 5, '","price":', 500 + c_custkey % 400, {position}, '}}')"""
+    body = f"""CASE WHEN c_custkey % 6 = 5 THEN '<html>' ELSE concat('{{"ads":[', {ad}, ']}}') END"""
+    return pages.api_listings(table(spark, sf_dir, "customer").selectExpr(f"{body} AS body"))
+
+
+@query("""SELECT c_custkey AS page_id, 'r' || c_custkey || '-' || k AS ref, CASE WHEN k = 1 THEN CAST(400 + c_custkey % 300 AS VARCHAR) END AS price
+FROM customer, (SELECT unnest([1, 2]) AS k) n WHERE c_custkey % 4 <> 3""")
+def inline_ads(spark, sf_dir):
+    """SRC-10: the objects of a script's array."""
+    html = (
+        "CASE WHEN c_custkey % 4 = 3 THEN '<p>none</p>' ELSE concat('<script>var x = 1; var ads = [{ref: \"r', c_custkey, '-1\", price: ', 400 + c_custkey % 300, "
+        "'}, {ref:''r', c_custkey, '-2'', price: \"\"}];</script>') END"
+    )
+    return pages.inline_entries(table(spark, sf_dir, "customer").selectExpr("c_custkey AS page_id", f"{html} AS html"), "ads", ("ref", "price"))
+
+
+@query("""WITH n AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'Agence ' || c_mktsegment WHEN 1 THEN substr(c_mktsegment, 1, 4) WHEN 2 THEN 'New ' || c_custkey % 30 ELSE '' END AS name FROM customer)
+SELECT DISTINCT name FROM n WHERE name LIKE 'New %' AND name <> 'New 7'""")
+def unknown_agencies(spark, sf_dir):
+    """SRC-16: names that neither hold nor are held by a known one."""
+    c = table(spark, sf_dir, "customer")
+    found = c.selectExpr("CASE c_custkey % 4 WHEN 0 THEN concat('Agence ', c_mktsegment) WHEN 1 THEN substring(c_mktsegment, 1, 4) WHEN 2 THEN concat('New ', c_custkey % 30) ELSE '' END AS name")
+    known = c.selectExpr("c_mktsegment AS name").union(c.selectExpr("'new 7' AS name")).distinct()
+    return pages.unknown_names(found, known).distinct()

@@ -59,6 +59,27 @@ def sitemap(xml: DataFrame, column: str = "xml") -> DataFrame:
     return each.select(pick("loc").alias("loc"), pick("lastmod").alias("lastmod")).filter("loc is not null")
 
 
+API_SCHEMA = "ads array<struct<id:string,title:string,price:double,position:struct<lat:double,lon:double,radius:double>>>"
+
+
+def api_listings(answers: DataFrame, column: str = "body", exact_metres: float = 100.0) -> DataFrame:
+    """(id, title, price, lat, lon) of the ads in JSON answers, asked for by address or by body alike. A position counts
+    where it is exact or blurred by at most ``exact_metres``; answers that cannot be read give nothing."""
+    each = answers.select(F.explode(F.from_json(column, API_SCHEMA)["ads"]).alias("a"))
+    sharp = F.coalesce(F.col("a.position.radius"), F.lit(0.0)) <= exact_metres
+    return each.select(
+        "a.id", "a.title", "a.price", F.when(sharp, F.col("a.position.lat")).alias("lat"), F.when(sharp, F.col("a.position.lon")).alias("lon")
+    )
+
+
+def inline_entries(pages: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
+    """(page_id, fields as text) of the objects in a script's array literal ``name = [{...}, ...]``; values may be quoted."""
+    array = F.regexp_extract("html", rf"(?s)\b{name}\s*=\s*\[(.*?)\]", 1)
+    each = pages.select("page_id", F.explode(F.regexp_extract_all(array, F.lit(r"(?s)\{(.*?)\}"), F.lit(1))).alias("o"))
+    value = lambda f: F.regexp_extract("o", rf"(?:^|[,\s]){f}\s*:\s*[\"']?([^,\"']*)", 1)
+    return each.select("page_id", *[F.nullif(F.trim(value(f)), F.lit("")).alias(f) for f in fields])
+
+
 def sitemap_index(xml: DataFrame, column: str = "xml") -> DataFrame:
     return xml.select(F.explode(F.regexp_extract_all(column, F.lit("(?s)<sitemap>.*?<loc>([^<]*)</loc>.*?</sitemap>"), F.lit(1))).alias("loc"))
 
@@ -111,8 +132,19 @@ def unknown_names(found: DataFrame, known: DataFrame) -> DataFrame:
     squeeze = lambda c: F.replace(comparable(F.col(c)), F.lit(" "), F.lit(""))
     names = found.select("name", squeeze("name").alias("s")).distinct()
     listed = known.select(squeeze("name").alias("k")).filter("k <> ''").distinct()
-    held = F.contains(F.col("s"), F.col("k")) | F.contains(F.col("k"), F.col("s"))
-    return names.join(listed, held, "left_anti").select("name")
+    # What is held stands in the holder from its first letters on: only names that share those are compared.
+    start = lambda c: F.substring(c, 1, 3)
+
+    def inner(c: str) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c)))
+        return F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring(F.col(c), i, F.lit(n)) for n in (1, 2, 3)]))))
+
+    holding = names.select("s", F.explode(inner("s")).alias("g")).join(listed.select("k", start("k").alias("g")), "g")
+    held = listed.select("k", F.explode(inner("k")).alias("g")).join(names.select("s", start("s").alias("g")), "g")
+    same = holding.filter(F.contains("s", F.col("k"))).select("s").union(held.filter(F.contains("k", F.col("s"))).select("s"))
+    # An empty name is held by every known one.
+    void = names.filter("s = ''").select("s").join(listed.limit(1).select(F.lit("").alias("s")), "s", "left_semi")
+    return names.join(same.union(void).distinct(), "s", "left_anti").select("name")
 
 
 def proxied_image(slices) -> Column:
