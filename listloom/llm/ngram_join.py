@@ -46,9 +46,10 @@ from .common import broadcast_if_small, connected_components, free_name, returni
 WORDS = 5
 #: Linked when DENOMINATOR * overlap >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 80, 100
-#: Input bytes a column block stands for; entries a map task holds before it deals them out.
+#: Input bytes a column block stands for; bytes that one step of a map task reads; entries it holds before it deals them out.
 BLOCK_BYTES = 8 << 20
-FLUSH = 800_000
+SLICE_BYTES = 2 << 20
+FLUSH = 400_000
 #: Largest candidate group that is multiplied whole; rows of a block in larger groups; columns of a slice.
 GROUP_ROWS = 512
 BLOCK_ROWS = 256
@@ -173,7 +174,7 @@ def _document_rows(n: int, sampled: int, bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20, 20_000):
+            for part in slices(batch, "text", SLICE_BYTES, 20_000):
                 found = shingle_sets(part.column("text"), n)
                 classes = [_class(x, bits) for x in found]
                 sample: list[np.ndarray | None] = []
@@ -220,7 +221,7 @@ def _incidence(
         names: list[int] = []
         held = 0
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20, 20_000):
+            for part in slices(batch, "text", SLICE_BYTES, 20_000):
                 for s in shingle_sets(part.column("text"), n):
                     k, other = _class(s, bits)
                     if k in collided:
