@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from . import quality_rules as rules
 from .license_scan import BLOCK, PHRASES, STEP, TEMPLATES, THRESHOLD
 
 def _list(values: list[str]) -> str:
@@ -154,5 +155,174 @@ FROM pay JOIN best USING (sha) JOIN digests USING (sha)
 """
 
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc(names: str) -> str:
+    """CTEs ``names(f)``, ``step`` and ``crc(f, crc)``: CRC-32 of every distinct string, a byte of each at a time; to stand
+    behind WITH RECURSIVE."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return f"""
+names AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM ({names}))),
+step(f, h, k, c) AS (
+  SELECT f, h, 0, 4294967295::BIGINT FROM names
+  UNION ALL
+  SELECT f, h, k + 2, xor(c >> 8, {table}[(xor(c, ('0x' || substr(h, k + 1, 2))::BIGINT) & 255) + 1]) FROM step WHERE k < length(h)
+),
+crc AS (SELECT f, xor(c, 4294967295) AS crc FROM step WHERE k = length(h))"""
+
+
+OP11 = rf"""
+WITH RECURSIVE {_crc("SELECT coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS f FROM conversations")},
+spoken AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, crc % 20 AS d
+  FROM conversations JOIN crc ON f = coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')
+), after AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) FROM spoken WHERE d <> 0)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM after
+), faulty AS (
+  SELECT *, substr(role, 1, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), '[.!?]$') THEN 'truncated' END AS fault
+  FROM placed
+), sizes AS (SELECT conv_id, count(*) AS n FROM faulty GROUP BY conv_id),
+grammar(g, c, h) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(g, h, cost, label) AS (VALUES
+  (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (3, 2, 5, 'I'), (2, 3, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')),
+-- every path that is the best one to its state so far: labels and the text that it leaves, place by place
+walk(conv_id, pos, g, best) AS (
+  SELECT conv_id, 0, 0, {{'cost': 0::BIGINT, 'audit': '', 'said': NULL::VARCHAR}} FROM sizes
+  UNION ALL
+  SELECT conv_id, pos, h, min({{'cost': cost, 'audit': audit, 'said': said}}) FROM (
+    SELECT w.conv_id, r.pos, e.h, w.best.cost + i.cost + e.cost AS cost, w.best.audit || i.label || e.label AS audit,
+      nullif(concat_ws(chr(10), w.best.said,
+        CASE WHEN i.label = '' THEN NULL WHEN i.label = 'II' THEN 'user:' || chr(10) || 'assistant:' WHEN i.h = 2 THEN 'user:' ELSE 'assistant:' END,
+        CASE e.label WHEN 'K' THEN r.role || ':' || r.text WHEN 'R' THEN CASE e.h WHEN 2 THEN 'user:' ELSE 'assistant:' END || r.text END), '') AS said
+    FROM walk w JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1 JOIN inserts i ON i.g = w.g
+    JOIN LATERAL (
+      SELECT i.h AS h, 2 AS cost, 'D' AS label
+      UNION ALL SELECT m.h, CASE WHEN r.fault = 'truncated' THEN 5 ELSE 0 END, 'K' FROM grammar m WHERE m.g = i.h AND m.c = r.c AND coalesce(r.fault, '') NOT IN ('blank', 'duplicate')
+      UNION ALL SELECT m.h, CASE WHEN r.fault = 'truncated' THEN 6 ELSE 1 END, 'R' FROM grammar m WHERE m.g = i.h AND m.c <> 's' AND coalesce(r.fault, '') NOT IN ('blank', 'duplicate')
+    ) e ON true
+  ) GROUP BY conv_id, pos, h
+), ends AS (
+  SELECT w.conv_id, min({{'cost': w.best.cost + i.cost, 'audit': w.best.audit || i.label, 'said': concat_ws(chr(10), w.best.said,
+    CASE WHEN i.label = '' THEN NULL WHEN i.label = 'II' THEN 'user:' || chr(10) || 'assistant:' WHEN i.h = 2 THEN 'user:' ELSE 'assistant:' END)}}) AS best
+  FROM walk w JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.pos JOIN inserts i ON i.g = w.g WHERE i.h IN (0, 3) GROUP BY w.conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM faulty) GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(best.said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def _grams(words: str) -> str:
+    """Runs of one and two words of ``texts(id, w)``, one row for each place."""
+    return f"""
+SELECT id, unnest({words}) AS f FROM texts
+UNION ALL SELECT id, unnest(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])) FROM texts"""
+
+
+OP12 = rf"""
+WITH RECURSIVE own AS (
+  SELECT 'd' AS side, row_number() OVER () AS id, doc_id, text FROM documents
+  UNION ALL SELECT 't', -row_number() OVER (), NULL, text FROM benchmark
+), texts AS (
+  SELECT id, side, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM own
+), runs AS ({_grams("w")}),
+{_crc("SELECT f FROM runs")},
+placed AS (SELECT id, crc % 10000 AS bucket FROM runs JOIN crc USING (f)),
+sums AS (SELECT bucket, count(*) FILTER (id > 0) AS s, count(*) FILTER (id < 0) AS t FROM placed GROUP BY bucket),
+totals AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (ss + 10000) / ((s + 1.0::DOUBLE) * (tt + 10000))))::BIGINT AS gain FROM sums, totals),
+weighed AS (SELECT id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE id > 0 GROUP BY id),
+scored AS (
+  SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN weighed USING (id) WHERE side = 'd'
+), places AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place,
+    count(*) FILTER (words >= 20) OVER () AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM places
+"""
+
+OP13 = rf"""
+WITH RECURSIVE cut AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), texts AS (
+  SELECT id, doc_id, text, w, list_transform(w, lambda x: {LOWER.format("x")}) AS low FROM cut
+), runs AS ({_grams("low")}),
+{_crc("SELECT f FROM runs UNION ALL SELECT doc_id::VARCHAR FROM labels WHERE doc_id IS NOT NULL")},
+placed AS (SELECT id, crc % {rules.BUCKETS} AS bucket FROM runs JOIN crc USING (f)),
+good AS (
+  SELECT doc_id, crc % 2 = 0 AS fits FROM labels JOIN crc ON f = doc_id::VARCHAR GROUP BY doc_id, crc
+  HAVING bool_and(coalesce(quality = 1 AND toxic = 0, false)) ORDER BY crc, doc_id LIMIT {rules.TRUSTED}
+),
+sums AS (
+  SELECT bucket, count(*) AS s, count(*) FILTER (fits) AS t FROM placed JOIN texts USING (id) LEFT JOIN good USING (doc_id) GROUP BY bucket
+),
+totals AS (SELECT sum(s)::DOUBLE AS ss, sum(t)::DOUBLE AS tt FROM sums),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (ss + {rules.BUCKETS}) / ((s + 1.0::DOUBLE) * (tt + {rules.BUCKETS}))))::BIGINT AS gain FROM sums, totals
+),
+means AS (SELECT id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS mean FROM placed JOIN gains USING (bucket) GROUP BY id),
+windows AS (
+  SELECT id, i, array_to_string(w[i:i + {rules.WINDOW - 1}], ' ') AS x
+  FROM (SELECT id, w, unnest(range(1, len(w) - {rules.WINDOW - 2})) AS i FROM texts WHERE len(w) >= {rules.WINDOW})
+),
+again AS (
+  SELECT id, count(DISTINCT p) AS n FROM (
+    SELECT id, unnest(range(i, i + {rules.WINDOW})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY id, x) AS c FROM windows) WHERE c > 1
+  ) GROUP BY id
+),
+lines AS (
+  SELECT id, sum(c - 1) AS n FROM (
+    SELECT id, x, count(*) AS c FROM (SELECT id, unnest(string_split(text, chr(10))) AS x FROM texts)
+    WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY id, x
+  ) GROUP BY id
+),
+figures AS (
+  SELECT t.id, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(again.n, 0)::BIGINT AS n_repeat_words, coalesce(mean, 0) AS score
+  FROM texts t LEFT JOIN means USING (id) LEFT JOIN again USING (id) LEFT JOIN lines USING (id)
+),
+held AS (SELECT list_sort(list(score)) AS s FROM figures JOIN good USING (doc_id) WHERE NOT fits),
+bound AS (
+  SELECT m - {rules.SPREAD} * (m - l) AS threshold FROM (
+    SELECT s[greatest(1, (len(s) * 50 + 99) // 100)] AS m, s[greatest(1, (len(s) * 5 + 99) // 100)] AS l FROM held)
+),
+judged AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.MOST_REPEATED_PERCENT} * n_words AS base_failed FROM figures, bound)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (threshold IS NULL OR score >= threshold) AS kept, score, threshold::BIGINT AS threshold
+FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2(), "op3_exact_dedup": OP3, "op4_chat_format": OP4, "op8_ngram_jaccard_join": OP8, "op9_warc_writer": OP9}
+    return {
+        "op2_license_scan": _op2(),
+        "op3_exact_dedup": OP3,
+        "op4_chat_format": OP4,
+        "op8_ngram_jaccard_join": OP8,
+        "op9_warc_writer": OP9,
+        "op11_conversation_repair": OP11,
+        "op12_crc_resampling": OP12,
+        "op13_quality_rules": OP13,
+    }

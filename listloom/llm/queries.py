@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, kd_sharding, license_scan, media_ogg, mixing, ngram_join, packing, quality, warc
+from . import (
+    chat_format,
+    conversation_repair,
+    crc_resampling,
+    exact_dedup,
+    kd_sharding,
+    license_scan,
+    media_ogg,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    quality_rules,
+    warc,
+)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -94,6 +108,18 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crc_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_best_fit_packing,
@@ -106,4 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_ngram_jaccard_join,
         op9_warc_writer,
         op10_soft_mixing,
+        op11_conversation_repair,
+        op12_crc_resampling,
+        op13_quality_rules,
     )}
