@@ -12,22 +12,20 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def query(oracle: str | None = None, also: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, and ``also`` under an older one."""
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
 
     def add(f: Query) -> Query:
-        for name in (f.__name__, also):
-            if name is not None:
-                _QUERIES[name] = f
-                if oracle is not None:
-                    _ORACLES[name] = oracle
+        _QUERIES[f.__name__] = f
+        if oracle is not None:
+            _ORACLES[f.__name__] = oracle
         return f
 
     return add
 
 
 def _load() -> None:
-    from listloom.plans import entities, extensions, extracts, fields, incremental, lists, scores, statistics, stores, texts  # noqa: F401
+    from listloom.plans import entities, extensions, extracts, fields, incremental, lists, scores, sites, statistics, stores, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -9,7 +9,6 @@ that pass them are made distinct and meet their texts.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,8 @@ from listloom.functions.geo import haversine_km
 from listloom.functions.listing import image_identity
 from listloom.functions.parse import parse_requirements
 from listloom.functions.text import comparable, jaccard, js_round, tokenize
-from listloom.session import shared_folder, ship
+from listloom.operators import clustering
+from listloom.session import Scratch
 
 MAX_BLOCK = 200
 DUPLICATE, AMBIGUOUS = 70, 45
@@ -164,13 +164,11 @@ def _km() -> Column:
 def same_source_conflict() -> Column:
     """Two ads of one source are two dwellings when their price differs, or their area is not the same up to rounding.
     A source that relays is excused where the ads name two agencies."""
-    a, b = _sides("area")
-    whole = lambda x, y: ~_has_decimals(x) & ((F.floor(y + 0.005) == js_round(x)) | (js_round(y) == js_round(x)))
-    same_area = (F.abs(a - b) < 0.005) | whole(a, b) | whole(b, a)
-    price = _known("price") & (F.abs(F.col("l_price") - F.col("r_price")) > 0.5)
-    area = _known("area") & ~same_area
-    excused = F.col("l_relays") & F.coalesce(F.col("l_agency_key") != F.col("r_agency_key"), F.lit(False))
-    return F.coalesce((F.col("l_source_id") == F.col("r_source_id")) & ~excused & (price | area), F.lit(False))
+    price = _known("price") & (F.abs(F.col("l_price") - F.col("r_price")) > clustering.PRICE_STEP)
+    area = _known("area") & ~clustering.same_area(*_sides("area"))
+    two_agencies = F.coalesce(F.col("l_agency_key") != F.col("r_agency_key"), F.lit(False))
+    one_source = (F.col("l_source_id") == F.col("r_source_id")) & ~(F.col("l_relays") & two_agencies)
+    return F.coalesce(one_source & (price | area), F.lit(False))
 
 
 def blocked() -> Column:
@@ -244,14 +242,6 @@ def matches(rows: DataFrame) -> DataFrame:
     return _with_verdict(scored).filter(F.col("score") >= AMBIGUOUS)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Checkpointed in the shared folder, which cuts the lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) by contraction: each round maps nodes to their smallest neighbour, follows these pointers to their
     end, rewrites the edges between the ends and drops loops.
@@ -259,17 +249,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     A node that neither points nor is pointed to has neighbours that point below it, so it points in the next round: two
     rounds halve the nodes at least, and a round follows a path of n pointers in log2(n) joins.
     """
-    now = _kept(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     levels = []
     for _ in range(max_rounds):
         both = now.select("a", "b").union(now.select("b", "a"))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        up = _ends(_kept(up.select("node", F.least("node", "m").alias("root"))))
+        up = ends(scratch.keep(up.select("node", F.least("node", "m").alias("root"))), scratch)
         levels.append(up)
         to = lambda c: up.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: E731, B023
-        now = _kept(
+        now = scratch.replace(
+            now,
             now.join(to("a"), "a").join(to("b"), "b").filter("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
         )
         if now.isEmpty():
             break
@@ -282,35 +274,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return out
 
 
-def _ends(up: DataFrame) -> DataFrame:
-    """Pointers (node, root) led to their ends; each step doubles how far they reach. Every root is a node."""
+def ends(up: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Pointers (node, root) led to their ends; each step doubles how far they reach. Every root is a node. With the
+    ``scratch`` that holds ``up``, what a step replaces is deleted."""
+    kept = scratch or Scratch(up.sparkSession, "ends")
+    first = scratch is None
     while True:
         onward = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        further = _kept(up.join(onward, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
-        if further.filter("moved").isEmpty():
-            return up
-        up = further.select("node", "root")
+        further = kept.keep(up.join(onward, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+        if not first:
+            kept.drop(up)
+        up, first = further, False
+        if up.filter("moved").isEmpty():
+            return up.select("node", "root")
 
 
 def constrained_clusters(rows: DataFrame, scored: DataFrame, merge_ambiguous: bool = False) -> DataFrame:
-    """(id, cluster): links by falling score, two clusters joined unless a cross pair conflicts within one source.
-
-    Links and conflicts never cross a component of the link graph, so the greedy pass runs inside each component; the
-    order is (score desc, left, right), and a cluster's name is its smallest id. A component is worked on by one task:
-    its links are those of blocks of at most ``MAX_BLOCK`` rows.
-    """
-    ship(rows.sparkSession)
+    """(id, cluster): links by falling score, two clusters joined unless a cross pair conflicts within one source. The
+    order is (score desc, left, right), and a cluster's name is its smallest id."""
     wanted = ["duplicate", "ambiguous"] if merge_ambiguous else ["duplicate"]
-    # Scored once: the components, the greedy pass and those without a link all read it.
-    links = _kept(scored.filter(F.col("verdict").isin(*wanted)).select("left_id", "right_id", "score"))
-    # Renamed afresh: the components derive from the same links.
-    roots = components(links.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))).toDF("node", "top")
-    by_link = links.join(roots.withColumnRenamed("node", "left_id"), "left_id").toDF("left_id", "right_id", "score", "root")
-    facts = rows.select("id", "source_id", "price", "area", "agency_key", "relays")
-    members = facts.join(roots.toDF("id", "root"), "id")
-    out = by_link.groupBy("root").cogroup(members.groupBy("root")).applyInPandas(_greedy, "id long, cluster long")
-    alone = rows.select("id").join(roots.select(F.col("node").alias("id")), "id", "left_anti")
-    return out.unionByName(alone.select("id", F.col("id").alias("cluster")))
+    links = scored.filter(F.col("verdict").isin(*wanted)).select("left_id", "right_id", "score")
+    found = clustering.clusters(rows, links, components, ends)
+    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def ambiguous_by_cluster(clusters: DataFrame, scored: DataFrame) -> DataFrame:
@@ -320,34 +305,6 @@ def ambiguous_by_cluster(clusters: DataFrame, scored: DataFrame) -> DataFrame:
     return found.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("left_id", "right_id", "score"))).alias("pairs"))
 
 
-def _conflict(a, b) -> bool:
-    """``same_source_conflict`` of two rows of one source."""
-    if a.relays and pd.notna(a.agency_key) and pd.notna(b.agency_key) and a.agency_key != b.agency_key:
-        return False
-    if pd.notna(a.price) and pd.notna(b.price) and abs(a.price - b.price) > 0.5:
-        return True
-    if pd.isna(a.area) or pd.isna(b.area) or abs(a.area - b.area) < 0.005:
-        return False
-    near = lambda x: int(x + 0.5)
-    whole = lambda x, y: abs(x - near(x)) <= 0.004 and near(x) in (int(y + 0.005), near(y))
-    return not (whole(a.area, b.area) or whole(b.area, a.area))
-
-
-def _greedy(links: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    # A cluster is its members by source: only rows of one source can conflict.
-    cluster = {m.id: {m.source_id: [m]} for m in members.itertuples()}
-    for link in links.sort_values(["score", "left_id", "right_id"], ascending=[False, True, True]).itertuples():
-        a, b = cluster[link.left_id], cluster[link.right_id]
-        if a is b or any(_conflict(x, y) for s in a.keys() & b.keys() for x in a[s] for y in b[s]):
-            continue
-        for s, own in b.items():
-            a.setdefault(s, []).extend(own)
-            for m in own:
-                cluster[m.id] = a
-    names = {id(c): min(m.id for own in c.values() for m in own) for c in cluster.values()}
-    return pd.DataFrame({"id": list(cluster), "cluster": [names[id(c)] for c in cluster.values()]})
-
-
 # --------------------------------------------------------------------------------------------------------------------
 # merge
 
@@ -376,70 +333,105 @@ def ranked_members(rows: DataFrame, group: str = "group_id") -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w))
 
 
+def _rank() -> Column:
+    """The order in which members are primary: fullest, then seen first, then smallest id."""
+    return F.struct((-completeness()).alias("gaps"), "first_seen", "id")
+
+
 def _first_known(name: str) -> Column:
-    """Of the members, in the order of their ids."""
-    return F.try_element_at(F.filter("members", lambda m: m[name].isNotNull()), F.lit(1))
+    """The known value of the smallest id, as an aggregate."""
+    return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("id")))
+
+
+def _chosen(rows: DataFrame, group: str) -> DataFrame:
+    """One row for each group: every merged field as struct(value, source_id), the primary's value, else the first known
+    one by id; and what needs no comparison. One aggregation, of which each member is merged away as it comes."""
+    wants = parse_requirements(F.col("description"))
+    stated = (
+        wants["min_income"].isNotNull() | wants["insured_rent"].isNotNull() | (F.size(wants["guarantees"]) > 0) | (F.size(wants["situations"]) > 0)
+    )
+    alive = F.when(F.col("lifecycle") == "active", 0).when(F.col("lifecycle") == "possiblyInactive", 1).otherwise(2)
+    reached = F.col("phone").isNotNull() | F.col("email").isNotNull()
+    known_kind = F.col("landlord").isNotNull() & (F.col("landlord") != "unknown")
+    first = {c: F.min_by(F.struct(F.col(c).alias("value"), "source_id"), F.when(F.col(c).isNotNull(), F.col("id"))) for c in FIELDS}
+    merged = rows.withColumn("wants", wants).withColumn("stated", stated).groupBy(group).agg(
+        F.min_by(F.struct("source_id", *FIELDS), _rank()).alias("primary"),
+        *[f.alias(f"first_{c}") for c, f in first.items()],
+        F.min_by("id", F.struct("first_seen", "id")).alias("id"),
+        *[_first_known(c).alias(c) for c in ("agency", "phone", "email", "reference")],
+        F.coalesce(F.min_by("landlord", F.when(known_kind, F.col("id"))), F.lit("unknown")).alias("landlord"),
+        F.array_sort(F.collect_set(F.when(reached, F.col("source_id")))).alias("provided_by"),
+        F.min_by("wants", F.when(F.col("description").isNotNull() & F.col("stated"), F.col("id"))).alias("requirements"),
+        F.min(alive).alias("alive"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.count(F.lit(1)).cast("int").alias("occurrences"),
+    )
 
+    def choice(c: str) -> Column:
+        own = F.struct(F.col(f"primary.{c}").alias("value"), F.col("primary.source_id").alias("source_id"))
+        return F.when(F.col(f"primary.{c}").isNotNull(), own).otherwise(F.coalesce(F.col(f"first_{c}"), own))
 
-def _merged(name: str) -> Column:
-    """struct(value, source_id, conflicts): the primary's value, else the first known one by id, and the differing values
-    of other sources."""
-    members = F.col("members")
-    primary = F.filter(members, lambda m: m["place"] == 1)[0]
-    chosen = F.when(primary[name].isNotNull(), primary).otherwise(F.coalesce(_first_known(name), primary))
+    lifecycle = F.when(F.col("alive") == 0, "active").when(F.col("alive") == 1, "possiblyInactive").otherwise("inactive")
+    return merged.withColumns({c: choice(c) for c in FIELDS}).withColumn("lifecycle", lifecycle).drop(
+        "primary", "alive", *[f"first_{c}" for c in FIELDS]
+    )
+
+
+def _against(rows: DataFrame, chosen: DataFrame, group: str) -> DataFrame:
+    """One row for each group: per field the values of other sources that differ from the chosen one, in order of id."""
+    picked = chosen.select(F.col(group).alias("of"), *[F.col(c).alias(f"chosen_{c}") for c in FIELDS])
+    met = rows.join(picked, rows[group] == picked["of"])
 
-    def differs(m: Column) -> Column:
-        a, b = m[name], chosen[name]
-        apart = F.abs(a - b) > TOLERANCE[name] if name in TOLERANCE else a != b
-        return a.isNotNull() & (m["source_id"] != chosen["source_id"]) & apart
+    def differing(c: str) -> Column:
+        a, b = F.col(c), F.col(f"chosen_{c}.value")
+        apart = F.abs(a - b) > TOLERANCE[c] if c in TOLERANCE else a != b
+        other = a.isNotNull() & (F.col("source_id") != F.col(f"chosen_{c}.source_id")) & apart
+        return F.collect_list(F.when(other, F.struct("id", a.alias("value"), "source_id")))
 
-    conflicts = F.transform(
-        F.filter(members, differs), lambda m: F.struct(m[name].alias("value"), m["source_id"].alias("source_id"))
+    found = met.groupBy("of").agg(*[differing(c).alias(c) for c in FIELDS])
+    plain = lambda c: F.transform(F.array_sort(c), lambda m: F.struct(m["value"].alias("value"), m["source_id"].alias("source_id")))
+    return found.select("of", *[plain(c).alias(f"against_{c}") for c in FIELDS])
+
+
+def _sets(rows: DataFrame, group: str) -> DataFrame:
+    """(of, features, images) of each group: distinct, by the smallest id that has them and their place there; images of
+    plain http come last. Repeats go before a group meets."""
+    each = [
+        rows.select(F.col(group).alias("of"), "id", F.lit(c).alias("kind"), F.posexplode(F.split(c, ",")).alias("k", "x")).filter("x <> ''")
+        for c in ("features", "images")
+    ]
+    once = each[0].unionByName(each[1]).groupBy("of", "kind", "x").agg(F.min(F.struct("id", "k")).alias("o"))
+    late = (F.col("kind") == "images") & F.startswith("x", F.lit("http://"))
+    kept = lambda kind: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(late.alias("late"), "o", "x")))), lambda e: e["x"]
     )
-    return F.struct(chosen[name].alias("value"), chosen["source_id"].alias("source_id"), conflicts.alias("conflicts"))
+    return once.groupBy("of").agg(kept("features").alias("features"), kept("images").alias("images"))
 
 
 def merge_groups(rows: DataFrame, group: str = "group_id") -> DataFrame:
     """One listing for each group: merged fields with provenance, contact, features, images, requirements, best
-    lifecycle, first and last sighting and the id of the oldest occurrence. Columns that ``rows`` lacks are unknown."""
+    lifecycle, first and last sighting and the id of the oldest occurrence. Columns that ``rows`` lacks are unknown.
+
+    Members are never gathered: values are chosen by one aggregation, conflicts by a second one over the members joined
+    with the choice, and lists by distinct entries.
+    """
     have = set(rows.columns)
-    missing = {c: F.lit(None).cast(_RAW.get(c, "string")) for c in (*FIELDS, "agency", "landlord", "reference", "features", "images") if c not in have}
-    rows = rows.withColumns(missing)
-    names = list(dict.fromkeys(
-        ["id", "source_id", *FIELDS, "agency", "landlord", "reference", "phone", "email", "features", "images", "lifecycle", "first_seen", "last_seen"]
-    ))
-    packed = ranked_members(rows, group).groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct("id", *[c for c in ("place", *names) if c != "id"]))).alias("members")
-    )
-    each = lambda f: F.transform("members", f)
-    rank = each(lambda m: F.when(m["lifecycle"] == "active", 0).when(m["lifecycle"] == "possiblyInactive", 1).otherwise(2))
-    best = F.array_min(rank)
-    provided = F.transform(
-        F.filter("members", lambda m: m["phone"].isNotNull() | m["email"].isNotNull()), lambda m: m["source_id"]
-    )
-    parts = lambda c: F.array_distinct(F.filter(F.flatten(each(lambda m: F.split(F.coalesce(m[c], F.lit("")), ","))), lambda x: x != ""))
-    images = parts("images")
-    plain = lambda u: F.startswith(u, F.lit("http://"))
-    wants = F.transform(F.filter("members", lambda m: m["description"].isNotNull()), lambda m: parse_requirements(m["description"]))
-    some = lambda r: (
-        r["min_income"].isNotNull() | r["insured_rent"].isNotNull() | (F.size(r["guarantees"]) > 0) | (F.size(r["situations"]) > 0)
-    )
-    kind = F.try_element_at(F.filter("members", lambda m: m["landlord"].isNotNull() & (m["landlord"] != "unknown")), F.lit(1))
-    return packed.select(
-        group,
-        F.array_min(each(lambda m: F.struct(m["first_seen"], m["id"])))["id"].alias("id"),
-        *[_merged(c).alias(c) for c in FIELDS],
-        *[_first_known(c)[c].alias(c) for c in ("agency", "phone", "email", "reference")],
-        F.coalesce(kind["landlord"], F.lit("unknown")).alias("landlord"),
-        F.array_sort(F.array_distinct(provided)).alias("provided_by"),
-        parts("features").alias("features"),
-        F.concat(F.filter(images, lambda u: ~plain(u)), F.filter(images, plain)).alias("images"),
-        F.try_element_at(F.filter(wants, some), F.lit(1)).alias("requirements"),
-        F.when(best == 0, "active").when(best == 1, "possiblyInactive").otherwise("inactive").alias("lifecycle"),
-        F.array_min(each(lambda m: m["first_seen"])).alias("first_seen"),
-        F.array_max(each(lambda m: m["last_seen"])).alias("last_seen"),
-        F.size("members").alias("occurrences"),
-    )
+    wanted = (*FIELDS, "agency", "landlord", "reference", "phone", "email", "features", "images")
+    rows = rows.withColumns({c: F.lit(None).cast(_RAW.get(c, "string")) for c in wanted if c not in have})
+    chosen = _chosen(rows, group)
+    against, sets = _against(rows, chosen, group), _sets(rows, group)
+    whole = chosen.join(against, chosen[group] == against["of"]).drop("of").join(sets, chosen[group] == sets["of"], "left").drop("of")
+
+    def field(c: str) -> Column:
+        return F.struct(F.col(f"{c}.value").alias("value"), F.col(f"{c}.source_id").alias("source_id"), F.col(f"against_{c}").alias("conflicts"))
+
+    none = F.array().cast("array<string>")
+    return whole.select(
+        group, "id", *[field(c).alias(c) for c in FIELDS], "agency", "phone", "email", "reference", "landlord", "provided_by",
+        F.coalesce("features", none).alias("features"), F.coalesce("images", none).alias("images"), "requirements", "lifecycle",
+        "first_seen", "last_seen", "occurrences",
+    )
 
 
 def merged_fields(listings: DataFrame, group: str = "group_id") -> DataFrame:

@@ -194,7 +194,6 @@ def vanished_refs(spark, sf_dir):
 
 @query(
     "SELECT doc_id, trim(regexp_replace(translate(lower(translate(text, '-''’', '   ')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), ' +', ' ', 'g')) AS commune FROM documents",
-    also="commune_folds_whole",
 )
 def commune_folds(spark, sf_dir):
     """SCA-08."""

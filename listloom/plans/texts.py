@@ -15,7 +15,6 @@ FOLD = f"trim(regexp_replace(translate(lower(x), '{text.ACCENTED}', '{text.PLAIN
 @query(
     f"SELECT doc_id, {FOLD.replace('(x)', '(text)')} AS folded, replace({FOLD.replace('(x)', '(text)')}, ' ', '-') AS slug, "
     f"translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}') AS search FROM documents",
-    also="text_folds_whole",
 )
 def text_folds(spark, sf_dir):
     """SCA-05, SCA-06, SCA-09."""
@@ -37,7 +36,6 @@ def _decoded() -> str:
 
 @query(
     f"SELECT doc_id, trim(regexp_replace(translate({_decoded()}, chr(160) || chr(8239) || chr(8201) || chr(9) || chr(10) || chr(13), '      '), ' +', ' ', 'g')) AS cleaned FROM documents",
-    also="clean_texts_whole",
 )
 def clean_texts(spark, sf_dir):
     """SCA-01, SCA-02: entities decoded, blanks made plain."""

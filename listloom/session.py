@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _folders: dict[str, str] = {}
@@ -27,6 +27,38 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables in the shared folder that cut the lineage of an iteration; those that a round replaces are deleted, the
+    others at the end of the application."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def _path(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = shared_folder(self.spark, self.name)
+        df.write.parquet(path)
+        target, fs = self._path(path)
+        fs.deleteOnExit(target)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            target, fs = self._path(self.paths.pop(id(table))[0])
+            fs.delete(target, True)
+
+    def replace(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """``new``, which may read ``old``, in its place."""
+        kept = self.keep(new)
+        self.drop(old)
+        return kept
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's modules to the executors, once per application; workers need not have it installed.
 

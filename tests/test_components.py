@@ -4,7 +4,6 @@ import random
 
 import pytest
 
-from listloom.llm.common import connected_components
 from listloom.operators.entities import components
 
 
@@ -24,14 +23,13 @@ def union_find(edges):
     return {x: find(x) for x in top}
 
 
-@pytest.mark.parametrize("method", [components, connected_components])
-def test_rising_chain_and_random_graph(spark, method):
+def test_rising_chain_and_random_graph(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(1, 400)]
     star = [(900, k) for k in range(800, 840)]
     other = [(rng.randint(1000, 1300), rng.randint(1000, 1300)) for _ in range(170)]
     edges = chain + star + [(a, b) for a, b in other if a != b]
-    got = method(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in got} == union_find(edges) and len(got) == len(union_find(edges))
 
 
