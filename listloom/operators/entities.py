@@ -236,10 +236,15 @@ def verdicts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return _with_verdict(with_sides(pairs, rows).select("left_id", "right_id", score))
 
 
+def scored(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(left_id, right_id, score, verdict) of those pairs, free of vetoes, that are duplicate or ambiguous."""
+    points = with_sides(pairs, rows).select("left_id", "right_id", pair_score().alias("score"))
+    return _with_verdict(points).filter(F.col("score") >= AMBIGUOUS)
+
+
 def matches(rows: DataFrame) -> DataFrame:
     """(left_id, right_id, score, verdict) of all pairs of ``rows`` that are duplicate or ambiguous."""
-    scored = with_sides(possible_pairs(rows), rows).select("left_id", "right_id", pair_score().alias("score"))
-    return _with_verdict(scored).filter(F.col("score") >= AMBIGUOUS)
+    return scored(possible_pairs(rows), rows)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
