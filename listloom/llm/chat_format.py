@@ -11,7 +11,7 @@ bytes as well.
 A conversation is worked on in chunks of ``CHUNK`` turns by their place in it, however long it is and whatever numbers
 its turns have; a window does not cross chunks, and history begins anew with a chunk. Only conversations of more than
 one chunk need places: they are sorted over range partitions, and counts of partitions give each its offset, so no task
-holds a whole conversation. The system turn is joined by conversation and chunk.
+holds a whole conversation. The system turn is joined by conversation and chunk: its cost to turns, its text to windows.
 
 The template puts ``<|turn|>role`` and a line break before a text and ``<|end|>`` and a line break after it. Inside a
 role or text a backslash is doubled, and a backslash is put behind the first character of every control string (those of
@@ -91,10 +91,10 @@ def with_chunks(base: DataFrame, per_conversation: DataFrame, chunk: int) -> Dat
 
 def placed_turns(
     turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, share: int = SHARE, chunk: int | None = None
-) -> DataFrame:
-    """Turns with chunk, at (place in the chunk), cost, start (cost before it in the chunk), window (number in the
-    chunk), the conversation's system turn, and, on a window's first turn, past: the turns before it within the history
-    allowance."""
+) -> tuple[DataFrame, DataFrame]:
+    """(turns, systems). Turns with chunk, at (place in the chunk), cost, start (cost before it in the chunk), window
+    (number in the chunk), the cost of the conversation's system turn, and, on a window's first turn, past: the turns
+    before it within the history allowance. Systems: the system turn of each chunk; its text meets windows, not turns."""
     chunk = chunk or CHUNK
     text = F.coalesce(turns["text"].cast("string"), F.lit(""))
     base = turns.select(
@@ -119,8 +119,9 @@ def placed_turns(
         F.col("key").alias("system_key"), "system", F.explode(chunks).alias("system_chunk")
     )
     rows = with_chunks(base, per_conversation, chunk)
-    on = (rows["key"] == systems["system_key"]) & (rows["chunk"] == systems["system_chunk"])
-    rows = rows.join(systems, on, "left").drop("system_key", "system_chunk")
+    costs = systems.select("system_key", "system_chunk", F.struct("system.cost").alias("system"))
+    on = (rows["key"] == costs["system_key"]) & (rows["chunk"] == costs["system_chunk"])
+    rows = rows.join(costs, on, "left").drop("system_key", "system_chunk")
     inside = Window.partitionBy("key", "chunk").orderBy(*_order())
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.row_number().over(inside) - 1).withColumn(
@@ -139,7 +140,7 @@ def placed_turns(
     rows = rows.withColumn(
         "window", F.sum("cut").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ).withColumn("past", F.collect_list(turn).over(by_start.rangeBetween(-history, -1)))
-    return rows.withColumn("past", F.when((F.col("cut") == 1) | (F.col("at") == 0), F.col("past")))
+    return rows.withColumn("past", F.when((F.col("cut") == 1) | (F.col("at") == 0), F.col("past"))), systems
 
 
 def format_windows(
@@ -148,14 +149,15 @@ def format_windows(
     """One row per window: conv_id, chunk, window, tokens, over_budget, formatted, and spans in order of place: at (the
     turn's place in the chunk, -1 for a repeated system turn), role_at, role_length, text_at, text_length (code points
     in ``formatted``), repeated, loss."""
-    placed = placed_turns(turns, budget, history, share, chunk)
+    placed, systems = placed_turns(turns, budget, history, share, chunk)
     turn = F.struct("at", "role", "text", "cost", "start", "is_system")
     windows = placed.groupBy("key", "chunk", "window").agg(
         F.array_sort(F.collect_list(turn)).alias("own"),
         F.first("past", ignorenulls=True).alias("past"),
-        F.first("system").alias("system"),
         F.sum("cost").alias("own_cost"),
     ).withColumn("conv_id", F.col("key.conv_id"))
+    on = (windows["key"] == systems["system_key"]) & (windows["chunk"] == systems["system_chunk"])
+    windows = windows.join(systems, on, "left").drop("system_key", "system_chunk")
     has_own_system = F.exists("own", lambda t: t["is_system"])
     repeats_system = F.col("system").isNotNull() & ~has_own_system
     system_cost = F.when(repeats_system, F.col("system.cost")).otherwise(0)
