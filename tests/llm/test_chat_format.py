@@ -102,9 +102,9 @@ def test_nulls_repeats_empty_and_clashing_columns(spark):
 def test_a_long_system_turn_meets_windows_only(spark):
     rows = [(1, 0, "system", "rule " * 20_000)] + [(1, k, "user" if k % 2 else "assistant", f"word{k} " * 30) for k in range(1, 41)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    placed, systems = chat_format.placed_turns(df)
+    placed, systems = cf.placed_turns(df)
     assert placed.schema["system"].dataType.fieldNames() == ["cost"] and systems.count() == 1
-    windows = chat_format.format_windows(df).collect()
+    windows = cf.format_windows(df).collect()
     assert len(windows) > 2 and all(w["formatted"].count("rule ") == 20_000 and w["over_budget"] for w in windows)
-    turns = sorted(chat_format.read_turns(chat_format.format_windows(df)).collect(), key=lambda r: (r["chunk"], r["at"]))
+    turns = sorted(cf.read_turns(cf.format_windows(df)).collect(), key=lambda r: (r["chunk"], r["at"]))
     assert [(r["role"], r["text"]) for r in turns] == [r[2:] for r in rows]
