@@ -37,5 +37,5 @@ def commune(t):
 def test_whole_texts(spark, tmp_path):
     spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for name, column, want in (("text_folds", "slug", slug), ("commune_folds", "commune", commune), ("clean_texts", "cleaned", cleaned)):
-        got = catalogue.queries()[f"{name}_whole"](spark, str(tmp_path)).collect()
+        got = catalogue.queries()[name](spark, str(tmp_path)).collect()
         assert {r["doc_id"]: r[column] for r in got} == {i: want(t) for i, t in TEXTS}, name
