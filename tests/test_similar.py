@@ -37,7 +37,7 @@ def test_large_groups_and_long_texts(spark, tmp_path):
         rows.append((k, " ".join(rng.choice(base) if rng.random() < 0.7 else f"own{rng.randint(0, 99)}" for _ in range(rng.randint(1, 150)))))
     rows += [(90, ""), (91, "a b"), (92, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = pairs_of(catalogue.queries()["token_jaccard_pairs_whole"](spark, str(tmp_path)))
+    got = pairs_of(catalogue.queries()["token_jaccard_pairs"](spark, str(tmp_path)))
     want = brute({i: {w for w in (t or "").split() if len(w) > 2} for i, t in rows}, 0.4)
     assert got == want
     assert sum(v == 1.0 for v in want.values()) >= 45 * 44 // 2 and len(rows[0][1]) > 500
@@ -59,5 +59,5 @@ def test_tokens_of_every_text(spark):
         plain = "".join(c if c.isascii() and c.isalnum() else " " for c in r["text"].lower().translate(fold))
         words = {w for w in plain.split() if len(w) > 2 and w not in STOP_WORDS}
         want[r["doc_id"]] = (len(words), min(words, default=None))
-    got = catalogue.queries()["text_fold_tokens_whole"](spark, DATA).collect()
+    got = catalogue.queries()["text_fold_tokens"](spark, DATA).collect()
     assert {r["doc_id"]: (r["n"], r["first"]) for r in got} == want and len(got) == len(want)
