@@ -1,6 +1,7 @@
 """Sites as rule rows: three platform shapes and two sites of a list with details, all run by ``html.extract``.
 
-The shapes are those that rental platforms use; addresses, class names beyond the platforms' own and pages are ours.
+The shapes are those that rental platforms use: names of their classes, attributes, elements and keys inside the rules are
+fixed values. Addresses and pages, and the two sites of list and details, are ours.
 A warning is a reason for which a record gives no listing or lacks its price.
 """
 
