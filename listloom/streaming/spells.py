@@ -60,62 +60,61 @@ class Spells(StatefulProcessor):
 
         # A user's final minutes of one batch: bounded by its span of time, not by its events.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["first", "last", "kind"], kind="stable")
-        out = []
-        for first, last, n, kind in zip(batch["first"], batch["last"], batch["n"], batch["kind"]):
-            out += self._pass(int(first), key)
-            spell = self.open.get() if self.open.exists() else (int(first), int(last), 0, 0)
-            self.open.update((min(spell[0], int(first)), max(spell[1], int(last)), spell[2] + int(n), spell[3] + (int(n) if kind == "error" else 0)))
-            held = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
-            self.kinds.updateValue((kind,), (held + int(n),))
-            self.seen.update((self.open.get()[1],))
-        yield from self._after(key, out, timers)
+        yield self._turn(key, timers, zip(batch["first"].tolist(), batch["last"].tolist(), batch["n"].tolist(), batch["kind"].tolist()))
 
     def handleExpiredTimer(self, key, timers, expired) -> Iterator:
-        yield from self._after(key, [], timers)
-
-    def _pass(self, first: int, key) -> list:
-        """What an event at ``first`` ends."""
-        if not self.seen.exists():
-            return []
-        last, out = self.seen.get()[0], []
-        if self.open.exists() and first - last >= self.gap:
-            out.append(self._close(key))
-        if first - last >= self.expiry:
-            out.append(self._forget(key))
-        return out
-
-    def _after(self, key, out: list, timers) -> Iterator:
-        """What the watermark ends, and timers for what is left."""
+        yield self._turn(key, timers, ())
+
+    def _turn(self, key, timers, minutes):
+        """Pass the minutes, then the watermark; each state is read and written once, since every call is a message."""
         import pandas as pd
 
-        mark = timers.getCurrentWatermarkInMs()
+        out, mark = [], timers.getCurrentWatermarkInMs()
+        last = self.seen.get()[0] if self.seen.exists() else None
+        spell = self.open.get() if self.open.exists() else None
+        counts = {k[0]: v[0] for k, v in self.kinds.iterator()} if spell else {}
+        flags = [f[0] for f in self.recent.get()] if last is not None and self.recent.exists() else []
+
+        def end(over_gap: bool, over_expiry: bool) -> None:
+            nonlocal spell, last
+            if spell and over_gap:
+                flags[:] = [*flags, spell[3] > 0][-RECENT:]
+                text = ",".join(f"{k}={n}" for k, n in sorted(counts.items()))
+                out.append((key[0], *spell, text, "blocked" if sum(flags) > 1 else "degraded" if sum(flags) else "healthy"))
+                spell = None
+                counts.clear()
+            if over_expiry:
+                out.append((key[0], last, last, 0, 0, "", "gone"))
+                flags.clear()
+                last = None
+
+        for first, until, n, kind in minutes:
+            if last is not None:
+                end(first - last >= self.gap, first - last >= self.expiry)
+            a, b, total, errors = spell or (first, until, 0, 0)
+            last = max(b, until)
+            spell = (min(a, first), last, total + n, errors + n * (kind == "error"))
+            counts[kind] = counts.get(kind, 0) + n
+        if last is not None:
+            end(last + self.gap < mark * 1000, last + self.expiry < mark * 1000)
+        self._write(last, spell, counts, flags)
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if self.open.exists() and self.open.get()[1] + self.gap < mark * 1000:
-            out.append(self._close(key))
-        if self.seen.exists():
-            last = self.seen.get()[0]
-            if not self.open.exists() and last + self.expiry < mark * 1000:
-                out.append(self._forget(key))
-            else:
-                end = last + (self.gap if self.open.exists() else self.expiry)
-                self.handle.registerTimer(max(end // 1000, mark + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SPELL.split(", ")])
-
-    def _close(self, key) -> tuple:
-        first, last, n, errors = self.open.get()
-        kinds = ",".join(f"{k[0]}={v[0]}" for k, v in sorted(self.kinds.iterator()))
-        flags = ([f[0] for f in self.recent.get()] if self.recent.exists() else [])[1 - RECENT :] + [errors > 0]
-        self.recent.put([(f,) for f in flags])
-        self.open.clear()
-        self.kinds.clear()
-        return (key[0], first, last, n, errors, kinds, "blocked" if sum(flags) > 1 else "degraded" if sum(flags) else "healthy")
+        if last is not None:
+            self.handle.registerTimer(max((last + (self.gap if spell else self.expiry)) // 1000, mark + 1))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in SPELL.split(", ")])
 
-    def _forget(self, key) -> tuple:
-        last = self.seen.get()[0]
-        self.seen.clear()
-        self.recent.clear()
-        return (key[0], last, last, 0, 0, "", "gone")
+    def _write(self, last, spell, counts: dict, flags: list) -> None:
+        self.kinds.clear()
+        for kind, n in counts.items():
+            self.kinds.updateValue((kind,), (n,))
+        for state, value in ((self.open, spell), (self.seen, None if last is None else (last,)), (self.recent, [(f,) for f in flags])):
+            if not value:
+                state.clear()
+            elif state is self.recent:
+                state.put(value)
+            else:
+                state.update(value)
 
     def close(self) -> None:
         pass
