@@ -25,7 +25,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from listloom.plans import activity, entities, extensions, extracts, fields, incremental, landed, lists, nearby, openings, scores, sites, statistics, stores, texts  # noqa: F401
+    from listloom.plans import activity, edge, entities, extensions, extracts, fields, incremental, landed, lists, mentions, nearby, openings, scores, sites, statistics, stores, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
