@@ -5,14 +5,15 @@ Base rules count what a text is made of: words, code points in words, marks, rep
 of 1 and 2 words in lower case, bucket by CRC-32): trusted target against raw corpus, both smoothed by one. A document's
 score is the floored mean over its n-grams of ``floor(1000 ln(P_target / P_raw))``, so it does not depend on its length.
 
-The corpus side counts every document. The target side counts trusted documents, a parameter: here those with a label
-of high quality and none of toxicity, at most ``TRUSTED`` of them, the smallest by a hash of the id. Half of them, again
-by hash, are counted; the other half, whose scores owe nothing to their own words, fixes the threshold: as far below
-their median as ``SPREAD`` times the distance from the median to their 5th percentile. All figures are whole numbers, so
-the verdict on a document depends on the tables alone and not on the order or place in which they are read.
+The corpus side counts every document. The target side counts every trusted document: those with a label of high quality
+and none of toxicity. Half of them, by a hash of the id, are counted; the other half, whose scores owe nothing to their own
+words, fixes the threshold: as far below their median as ``SPREAD`` times the distance from the median to their 5th
+percentile. All figures are whole numbers, so the verdict on a document depends on the tables alone and not on the order or
+place in which they are read.
 
-Every step works inside rows or on sums over buckets: the texts are read once and never shuffled. The gains are an array of ``BUCKETS``
-numbers inside the plan. Repeated windows are found by 64-bit hashes within one text.
+Every step works inside rows or on sums over buckets: the texts are read once and never shuffled. Trusted ids are broadcast
+up to ``MOST_BROADCAST``; of more, the buckets of documents that the hash lets count meet them in a shuffle. The gains are
+an array of ``BUCKETS`` numbers inside the plan. Repeated windows are found by 64-bit hashes within one text.
 
 Defined cases: null text has no words (fails the base rules, score 0); with no trusted document there is no threshold,
 and the base rules decide alone; rows that repeat give a row each; documents of a null id are never trusted; a text of
@@ -31,7 +32,9 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 BUCKETS = 1 << 14
+#: Where the SQL ends its list of trusted documents; the query has no such end.
 TRUSTED = 50_000
+MOST_BROADCAST = 500_000
 SPREAD = 3
 NO_WORD = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -110,25 +113,38 @@ def with_grams(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return rows.withColumn("grams", F.concat(F.transform("low", code), pairs)).drop("low")
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """(trusted_id, fits) of at most ``most`` trusted documents: labelled good and not toxic in every row of theirs,
-    the smallest by a hash of the id; ``fits`` parts those to be counted from those that fix the threshold."""
-    code = F.crc32(F.col("doc_id").cast("string"))
+def _counted(doc_id: Column) -> Column:
+    """Whether a trusted document is counted; the others fix the threshold."""
+    return F.crc32(doc_id.cast("string")) % 2 == 0
+
+
+def trusted_ids(labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(trusted_id, fits) of all trusted documents: labelled good and not toxic in every row of theirs; ``fits`` parts
+    those to be counted from those that fix the threshold. With ``most``, only so many, the smallest by a hash of the id."""
     good = (
         labels.filter("doc_id is not null").groupBy("doc_id")
         .agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"), F.count("quality").alias("q"), F.count("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
         .filter("good and q = n and t = n")
     )
-    return good.orderBy(code, "doc_id").limit(most).select(F.col("doc_id").alias("trusted_id"), (code % 2 == 0).alias("fits"))
+    if most is not None:
+        good = good.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(most)
+    return good.select(F.col("doc_id").alias("trusted_id"), _counted(F.col("doc_id")).alias("fits"))
 
 
-def bucket_gains(rows: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """Gains by bucket, from ``rows(grams, fits)``; at most ``buckets`` rows of sums are collected."""
-    # A plain explode would first filter empty arrays, for which the optimizer would make them once more.
-    counts = (
-        rows.select(F.explode_outer("grams").alias("bucket"), F.coalesce("fits", F.lit(False)).cast("int").alias("t"))
-        .filter("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias("s"), F.sum("t").alias("t"))
-    )
+def rows_trusted(rows: DataFrame, trusted: DataFrame, fits: bool, broadcast: bool) -> DataFrame:
+    """Those of ``rows(doc_id, ...)`` whose document is trusted and counted, or trusted and not counted."""
+    ids = trusted.filter(F.col("fits") == fits).select("trusted_id")
+    ids = F.broadcast(ids) if broadcast else ids.hint("shuffle_hash")  # rows are wide: they are not to be sorted
+    own = rows.filter(_counted(F.col("doc_id").cast(trusted.schema["trusted_id"].dataType)) == fits)
+    return own.join(ids, F.col("doc_id") == F.col("trusted_id")).drop("trusted_id")
+
+
+def bucket_gains(rows: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """Gains by bucket, from ``grams`` of all rows and of the target's; at most ``buckets`` rows of sums are collected."""
+    places = [
+        frame.select(F.explode("grams").alias("bucket"), F.lit(t).alias("t")) for t, frame in enumerate((rows, target))
+    ]
+    counts = places[0].union(places[1]).groupBy("bucket").agg(F.count_if(F.col("t") == 0).alias("s"), F.sum("t").alias("t"))
     s, t = np.zeros(buckets), np.zeros(buckets)
     for r in counts.collect():
         s[r["bucket"]], t[r["bucket"]] = r["s"], r["t"]
@@ -146,26 +162,31 @@ def score_of(grams: Column, gains: list[int]) -> Column:
 def threshold_of(held: DataFrame, spread: int = SPREAD) -> int | None:
     """The least score of a document that is kept, from the scores of trusted documents that were not counted."""
     counts = sorted((r["score"], r["count"]) for r in held.groupBy("score").count().collect())  # whole numbers, bounded rows
-    scores = [s for s, n in counts for _ in range(n)]
-    if not scores:
+    if not counts:
         return None
-    median, low = (scores[max(0, -(-len(scores) * p // 100) - 1)] for p in (50, 5))
+    upto = np.cumsum([n for _, n in counts])
+    median, low = (counts[int(np.searchsorted(upto, -(-int(upto[-1]) * p // 100)))][0] for p in (50, 5))
     return median - spread * (median - low)
 
 
 def quality_rules(
-    docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most_trusted: int = TRUSTED, spread: int = SPREAD
+    docs: DataFrame,
+    labels: DataFrame,
+    buckets: int = BUCKETS,
+    most_trusted: int | None = None,
+    spread: int = SPREAD,
+    most_broadcast: int = MOST_BROADCAST,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     score, threshold."""
-    trusted = F.broadcast(stage(trusted_ids(labels, most_trusted), "trusted"))  # at most ``most_trusted`` narrow rows
+    trusted = stage(trusted_ids(labels, most_trusted), "trusted")
+    few = trusted.count() <= most_broadcast
     texts = docs.select(docs["doc_id"], text_of(docs).alias("text"))
-    texts = texts.join(trusted, texts["doc_id"] == trusted["trusted_id"], "left").drop("trusted_id")
     # One pass over the texts; what is staged is a figure for each rule and a bucket for each n-gram.
     figures = stage(with_grams(base_figures(texts), buckets).drop("text"), "figures")
-    gains = bucket_gains(figures.select("grams", "fits"), buckets)
+    gains = bucket_gains(figures, rows_trusted(figures.select("doc_id", "grams"), trusted, True, few), buckets)
     rows = stage(figures.withColumn("score", score_of(F.col("grams"), gains)).drop("grams"), "rules")
-    threshold = threshold_of(rows.filter("not fits").select("score"), spread)
+    threshold = threshold_of(rows_trusted(rows.select("doc_id", "score"), trusted, False, few), spread)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     passed = F.lit(True) if threshold is None else F.col("score") >= threshold
     return rows.select(
