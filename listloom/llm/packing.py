@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ RELEASED_PER_PARTITION = 512
 ROUNDS = 6
 #: Text that one call of the tokenizer takes: more finds more words twice, less needs less memory.
 SLICE_BYTES = 8 << 20
+#: Words of a kind whose ids a worker remembers; when there are more, it begins anew.
+KNOWN_WORDS = 1_000_000
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level vocabularies write a byte as the letter itself where it is printable in Latin-1, else as U+0100 on."""
@@ -53,9 +58,36 @@ def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[
     return pool[index], at
 
 
+class KnownWords:
+    """Ids of words, each encoded when it is met first; ``encode(words)`` gives the ids one after another and where each
+    word's begin (with the end)."""
+
+    def __init__(self, encode: Callable, most: int = KNOWN_WORDS):
+        self.encode, self.most = encode, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids, self.at = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of some distinct words begin in ``ids``, and how many they are."""
+        k = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if (k < 0).any() and len(self.words) + (k < 0).sum() > self.most:
+            self.forget()
+            k[:] = -1
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            k[new] = len(self.words) + np.arange(len(new))
+            fresh = words.take(pa.array(new))
+            ids, at = self.encode(fresh)
+            self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
+            self.ids, self.words = np.concatenate([self.ids, ids]), pa.concat_arrays([self.words, fresh])
+        return self.at[k], self.at[k + 1] - self.at[k]
+
+
 class WordTokenizer:
-    """Ids of a word-end BPE tokenizer that never joins characters across white space: each distinct word of a batch is
-    encoded once.
+    """Ids of a word-end BPE tokenizer that never joins characters across white space: each distinct word is encoded
+    once, and remembered.
 
     Words of Latin-1 letters, also with one mark of punctuation after them, need neither normalisation nor splitting:
     they go many at a time through the bare BPE model, and the ids that end a word part them. All other words go through
@@ -80,14 +112,25 @@ class WordTokenizer:
         vocab = spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.letters = _byte_letters()
-        self.marks = self._any([*self.MARKS])
-
-    def _any(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.letters = np.arange(256, dtype="<u4")
+        for byte, letter in _byte_letters().items():
+            self.letters[byte] = ord(letter)
+        self.marks = self._any(pa.array([*self.MARKS]))
+        self.known_bare, self.known_any, self.call = KnownWords(self._bare), KnownWords(self._any), ""
+
+    def serving(self, call: str) -> WordTokenizer:
+        """Itself; words that another call met are forgotten, so that no run owes its time to those before it."""
+        if call != self.call:
+            self.known_bare.forget()
+            self.known_any.forget()
+            self.call = call
+        return self
+
+    def _any(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after another, and where each word's begin (with the end)."""
         out, at, total = [], [0], 0
         for low in range(0, len(words), self.CHUNK):
-            part = words[low : low + self.CHUNK]
+            part = words[low : low + self.CHUNK].to_pylist()
             ends = np.cumsum([len(w) + 1 for w in part])
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.array([a for a, _ in got.offsets], dtype=np.int64)
@@ -97,13 +140,13 @@ class WordTokenizer:
             total += len(out[-1])
         return np.concatenate([np.zeros(0, "<u4"), *out]), np.array(at, dtype=np.int64)
 
-    def _bare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _bare(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """As ``_any``, for lower-case words of Latin-1 letters."""
         out = []
         for low in range(0, len(words), self.CHUNK):
-            spelled = " ".join(words[low : low + self.CHUNK])
+            spelled = " ".join(words[low : low + self.CHUNK].to_pylist())
             if not spelled.isascii():
-                spelled = spelled.encode().decode("latin-1").translate(self.letters)
+                spelled = self.letters[np.frombuffer(spelled.encode(), np.uint8)].tobytes().decode("utf-32-le")
             out.append(np.array(self.plain.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype="<u4"))
         ids = np.concatenate([np.zeros(0, "<u4"), *out])
         at = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
@@ -116,20 +159,16 @@ class WordTokenizer:
         mark = size - pc.utf8_length(core).to_numpy(zero_copy_only=False)
         plain = pc.match_substring_regex(core, self.PLAIN).to_numpy(zero_copy_only=False) & (mark <= 1)
         cores = pc.utf8_lower(core.filter(pa.array(plain))).dictionary_encode()
-        spelled = cores.dictionary.to_pylist()
-        # Non-ASCII words last: only their chunks are respelled.
-        order = sorted(range(len(spelled)), key=lambda k: not spelled[k].isascii())
-        place = np.empty(len(spelled), dtype=np.int64)
-        place[order] = np.arange(len(spelled))
-        bare_ids, bare_at = self._bare([spelled[k] for k in order])
-        any_ids, any_at = self._any(words.filter(pa.array(~plain)).to_pylist())
+        bare_starts, bare_lengths = self.known_bare.places(cores.dictionary)
+        any_starts, any_lengths = self.known_any.places(words.filter(pa.array(~plain)))
+        bare_ids, any_ids = self.known_bare.ids, self.known_any.ids
         pool = np.concatenate([bare_ids, any_ids, self.marks[0]])
         starts, lengths = np.zeros(2 * len(words), np.int64), np.zeros(2 * len(words), np.int64)
-        k = place[cores.indices.to_numpy()]
+        k = cores.indices.to_numpy()
         rows = np.flatnonzero(plain)
-        starts[2 * rows], lengths[2 * rows] = bare_at[k], np.diff(bare_at)[k]
+        starts[2 * rows], lengths[2 * rows] = bare_starts[k], bare_lengths[k]
         rest = np.flatnonzero(~plain)
-        starts[2 * rest], lengths[2 * rest] = len(bare_ids) + any_at[:-1], np.diff(any_at)
+        starts[2 * rest], lengths[2 * rest] = len(bare_ids) + any_starts, any_lengths
         marked = np.flatnonzero(plain & (mark == 1))
         last = pc.utf8_slice_codeunits(words.take(pa.array(marked)), -1)
         m = pc.index_in(last, value_set=pa.array([*self.MARKS])).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -149,15 +188,21 @@ class WordTokenizer:
         return out, begins[np.concatenate([[0], ends])]
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer, which lives on between its tasks."""
+    return WordTokenizer(path)
+
+
 def tokenize_pieces(
     docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids) with ``ids`` the little-endian unsigned 32-bit ids of the piece."""
     ship(docs.sparkSession)
-    end = int(end_id).to_bytes(4, "little")
+    end, call = int(end_id).to_bytes(4, "little"), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path)
+        words = word_tokenizer(tokenizer_path).serving(call)
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
                 rows, piece, length, cuts = [], [], [], []

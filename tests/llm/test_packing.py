@@ -33,6 +33,29 @@ def test_special_strings_and_edges(words):
     assert ids_of(words, texts) == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_are_encoded_once_until_there_are_too_many(words):
+    met = []
+
+    def encode(new):
+        met.extend(new.to_pylist())
+        return words._any(new)
+
+    known = packing.KnownWords(encode, most=3)
+    for batch in ["ab", "c."], ["c.", "x9"], [], ["x9", "ab"], ["new", "ab", "q"], ["日", "é!", "x9", "ab"], ["ab"]:
+        starts, lengths = known.places(pa.array(batch, pa.string()))
+        got = [known.ids[a : a + n].tolist() for a, n in zip(starts, lengths)]
+        assert got == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in batch]
+    assert met == ["ab", "c.", "x9", "new", "ab", "q", "日", "é!", "x9", "ab"]
+    # Of a worker's batches and tasks, too.
+    assert packing.word_tokenizer(tokenizer_path()) is packing.word_tokenizer(tokenizer_path())
+    texts = ["Known words, known! 7x", "déjà (vu) known"]
+    first, before = ids_of(words, texts), [len(k.words) for k in (words.known_bare, words.known_any)]
+    assert ids_of(words, texts[::-1]) == first[::-1]
+    assert [len(k.words) for k in (words.known_bare, words.known_any)] == before
+    words.serving("one call"), ids_of(words, texts)
+    assert len(words.serving("one call").known_bare.words) > 0 == len(words.serving("another").known_bare.words)
+
+
 def test_best_fit_decreasing_is_a_packing():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 100, 500)
