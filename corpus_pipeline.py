@@ -51,8 +51,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
-    # Executors carry the memory of four stages by now; the stage's time allows smaller slices.
-    pieces = packing.tokenize_pieces(docs, tokenizer_path(), slice_bytes=2 << 20)
+    # Executors carry the memory of four stages by now; remembered words make up for smaller slices.
+    pieces = packing.tokenize_pieces(docs, tokenizer_path(), slice_bytes=512 << 10, known_words=100_000)
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.place_pieces(digests)
 

@@ -118,12 +118,13 @@ class WordTokenizer:
         self.marks = self._any(pa.array([*self.MARKS]))
         self.known_bare, self.known_any, self.call = KnownWords(self._bare), KnownWords(self._any), ""
 
-    def serving(self, call: str) -> WordTokenizer:
+    def serving(self, call: str, most: int = KNOWN_WORDS) -> WordTokenizer:
         """Itself; words that another call met are forgotten, so that no run owes its time to those before it."""
         if call != self.call:
-            self.known_bare.forget()
-            self.known_any.forget()
             self.call = call
+            for known in (self.known_bare, self.known_any):
+                known.most = most
+                known.forget()
         return self
 
     def _any(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +196,19 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def tokenize_pieces(
-    docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, slice_bytes: int = SLICE_BYTES
+    docs: DataFrame,
+    tokenizer_path: str,
+    window: int = WINDOW,
+    end_id: int = END_ID,
+    slice_bytes: int = SLICE_BYTES,
+    known_words: int = KNOWN_WORDS,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids) with ``ids`` the little-endian unsigned 32-bit ids of the piece."""
     ship(docs.sparkSession)
     end, call = int(end_id).to_bytes(4, "little"), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokenizer(tokenizer_path).serving(call)
+        words = word_tokenizer(tokenizer_path).serving(call, known_words)
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
                 rows, piece, length, cuts = [], [], [], []
