@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from listloom.catalogue import query
 from listloom.functions import geo, listing, parse, text
 from listloom.operators import stores
+from listloom.session import spread
 from listloom.sources import adapters, normalize, pages
 from listloom.sources.views import table
 
@@ -180,7 +181,7 @@ FROM p WHERE m <> 7"""
 @query(NORMAL)
 def normalized_listings(spark, sf_dir):
     """SCA-52: raw text rows of a source to typed occurrences; sales and rows without a title go."""
-    raw = table(spark, sf_dir, "part").selectExpr(
+    raw = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").selectExpr(
         "'src' AS source_id", "cast(p_partkey AS string) AS source_ref",
         "concat('https://x.test/', CASE WHEN p_partkey % 16 = 7 THEN 'vente/' ELSE 'location/' END, p_partkey) AS source_url",
         "CASE WHEN p_partkey % 16 = 15 THEN ' ' ELSE concat(' Appartement  T', 1 + p_partkey % 4, CASE WHEN p_partkey % 8 < 4 THEN ' meublé' ELSE '' END) END AS title",
