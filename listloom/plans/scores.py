@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from listloom.catalogue import query
 from listloom.functions import geo
 from listloom.operators import filters, scoring, stores
+from listloom.session import spread
 from listloom.sources.views import table, view, with_views
 
+#: Parts of a place, so that no place is one task's work.
+PARTS = 16
+
 CRITERIA = filters.Criteria(max_price=950.0, min_price=902.0, min_area=15.0, city="arles", types=("small", "economy"), furnished=True)
 
 MATCH = """
@@ -195,8 +199,19 @@ SELECT a, b, round(km, 4) AS km, CAST(floor(km * 1.3 / 4.5 * 60 + 0.5) AS INT) A
 def haversine_pairs(spark, sf_dir):
     """SCA-30..32, JON-20: distances inside blocks only."""
     p = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "43.0E0 + s_suppkey % 10 * 0.07E0 AS lat", "5.0E0 + s_suppkey % 7 * 0.11E0 AS lon", "s_suppkey % 4 AS zone")
-    a = p.select(F.col("s_suppkey").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "zone")
-    b = p.select(F.col("s_suppkey").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "zone")
+    # Distances are of places, far fewer than rows; ids meet by the pairs of places that are near, dealt to parts of a place.
+    salt = F.pmod(F.xxhash64("s_suppkey"), F.lit(PARTS)).cast("int")
+    at = p.groupBy("zone", "lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+    left = at.select("zone", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    right = at.select("zone", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     km = geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
-    near = a.join(b, "zone").filter("a < b").withColumn("km", km).filter("km <= 20")
-    return near.select("a", "b", F.round("km", 4).alias("km"), geo.estimated_minutes(F.col("km"), "walk").alias("walk"), geo.estimated_minutes(F.col("km"), "transit").alias("transit"))
+    places = left.join(right, "zone").withColumn("far", km).filter("far <= 20").select(
+        "zone", "lat1", "lon1", "lat2", "lon2", F.round("far", 4).alias("km"),
+        geo.estimated_minutes(F.col("far"), "walk").alias("walk"), geo.estimated_minutes(F.col("far"), "transit").alias("transit"),
+    )
+    one = p.select("zone", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("s_suppkey").alias("a"), salt.alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    other = p.select("zone", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("s_suppkey").alias("b"), every)
+    meets = ["zone", "lat2", "lon2", "part"]
+    near = spread(one.join(places, ["zone", "lat1", "lon1"]), *meets).join(other, meets).filter("a < b")
+    return near.select("a", "b", "km", "walk", "transit")

@@ -41,3 +41,14 @@ def test_similar_sets_hold_one_block_after_another_and_join_no_candidates(spark,
         assert got == {(a, b): j for a, x in sets.items() for b, y in sets.items() if a < b and (j := len(x & y) / len(x | y)) > 0.4}
         assert df.count() == len(got) and "Join" not in optimized(df)
         assert (written.count(["left_id", "right_id", "similarity"]) > 1) == (block == 500)
+
+
+def test_distances_are_taken_of_places(spark, tmp_path):
+    spark.range(3000).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = catalogue.queries()["haversine_pairs"](spark, str(tmp_path))
+    plan = optimized(df)
+    # Below the distance stands an aggregation by place on either side, and ids meet by place and part.
+    assert plan.index("ASIN") < plan.index("Aggregate [zone") and re.search(r"Join Inner, .*part#\d+ = part#\d+", plan)
+    rows = df.select("a", "b").collect()
+    assert len(rows) == len(set(rows)) and all(r["a"] < r["b"] and (r["b"] - r["a"]) % 4 == 0 for r in rows)
+    assert df.select(F.spark_partition_id().alias("p")).distinct().count() == 4
