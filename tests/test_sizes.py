@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from listloom import catalogue
+from listloom.operators import nearby
 from listloom.operators.similar import similar_sets
 from listloom.session import Scratch
 
@@ -52,3 +53,11 @@ def test_distances_are_taken_of_places(spark, tmp_path):
     rows = df.select("a", "b").collect()
     assert len(rows) == len(set(rows)) and all(r["a"] < r["b"] and (r["b"] - r["a"]) % 4 == 0 for r in rows)
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_crowded_cells_copy_few_positions(spark):
+    points = spark.range(20000).selectExpr("id", "43.6 + id * 7919 % 20011 * 1e-7 AS latitude", "7.2 + id * 104729 % 20021 * 1e-7 AS longitude")
+    near, held = nearby.dealt_positions(points, 0.5)
+    # One cell: two salts and ten parts. Dealt on one side only, by 1,000, each position was there twenty times.
+    assert near.count() <= 2 * 20000 and held.count() == 10 * 20000
+    assert held.groupBy("cell", "salt", "part").count().agg(F.max("count")).first()[0] < 11000
