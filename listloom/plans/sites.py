@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listloom.catalogue import query
-from listloom.session import Scratch
+from listloom.session import Scratch, spread
 from listloom.sources import html, sites
 from listloom.sources.views import table
 
@@ -102,7 +102,9 @@ def _list_pages(spark, rows, site: str, card: str, size: int, before: str, after
 
 def site_pages(spark, sf_dir):
     """(page, site, url, html) of all five sites."""
-    t = {n: table(spark, sf_dir, n) for n in ("part", "customer", "supplier")}
+    keys = {"part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}
+    # A page is made of a key: few bytes are read, and much is made and parsed of them.
+    t = {n: spread(table(spark, sf_dir, n).select(k), k) for n, k in keys.items()}
     parts, suppliers = t["part"].select(F.col("p_partkey").alias("k")), t["supplier"].select(F.col("s_suppkey").alias("k"))
 
     def made_of(sql: str, name: str):

@@ -158,35 +158,50 @@ def _axis_holds() -> Column:
     )
 
 
-def _test_holds() -> Column:
-    got, op, value = F.col("attrs")[F.col("s.attr")], F.col("s.op"), F.col("s.value")
-    attribute = (
-        F.when(op == "is", got == value)
-        .when(op == "word", F.array_contains(F.split(got, "\\s+"), value))
-        .when(op == "starts", F.startswith(got, value))
-        .when(op == "holds", F.contains(got, value))
-        .when(op == "like", F.expr("attrs[s.attr] rlike s.value"))
-        .otherwise(got.isNotNull())
-    )
-    tag = F.coalesce(F.col("tag") == F.col("s.tag"), ~F.startswith("tag", F.lit("#")))
-    return tag & F.coalesce(F.col("s.attr").isNull() | attribute, F.lit(False))
+def _test_holds(tag: str | None, attr: str | None, op: str, value: str | None) -> Column:
+    kind = F.col("tag") == tag if tag is not None else ~F.startswith("tag", F.lit("#"))
+    if attr is None:
+        return kind
+    got = F.col("attrs")[attr]
+    attribute = {
+        "is": lambda: got == value,
+        "word": lambda: F.array_contains(F.split(got, "\\s+"), value),
+        "starts": lambda: F.startswith(got, F.lit(value)),
+        "holds": lambda: F.contains(got, F.lit(value)),
+        "like": lambda: got.rlike(value),
+    }.get(op, got.isNotNull)()
+    return kind & F.coalesce(attribute, F.lit(False))
+
+
+def _tested(table: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(page, test, lo, hi, parent) of the nodes that pass the test of some step of their site's rules, and ``rules`` with
+    the numbers of their steps' ``tests``. Rules are configuration: their tests are written into one pass over the nodes,
+    which joins nothing, with patterns that are compiled once."""
+    known: dict[tuple, int] = {}
+    told = [
+        (r["number"], [known.setdefault((r["site"], s["tag"], s["attr"], s["op"], s["value"]), len(known)) for s in r["steps"]])
+        for r in rules.select("number", "site", "steps").collect()
+    ]
+    passed = [F.when((F.col("site") == site) & _test_holds(*of), F.lit(k)) for (site, *of), k in known.items()]
+    each = F.explode_outer(F.array_compact(F.array(*passed))) if passed else F.lit(None).cast("int")
+    found = table.select("page", each.alias("test"), "lo", "hi", "parent").filter("test is not null")
+    return found, rules.join(F.broadcast(rules.sparkSession.createDataFrame(told, "number int, tests array<int>")), "number")
 
 
 _PLACE = ("page", "site", "rec", "number", "lo", "hi", "parent")
 
 
-def _walk(scratch: Scratch, table: DataFrame, starts: DataFrame, rules: DataFrame, depth: int) -> DataFrame:
+def _walk(scratch: Scratch, table: DataFrame, tested: DataFrame, starts: DataFrame, rules: DataFrame, depth: int) -> DataFrame:
     """``starts(page, site, rec, lo, hi, parent)`` led along the steps of the rules of their site, ``depth`` at most: the
-    places (page, site, rec, number, lo, hi, parent) where the rules end. Each step is one join, staged, so that the plan
-    does not grow with the steps."""
-    stepped = F.broadcast(rules.select("site", "number", "steps"))
-    frontier = starts.join(stepped, "site").select(*_PLACE, "steps")
+    places (page, site, rec, number, lo, hi, parent) where the rules end. Each step is one join with the nodes that pass its
+    test, staged, so that the plan does not grow with the steps."""
+    stepped = F.broadcast(rules.select("site", "number", "steps", "tests"))
+    frontier = starts.join(stepped, "site").select(*_PLACE, "steps", "tests")
     ends = [frontier.filter(F.size("steps") == 0).select(*_PLACE)]
     for k in range(depth):
-        now = frontier.filter(F.size("steps") > k).withColumn("s", F.col("steps")[k]).drop("steps")
+        now = frontier.filter(F.size("steps") > k).withColumns({"s": F.get("steps", F.lit(k)), "test": F.get("tests", F.lit(k))}).drop("steps", "tests")
         now = now.withColumnsRenamed({c: f"f_{c}" for c in ("lo", "hi", "parent")})
-        met = now.join(table.select("page", "lo", "hi", "parent", "tag", "attrs"), "page").filter(_axis_holds() & _test_holds())
-        met = scratch.keep(met.drop("tag", "attrs"))
+        met = scratch.keep(now.join(tested, ["page", "test"]).filter(_axis_holds()).drop("test"))
         keys = [*_PLACE, "f_lo"]
         heard = texts_of(met.filter("s.says is not null"), table, [*keys, "s"]).filter(F.expr("said rlike s.says"))
         found = met.filter("s.says is null").select(*keys, "s.nth").unionByName(heard.select(*keys, "s.nth"))
@@ -195,7 +210,7 @@ def _walk(scratch: Scratch, table: DataFrame, starts: DataFrame, rules: DataFram
         at = F.when(F.col("nth") > 0, first == F.col("nth")).when(F.col("nth") < 0, last == -F.col("nth")).otherwise(True)
         # Two ways to a node are one.
         reached = found.withColumn("ok", at).filter("ok").select(*_PLACE).dropDuplicates(["page", "rec", "number", "lo"])
-        reached = scratch.keep(reached.join(stepped.drop("site"), "number").select(*_PLACE, "steps"))
+        reached = scratch.keep(reached.join(stepped.drop("site"), "number").select(*_PLACE, "steps", "tests"))
         scratch.drop(met)
         ends.append(reached.filter(F.size("steps") == k + 1).select(*_PLACE))
         frontier = reached
@@ -207,12 +222,14 @@ def extract(table: DataFrame, rules: DataFrame, depth: int = 3) -> DataFrame:
     fields that the rules of its site give for each record. ``depth``: steps of the longest rule. Rules are configuration
     and broadcast."""
     scratch = Scratch(table.sparkSession, "rules")
+    passing, rules = _tested(table, rules)
+    tested = scratch.keep(passing)
     marking, telling = rules.filter("field = '@record'"), rules.filter("field <> '@record'")
     roots = table.filter("tag = '#page'").select("page", "site", F.lit(0).alias("rec"), "lo", "hi", "parent")
-    cards = _walk(scratch, table, roots, marking, depth).select("page", "site", F.col("lo").alias("rec"), "lo", "hi", "parent")
+    cards = _walk(scratch, table, tested, roots, marking, depth).select("page", "site", F.col("lo").alias("rec"), "lo", "hi", "parent")
     whole = roots.join(F.broadcast(marking.select("site").distinct()), "site", "left_anti")
     starts = scratch.keep(cards.unionByName(whole))
-    ends = scratch.keep(_walk(scratch, table, starts, telling, depth).join(F.broadcast(rules.drop("site", "steps")), "number"))
+    ends = scratch.keep(_walk(scratch, table, tested, starts, telling, depth).join(F.broadcast(rules.drop("site", "steps", "tests")), "number"))
     keys = ["page", "site", "rec", "field", "rank", "number", "lo", "hi", "take", "path", "pattern", "form", "many"]
     said = texts_of(ends.filter("take = 'text'"), table, keys)
     raw = texts_of(ends.filter("take = 'raw'"), table, keys, "#raw")

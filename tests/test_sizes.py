@@ -9,6 +9,7 @@ from listloom import catalogue
 from listloom.operators import nearby
 from listloom.operators.similar import similar_sets
 from listloom.session import Scratch
+from listloom.sources import html
 
 
 def optimized(df):
@@ -61,3 +62,14 @@ def test_crowded_cells_copy_few_positions(spark):
     # One cell: two salts and ten parts. Dealt on one side only, by 1,000, each position was there twenty times.
     assert near.count() <= 2 * 20000 and held.count() == 10 * 20000
     assert held.groupBy("cell", "salt", "part").count().agg(F.max("count")).first()[0] < 11000
+
+
+def test_nodes_are_tested_before_they_meet_rules(spark):
+    """Rules join the few nodes that pass a test, not all of a page's; attributes stay with the node table."""
+    pages = spark.createDataFrame([(f"p{k}", "s", f"u{k}", "<div>" + f"<p>x</p><b class='n'>{k}</b>" * 3 + "</div>") for k in range(8)], "page string, site string, url string, html string")
+    table = Scratch(spark, "nodes").keep(html.nodes(pages, "page", "url", "site"))
+    rules = html.rules_table(spark, [html.rule("s", "n", html.step(tag="div", nth=1), html.step(tag="b", attr="class", op="like", value="^n$", nth=2))])
+    found = html.extract(table, rules, depth=2)
+    assert {r["page"]: r["fields"]["n"] for r in found.collect()} == {f"p{k}": str(k) for k in range(8)}
+    passing, _ = html._tested(table, rules)
+    assert passing.count() == 8 * 4
